@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import duplicates, leakage, mixing
+from marlstone.llm import duplicates, leakage, mixing, vectors
 from marlstone.session import table
 
 
@@ -20,6 +20,17 @@ def p1_copy_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.groupBy("n_copies").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "facts").select(F.lit("fact").alias("collection"), F.col("fact_row").alias("id"), "embedding")
+    passages = table(spark, d, "passages").select(F.lit("passage").alias("collection"), F.col("passage_no").alias("id"), "embedding")
+    return facts.unionByName(passages)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.similar_pairs(_embedded(spark, d))
+    return near.select("collection", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def _shared(spark: SparkSession, d: str) -> DataFrame:
     return leakage.shared_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -37,7 +48,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copy_counts, p8_found, p8_leaked_items, p9_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copy_counts, p5_found, p8_found, p8_leaked_items, p9_mix)}
 
 _FACTS = r"""
 WITH parts AS (
@@ -65,7 +76,19 @@ dg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda p: md5(arr
 ig AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda p: md5(array_to_string(w[p:p + 11], ' ')))) AS g FROM i WHERE len(w) >= 12),
 found AS (SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig ON dg.g = ig.g)
 """
+_VECTORS = """
+WITH v AS (
+  SELECT 'fact' AS collection, fact_row AS id, embedding::DOUBLE[] AS e FROM facts WHERE len(embedding) = 64
+  UNION ALL SELECT 'passage', passage_no, embedding::DOUBLE[] FROM passages WHERE len(embedding) = 64
+), u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0)
+"""
 ORACLE = {
+    "p5_found": _VECTORS + """
+, near AS (
+  SELECT collection, id, other FROM (
+    SELECT a.collection, a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.collection = b.collection AND a.id <> b.id
+  ) WHERE c >= 0.90 QUALIFY row_number() OVER (PARTITION BY collection, id ORDER BY c DESC, other) <= 5
+) SELECT DISTINCT collection, least(id, other) AS id_a, greatest(id, other) AS id_b FROM near""",
     "p1_found": _FACTS + "SELECT kept AS kept_row, fact_row AS copy_row FROM grouped WHERE fact_row <> kept",
     "p1_copy_counts": _FACTS + "SELECT n AS n_copies, count(*) AS n_groups FROM grouped WHERE fact_row = kept AND n > 1 GROUP BY 1",
     "p8_found": _GRAMS + "SELECT doc_id, item_id FROM found",
