@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import duplicates, leakage, mixing, vectors
+from marlstone.llm import duplicates, leakage, mixing, subjects, vectors
 from marlstone.session import table
 
 
@@ -43,12 +43,35 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_shared(spark, d), table(spark, d, "eval_items")).select("item_id", "split", "n_docs")
 
 
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed corpus: which document stands in which slot, for every use."""
+    return _mix(spark, d).uses
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The use of each source and the shares reached."""
-    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
+    return _mix(spark, d).report
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    model = subjects.fit_subjects(table(spark, d, "labelled_texts"), table(spark, d, "subject_areas"), table(spark, d, "eval_items"))
+    return subjects.subject_areas(table(spark, d, "documents"), model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", F.explode("areas").alias("area"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Make-up of the corpus by subject area."""
+    return subjects.composition(_subjects(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copy_counts, p5_found, p8_found, p8_leaked_items, p9_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copy_counts, p5_found, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _FACTS = r"""
 WITH parts AS (
