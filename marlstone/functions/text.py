@@ -71,8 +71,7 @@ def is_meaningful_phrase(text: Column | str) -> Column:
 def normalize_answer(text: Column | str) -> Column:
     """Lower case, then without ASCII punctuation, then without articles, then single spaces."""
     bare = F.regexp_replace(F.lower(col(text)), r"[!-/:-@\[-`{-~]", "")
-    bare = F.regexp_replace(bare, rf"\b({'|'.join(ARTICLES)})\b", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.array_join(F.filter(F.split(bare, r"\s+"), lambda w: (w != "") & ~w.isin(*ARTICLES)), " ")
 
 
 def name_text(name: Column | str) -> Column:

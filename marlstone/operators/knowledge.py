@@ -129,13 +129,13 @@ def name_index(names: DataFrame) -> DataFrame:
     return names.select("id", F.explode(F.array_distinct(split_identifier("name"))).alias("token")).groupBy("token").agg(F.count_distinct("id").alias("n_ids"))
 
 
-def ngrams(tokens: Column, sizes: range) -> Column:
-    """All runs of the given numbers of tokens, joined by spaces."""
-    def of(n: int) -> Column:
-        last = F.size(tokens) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+def ngrams(passages: DataFrame, longest: int) -> DataFrame:
+    """The distinct runs of 2 to ``longest`` cleaned words of each passage (passage_id, text): passage_id, gram. Linear in the text."""
+    words = passages.select("passage_id", F.posexplode(F.split(clean_phrase("text"), " ")).alias("pos", "w1"))
+    order = Window.partitionBy("passage_id").orderBy("pos")
+    ahead = words.select("passage_id", "w1", *[F.lead("w1", n - 1).over(order).alias(f"w{n}") for n in range(2, longest + 1)])
+    grams = [F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)])) for n in range(2, longest + 1)]
+    return ahead.select("passage_id", F.explode(F.array(*grams)).alias("gram")).where("gram is not null").distinct()
 
 
 def references(passages: DataFrame, names: DataFrame, per_passage: int = REFERENCES, longest: int = 4) -> DataFrame:
@@ -143,8 +143,7 @@ def references(passages: DataFrame, names: DataFrame, per_passage: int = REFEREN
 
     The better of the two counts per name; the best ``per_passage`` of a passage stay, ties by id.
     """
-    tokens = F.split(clean_phrase("text"), " ")
-    grams = passages.select("passage_id", F.explode(ngrams(tokens, range(2, longest + 1))).alias("gram"))
+    grams = ngrams(passages, longest)
     keys = names.select("id", F.array_join(split_identifier("name"), " ").alias("gram"), F.size(split_identifier("name")).alias("n")).where(f"n between 2 and {longest}").drop("n")
     by_gram = grams.join(keys, "gram").select("passage_id", "id", F.lit(PHRASE_OMEGA).alias("omega"))
     words = passages.select("passage_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0)))).alias("word"))

@@ -57,11 +57,11 @@ class _Stream(SimpleDataSourceStreamReader):
         pages = self._load()
         last = max(pages, default=-1)
         end = min(start["page"] + self.step, last + 1)
-        return (r for p in range(start["page"], end) for r in pages.get(p, [])), {"page": max(end, start["page"])}
+        return iter([r for p in range(start["page"], end) for r in pages.get(p, [])]), {"page": max(end, start["page"])}
 
     def readBetweenOffsets(self, start: dict, end: dict):
         pages = self._load()
-        return (r for p in range(start["page"], end["page"]) for r in pages.get(p, []))
+        return iter([r for p in range(start["page"], end["page"]) for r in pages.get(p, [])])
 
 
 class ChangePages(DataSource):

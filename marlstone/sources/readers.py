@@ -106,7 +106,7 @@ def html_text(pages: DataFrame, html_col: str, out: str = "text") -> DataFrame:
 
 def html_text_sql(html: Column) -> Column:
     """The same for simple pages without a parser: tags dropped by patterns; everything stays in the JVM."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|template|head|svg)\b.*?</\1\s*>|<!--.*?-->", "")
+    bare = F.regexp_replace(html, r"(?is)<(?:script|style|noscript|template|head|svg)\b.*?</(?:script|style|noscript|template|head|svg)\s*>|<!--.*?-->", "")
     bare = F.regexp_replace(bare, r"(?i)<h([1-6])\b[^>]*>", "\n\n# ")
     bare = F.regexp_replace(bare, r"(?i)</?(p|div|li|ul|ol|tr|table|br|h[1-6]|section|article|body|html)\b[^>]*>", "\n\n")
     bare = F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", ""), r"[ \t]+", " ")

@@ -9,10 +9,14 @@ from marlstone.operators import late_events
 from marlstone.operators.late_events import LatenessPolicy
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.parquet(path) if there else None
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions below a folder: a job marks each as done when all of it is written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
 def start(claims: DataFrame, state_path: str, checkpoint: str, policy: LatenessPolicy = LatenessPolicy()):
@@ -24,17 +28,17 @@ def start(claims: DataFrame, state_path: str, checkpoint: str, policy: LatenessP
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fresh = late_events.distinct_events(batch)
-        old = _stored(spark, f"{state_path}/v={epoch - 1}") if epoch else None
-        both = fresh if old is None else fresh.unionByName(old)
+        earlier = [v for v in _versions(spark, state_path) if v < epoch]
+        both = fresh.unionByName(spark.read.parquet(f"{state_path}/v={earlier[-1]}")) if earlier else fresh
         first = both.groupBy("source_id", "identity").agg(F.min(F.struct("recorded_us", "event_id", "event_us")).alias("row"))
         first.select("source_id", "identity", "row.*").write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
 
     return claims.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read(spark: SparkSession, state_path: str, epoch: int, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
-    """Corrected counts per period and source from the register."""
-    events = spark.read.parquet(f"{state_path}/v={epoch}")
+def read(spark: SparkSession, state_path: str, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
+    """Corrected counts per period and source from the newest register."""
+    events = spark.read.parquet(f"{state_path}/v={_versions(spark, state_path)[-1]}")
     return late_events.read_counters(late_events.counter_state(late_events.classify(events, policy)))
 
 
