@@ -4,8 +4,8 @@ Column-wise last writer wins: each field is the ``max_by`` over the changes that
 delete with the revision held before takes no effect, so upserts fall into runs of one revision: the first of a run always
 takes effect, later ones as long as no delete lies between the start of their run and them.
 
-What a row needs to know of earlier rows is carried from chunk to chunk of an artifact's order, so an artifact with
-very many changes is spread over its chunks.
+That takes one shuffle by artifact. If an artifact has very many changes, what a row needs to know of earlier rows is
+carried from chunk to chunk of its order instead, so that it is spread over its chunks.
 """
 
 from __future__ import annotations
@@ -78,6 +78,37 @@ GROUP BY 1, 2
 
 _FLOOR = "(-9223372036854775807L)"
 
+_CROWDED = """
+SELECT 1 FROM {changes} GROUP BY ref.partition_key, ref.external_id HAVING count(*) > {chunk} LIMIT 1
+"""
+
+_STATE_AT_ONCE = """
+WITH placed AS (
+  SELECT partition_key, external_id, operation, revision, policy, o, lag(o) OVER (PARTITION BY partition_key, external_id ORDER BY o, seq) AS o_before
+  FROM (
+    SELECT ref.partition_key AS partition_key, ref.external_id AS external_id, operation, ref.provider_revision AS revision, policy_id AS policy,
+           coalesce(provider_order.ordinal, seq) AS o, seq
+    FROM {changes} WHERE operation IN ('upsert', 'delete', 'policy_change')
+  )
+), kept AS (
+  SELECT *, last(IF(operation = 'upsert', struct(revision), NULL), true) OVER (
+    PARTITION BY partition_key, external_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held
+  FROM placed WHERE o_before IS NULL OR o_before <> o
+), runs AS (
+  SELECT partition_key, external_id, operation, revision, policy, o,
+         IF(operation = 'upsert' AND (held IS NULL OR NOT held.revision <=> revision), o, NULL) AS run_at, IF(operation = 'delete', o, NULL) AS delete_at
+  FROM kept
+), marked AS (
+  SELECT *, operation = 'upsert' AND coalesce(max(delete_at) OVER w, {floor}) < max(run_at) OVER w AS effective
+  FROM runs WINDOW w AS (PARTITION BY partition_key, external_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT partition_key, external_id,
+       max_by(revision, o) FILTER (WHERE operation = 'upsert') AS provider_revision,
+       coalesce(max_by(policy, o) FILTER (WHERE policy IS NOT NULL AND (operation = 'policy_change' OR effective)), '') AS policy_id,
+       max(run_at) AS run_at, max(delete_at) AS delete_at
+FROM marked GROUP BY 1, 2
+"""
+
 
 def artifact_states(changes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per artifact with its last revision and policy, and whether it is alive (``is_alive``).
@@ -87,9 +118,13 @@ def artifact_states(changes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     operations are ignored. Artifacts are compared null-safely. An empty feed gives an empty table.
     """
     spark = changes.sparkSession
-    rows = spark.sql(_ROWS.replace("{chunk}", str(int(chunk))), changes=changes.select("seq", "ref", "operation", "policy_id", "provider_order"))
-    runs = spark.sql(_RUNS, held=spark.sql(_HELD, rows=rows), before=spark.sql(_HELD_BEFORE, rows=rows))
-    state = spark.sql(_STATE.replace("{floor}", _FLOOR), runs=runs, before=spark.sql(_LAST_BEFORE, runs=runs))
+    feed = changes.select("seq", "ref", "operation", "policy_id", "provider_order")
+    if spark.sql(_CROWDED.replace("{chunk}", str(int(chunk))), changes=feed).isEmpty():
+        state = spark.sql(_STATE_AT_ONCE.replace("{floor}", _FLOOR), changes=feed)
+    else:
+        rows = spark.sql(_ROWS.replace("{chunk}", str(int(chunk))), changes=feed)
+        runs = spark.sql(_RUNS, held=spark.sql(_HELD, rows=rows), before=spark.sql(_HELD_BEFORE, rows=rows))
+        state = spark.sql(_STATE.replace("{floor}", _FLOOR), runs=runs, before=spark.sql(_LAST_BEFORE, runs=runs))
     return spark.sql(
         f"SELECT partition_key, external_id, provider_revision, policy_id, run_at IS NOT NULL AND run_at > coalesce(delete_at, {_FLOOR}) AS is_alive FROM {{state}}",
         state=state,
