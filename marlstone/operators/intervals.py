@@ -1,20 +1,25 @@
 """Continuous periods and gaps of overlapping, nested and gapped intervals per entity.
 
-Bounds are integers (microseconds). Time is cut into cells of ``2**CELL_BITS``; an interval falls into at most two
-fragments inside cells and canonical dyadic blocks of whole cells. Fragments are united cell by cell by a dyadic kernel,
-so an entity with very many intervals is spread over as many tasks as it has cells. Stitching across cells carries one
-number per cell, never an entity's whole list.
+Bounds are integers (microseconds). An entity's bounds are numbered in order, its intervals decomposed into canonical
+dyadic blocks of these numbers, blocks inside an ancestor dropped, siblings merged upward and touching blocks joined. That
+takes one shuffle by entity.
+
+An entity with very many intervals is spread over tasks: time is cut into cells of ``2**CELL_BITS``; an interval falls into
+at most two fragments inside cells and canonical blocks of whole cells. Fragments are united cell by cell, and
+stitching across cells carries one number per cell, never an entity's whole list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.dyadic import canonical_blocks, dyadic_union
+from marlstone.plans.skew import HOT_ROWS, hot_keys
 
 CELL_BITS = 38  # 3.2 days of microseconds
 CELL = 1 << CELL_BITS
@@ -77,14 +82,85 @@ def united_pieces(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     return inside.unionByName(whole)
 
 
-def periods_and_gaps(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _entity_spans(entity: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entity, kind (0 period, 1 gap), lo and hi of the spans of whole entities; ``entity`` numbers them from 0 on in order."""
+    n = len(entity)
+    owner, bound = np.concatenate([entity, entity]), np.concatenate([lo, hi])
+    order = np.lexsort((bound, owner))
+    owner, bound = owner[order], bound[order]
+    fresh = np.ones(2 * n, bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (bound[1:] != bound[:-1])
+    number = np.empty(2 * n, np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    values, owners = bound[fresh], owner[fresh]
+    first = np.searchsorted(owners, np.arange(entity.max() + 1))
+    local = number - first[np.concatenate([entity, entity])]
+    bits = max(1, int(local.max()).bit_length())
+    e, a, b = dyadic_union(entity, local[:n], local[n:], bits)
+    a, b = values[first[e] + a], values[first[e] + b]
+    next_to = np.flatnonzero(e[1:] == e[:-1])
+    return np.concatenate([e, e[next_to]]), np.repeat([0, 1], [len(e), len(next_to)]), np.concatenate([a, b[next_to]]), np.concatenate([b, a[next_to + 1]])
+
+
+def _sweep(keys: Sequence[str]):
+    """Spans of a partition that is sorted by entity; an entity may go on in the next batch."""
+    names = list(keys)
+
+    def spans(pdf: pd.DataFrame) -> pd.DataFrame:
+        shown = pdf[names]
+        changed = (~(shown.eq(shown.shift()) | (shown.isna() & shown.shift().isna())).all(axis=1)).to_numpy()
+        changed[0] = True
+        entity = np.cumsum(changed) - 1
+        e, kind, lo, hi = _entity_spans(entity, pdf["lo"].to_numpy(), pdf["hi"].to_numpy())
+        rows = shown.iloc[np.flatnonzero(changed)[e]].reset_index(drop=True)
+        return rows.assign(span_kind=np.where(kind == 0, "period", "gap"), lo=lo, hi=hi)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last, tail = batch.iloc[-1], batch[names]
+            same = (tail.eq(last[names]) | (tail.isna() & last[names].isna())).all(axis=1).to_numpy()
+            cut = len(batch) if not same[-1] else int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
+            if cut:
+                yield spans(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(batch.iloc[cut:])
+        if held:
+            yield spans(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def periods_and_gaps(intervals: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Longest covered stretches (``period``) and holes between neighbours (``gap``) per key: span_kind, lo, hi.
 
-    An interval that starts exactly where another ends leaves no hole. ``hi`` is null for an open period. Repeated rows and
-    ties change nothing; null keys form their own entity; an empty input gives an empty result. Other columns of the
-    input are ignored, whatever their names.
+    ``intervals`` has the key columns and bigint ``lo`` and ``hi``; a null ``hi`` is open. An interval that starts exactly where another ends
+    leaves no hole. Rows without ``lo`` and rows with ``hi <= lo`` cover nothing and are left out. ``hi`` is null for an open period. Repeated rows
+    and ties change nothing; null keys form their own entity; an empty input gives an empty result. Other columns of the
+    input are ignored, whatever their names. Entities with more than ``hot_rows`` intervals are spread over tasks, with the
+    same result.
     """
     keys = list(keys)
+    rows = intervals.select(*keys, "lo", F.least(F.coalesce("hi", F.lit(OPEN_US)), F.lit(OPEN_US)).alias("hi")).where("lo < hi")
+    hot = hot_keys(rows, keys, hot_rows).drop("_salts")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    if hot.isEmpty():
+        crowded, rest = None, rows
+    else:
+        same = [F.expr(f"r.`{k}` <=> h.`{k}`") for k in keys]
+        crowded = rows.alias("r").join(hot.alias("h"), same, "left_semi")
+        rest = rows.alias("r").join(hot.alias("h"), same, "left_anti")
+    # the bounds of an entity have to come in one piece, not in order; sorting by key brings them together
+    swept = rest.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_sweep(keys), f"{schema}, span_kind string, lo bigint, hi bigint")
+    swept = swept.withColumn("hi", F.when((F.col("hi") < OPEN_US) | (F.col("span_kind") == "gap"), F.col("hi")))
+    return swept if crowded is None else swept.unionByName(_spread_spans(crowded, keys))
+
+
+def _spread_spans(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``periods_and_gaps`` with each entity spread over the cells of its time."""
+    keys = list(keys)
     pieces = united_pieces(intervals, keys).withColumn("_chunk", _cell(F.col("lo")))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     chunk_order = Window.partitionBy(*keys).orderBy("_chunk")
