@@ -150,7 +150,7 @@ def clean_triples(triples: Column | str) -> Column:
 
 def unique_strings(values: Column | str) -> Column:
     """Stripped, without blanks, first of equals, in order."""
-    return F.array_distinct(F.filter(F.transform(col(values), F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(col(values), lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def split_answer(reply: Column | str) -> tuple[Column, Column]:

@@ -26,11 +26,15 @@ def _walk(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     symbols, calls = [], []
 
     def raised(node: ast.AST) -> list[str]:
-        names = set()
-        for n in ast.walk(node):
+        names, open_ = set(), list(ast.iter_child_nodes(node))
+        while open_:
+            n = open_.pop()
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                continue  # what a nested symbol raises is its own
             if isinstance(n, ast.Raise) and n.exc is not None:
                 e = n.exc.func if isinstance(n.exc, ast.Call) else n.exc
                 names.add(e.id if isinstance(e, ast.Name) else getattr(e, "attr", ""))
+            open_.extend(ast.iter_child_nodes(n))
         return sorted(names - {""})
 
     def visit(node: ast.AST, scope: str) -> None:
@@ -61,7 +65,8 @@ def python_symbols(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [s for p, t in zip(pdf["path"], pdf["text"]) if t and len(t) <= MAX_BYTES for s in _walk(p, t)[0]]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])
 
     return files.select("path", "text").mapInPandas(run, SYMBOL)
 
@@ -71,7 +76,8 @@ def python_calls(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [c for p, t in zip(pdf["path"], pdf["text"]) if t and len(t) <= MAX_BYTES for c in _walk(p, t)[1]]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")])
 
     return files.select("path", "text").mapInPandas(run, CALL)
 

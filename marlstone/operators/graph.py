@@ -21,7 +21,7 @@ def mirrored(edges: DataFrame) -> DataFrame:
 def reset_vector(seeds: DataFrame) -> DataFrame:
     """Seeds (id, value) as a distribution: missing, NaN and negative values count 0; an empty or all-zero one has no rows."""
     clean = F.when(F.isnan("value") | (F.col("value") < 0), 0.0).otherwise(F.coalesce("value", F.lit(0.0)))
-    summed = seeds.groupBy("id").agg(F.sum(clean).alias("value")).where("value > 0")
+    summed = checkpointed(seeds.groupBy("id").agg(F.sum(clean).alias("value")).where("value > 0"))
     total = summed.agg(F.sum("value")).first()[0]
     return summed.select("id", (F.col("value") / F.lit(total or 1.0)).alias("p"))
 
@@ -36,12 +36,17 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = D
     Only vertices of the reset vector can be dangling and hold weight, so the dangling weight follows from one number and the
     rounds need no sum over the table. A round is one join on the source and one combined sum.
     """
-    if reset.isEmpty():
-        raise ValueError("the reset vector sums to nothing")
+    edges = edges.select("src", "dst", "weight")
     strength = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
-    walk = checkpointed(edges.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")).repartition("src"))
-    reset = checkpointed(reset.select("id", "p"))
-    lost = reset.join(strength.select(F.col("src").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
+    # the edges are laid out by source once; a round then moves ranks only
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walk = checkpointed(edges.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")).repartition(parts, "src"))
+    reset = reset.select("id", "p")
+    total, lost = reset.join(walk.select(F.col("src").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").agg(
+        F.coalesce(F.sum("p"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("p"))), F.lit(0.0))
+    ).first()
+    if not total:
+        raise ValueError("the reset vector sums to nothing")
     rank, dangling = reset.select("id", F.col("p").alias("score")), lost
     for r in range(rounds):
         base = (1 - damping) + damping * dangling

@@ -146,7 +146,7 @@ def references(passages: DataFrame, names: DataFrame, per_passage: int = REFEREN
     grams = ngrams(passages, longest)
     keys = names.select("id", F.array_join(split_identifier("name"), " ").alias("gram"), F.size(split_identifier("name")).alias("n")).where(f"n between 2 and {longest}").drop("n")
     by_gram = grams.join(keys, "gram").select("passage_id", "id", F.lit(PHRASE_OMEGA).alias("omega"))
-    words = passages.select("passage_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0)))).alias("word"))
+    words = passages.select("passage_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*"), F.lit(0)))).alias("word"))
     by_name = words.join(names.select("id", F.col("name").alias("word")), "word").select("passage_id", "id", F.lit(EXACT_OMEGA).alias("omega"))
     best = by_gram.unionByName(by_name).groupBy("passage_id", "id").agg(F.max("omega").alias("omega"))
     order = Window.partitionBy("passage_id").orderBy(F.desc("omega"), "id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.vector import dot, scaled
 from marlstone.operators.graph import personalized_pagerank, reset_vector
 from marlstone.operators.relations import top
+from marlstone.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -82,9 +83,9 @@ def search(passages: DataFrame, facts: DataFrame, edges: DataFrame, specificity:
     ``passages`` has passage_id and embedding; ``facts`` has fact_id, subject_id, object_id and embedding; ``edges`` are directed over entity and
     passage ids. The recognition of facts by a model is left out: the k most similar are kept.
     """
-    dense = dense_scores(passages, query).select("passage_id", "dense")
+    dense = checkpointed(dense_scores(passages, query).select("passage_id", "dense"))
     kept = candidate_facts(facts, query, settings.facts_to_filter)
-    seeds = cut_seeds(seed_weights(kept, specificity, boosts), settings.seed_entities)
+    seeds = checkpointed(cut_seeds(seed_weights(kept, specificity, boosts), settings.seed_entities))
     parts = seeds.select("id", F.col("weight").alias("value")).unionByName(dense.select(F.col("passage_id").alias("id"), (F.col("dense") * settings.passage_weight).alias("value")))
     reset = reset_vector(parts)
     if seeds.where("weight > 0").isEmpty() or reset.isEmpty():
@@ -231,7 +232,8 @@ def closest_triples(asked: DataFrame, known: DataFrame, cutoff: float = 0.6) ->
                 by_text = {k["text"]: k["fact_id"] for k in sorted(ks, key=lambda k: (k["text"], k["fact_id"]), reverse=True)}
                 for m in difflib.get_close_matches(text, sorted(by_text), n=1, cutoff=cutoff):
                     rows.append((qid, text, by_text[m]))
-            yield pd.DataFrame(rows, columns=["qid", "asked", "fact_id"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["qid", "asked", "fact_id"])
 
     kind = asked.schema["qid"].dataType.simpleString()
     return exact.unionByName(open_.mapInPandas(run, f"qid {kind}, asked string, fact_id string"))

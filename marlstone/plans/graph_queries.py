@@ -346,7 +346,7 @@ w AS (SELECT doc_id AS passage_id, text, string_split({CLEAN.format('text')}, '
 g AS (SELECT DISTINCT passage_id, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT passage_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(n))),
 names AS (SELECT id, name, array_to_string({SPLIT.format('name')}, ' ') AS gram, len({SPLIT.format('name')}) AS n FROM ent),
 by_gram AS (SELECT passage_id, id, 0.60 AS omega FROM g JOIN names USING (gram) WHERE n BETWEEN 2 AND 4),
-by_name AS (SELECT passage_id, ent.id, 0.85 AS omega FROM (SELECT DISTINCT passage_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.]+')) AS word FROM w) x JOIN ent ON word = name),
+by_name AS (SELECT passage_id, ent.id, 0.85 AS omega FROM (SELECT DISTINCT passage_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+(?:\\.[\\p{{L}}\\p{{N}}_]+)*')) AS word FROM w) x JOIN ent ON word = name),
 best AS (SELECT passage_id, id, max(omega)::DOUBLE AS omega FROM (SELECT * FROM by_gram UNION ALL SELECT * FROM by_name) GROUP BY 1, 2)
 SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY omega DESC, id) <= 20""",
     "shared_pairs": f"""WITH {_TRIPLES}, c AS (SELECT passage_id, id, passage_count AS n FROM men JOIN spec USING (id) WHERE passage_count BETWEEN 2 AND 5)
