@@ -66,7 +66,7 @@ def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], edg
         F.struct(F.col("ordinal").isNotNull().alias("has"), F.col("ordinal").alias("ordinal"), F.col("recorded_us").alias("rf"), F.col("id").alias("id")).alias("_best"),
     ).where("_lo < _hi")
     # a series with very many claims is split by salt: the best of the best of its parts is its best
-    hot = hot_keys(c, _S, hot_rows)
+    hot = F.broadcast(hot_keys(c, _S, hot_rows))  # at most rows / hot_rows series
     c = c.join(hot, _S, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_best"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
     q = q.join(hot, _S, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     s = [*_S, "_salt"]

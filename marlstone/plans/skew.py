@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one key that one task may take before the key is salted.
+#: Rows of one key that one task may take before the key is salted. No table has more than rows / HOT_ROWS such keys.
 HOT_ROWS = 200_000
 
 
@@ -30,7 +30,8 @@ def salted_lookup(members: DataFrame, groups: DataFrame, keys: Sequence[str], co
     keys = list(keys)
     salts = F.ceil(F.col(count_col) / F.lit(hot_rows)).cast("int")
     hot = groups.where(F.col(count_col) > hot_rows).select(*keys, salts.alias("_salts"))
-    spread = members.join(hot, keys, "left").withColumn(
+    # at most rows / hot_rows keys are hot, so members learn their salts without a shuffle of their own
+    spread = members.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int"), F.lit(0))
     ).drop("_salts")
     repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
