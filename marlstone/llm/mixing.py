@@ -25,6 +25,8 @@ BLOCK_TOKENS = 1024
 #: Runs of a source's shuffled documents (and of slots) that are summed on their own before offsets are added.
 BUCKETS = 1024
 SLOT_RUN = 1 << 16
+#: Strips of the unit interval by which slots find their source.
+STRIPS = 4096
 _GOLDEN = 0.6180339887498949
 _held: dict[tuple[str, str], object] = {}
 
@@ -102,7 +104,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, block_tokens: int = BL
     plan = plan.select("*", (F.col("_to") - F.col("target_share")).alias("_from"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_to"), F.desc("target_share"))).alias("_last"))
     slots = spark.range(int(n_slots)).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(_GOLDEN)) - F.floor(F.col("id") * F.lit(_GOLDEN))).alias("_x"))
     by_share = plan.where("target_share > 0").select("source", "_from", F.when(F.col("_last") == 1, 2.0).otherwise(F.col("_to")).alias("_to"), "_blocks", "max_repeats")
-    drawn = slots.join(by_share, (F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_to"))).withColumn("_run", F.floor(F.col("slot") / SLOT_RUN))
+    # points meet their source by an equal strip of the unit interval, then by its exact bounds
+    strip = lambda x: F.least(F.floor(x * STRIPS), F.lit(STRIPS - 1))
+    strips = by_share.withColumn("_strip", F.explode(F.sequence(strip(F.col("_from")), strip(F.least(F.col("_to"), F.lit(1.0))))))
+    drawn = slots.withColumn("_strip", strip(F.col("_x"))).join(strips, "_strip").where((F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_to"))).withColumn("_run", F.floor(F.col("slot") / SLOT_RUN))
     counted = drawn.groupBy("source", "_run").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("source", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
