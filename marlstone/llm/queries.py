@@ -31,6 +31,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select("collection", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors, near or far, of every vector whose id 50 divides, against all."""
+    near = vectors.similar_pairs(_embedded(spark, d), vectors.search_spec(), F.col("id") % 50 == 0)
+    return near.select("collection", "id", "other", "rank", F.round("cosine", 4).alias("cosine"))
+
+
 def _shared(spark: SparkSession, d: str) -> DataFrame:
     return leakage.shared_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -71,7 +77,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copy_counts, p5_found, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copy_counts, p5_found, p5_search, p8_found, p8_leaked_items, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _FACTS = r"""
 WITH parts AS (

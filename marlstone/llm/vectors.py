@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import hnsw
@@ -29,7 +29,7 @@ class IndexSpec:
     #: Centres are a sample of at most so many vectors; past shard_rows * max_shards vectors the shards are split by hash.
     max_shards: int = 16_384
     split_rows: int = 16_384
-    margin: float = 0.05
+    margin: float = 0.08
     max_asked: int = 24
     links: int = 12
     reverse: int = 4
@@ -37,6 +37,11 @@ class IndexSpec:
     expand: int = 4
 
 
+def search_spec(k: int = 5, dim: int = 64) -> IndexSpec:
+    """Settings for neighbours at any distance: far ones lie in many shards, so every shard within a wide margin is asked."""
+    return IndexSpec(dim=dim, k=k, min_cosine=-1.0, margin=0.4, max_asked=1 << 30, ef=64, expand=8, links=16, reverse=8)
+
+
 def _unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the usable vectors and the vectors at unit length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -94,17 +99,18 @@ def _nearest_shards(v: np.ndarray, centres: np.ndarray, spec: IndexSpec) -> tupl
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(own)
 
 
-_ROUTED = "collection string, shard int, part int, own boolean, id bigint, vec binary"
+_ROUTED = "collection string, shard int, part int, own boolean, ask boolean, id bigint, vec binary"
 
 
 def _routed(units: DataFrame, centres: dict[str, np.ndarray], parts: dict[str, np.ndarray], spec: IndexSpec) -> DataFrame:
-    """Each vector once for its own shard (and part of it) and once for every part of every shard it is asked in."""
+    """Each vector once for its own shard (and part of it) and, if it asks, once for every part of every shard it is asked in."""
 
     def run(batches):
         for b in batches:
             names = b.column(0).to_numpy(zero_copy_only=False)
             ids = b.column(1).to_numpy()
             v = _unpacked(pa.chunked_array([b.column(2)]), spec.dim)
+            ask = b.column(3).to_numpy(zero_copy_only=False)
             for name in dict.fromkeys(names):
                 mine = np.flatnonzero(names == name)
                 row, shard, own = _nearest_shards(v[mine], centres[name], spec)
@@ -117,9 +123,11 @@ def _routed(units: DataFrame, centres: dict[str, np.ndarray], parts: dict[str, n
                 part = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
                 own = own[again] & (part == home[again])
                 row, shard = row[again], shard[again]
+                sent = own | ask[row]
+                row, shard, part, own = row[sent], shard[sent], part[sent], own[sent]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[row], pa.string()), pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(own), pa.array(ids[row]), _packed(v[row])],
-                    ["collection", "shard", "part", "own", "id", "vec"],
+                    [pa.array(names[row], pa.string()), pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(own), pa.array(ask[row]), pa.array(ids[row]), _packed(v[row])],
+                    ["collection", "shard", "part", "own", "ask", "id", "vec"],
                 )
 
     return units.mapInArrow(run, _ROUTED)
@@ -137,7 +145,8 @@ def _shard_search(spec: IndexSpec):
         held = held[np.argsort(ids[held], kind="stable")]  # the graph does not depend on arrival
         asked = np.flatnonzero(~own)
         graph = hnsw.build(v[held], max(spec.links, spec.k), spec.reverse)
-        r, c = np.nonzero(graph.near_sims[:, : spec.k] >= spec.min_cosine)
+        ask = shard.column("ask").to_numpy()[held]
+        r, c = np.nonzero((graph.near_sims[:, : spec.k] >= spec.min_cosine) & (graph.near[:, : spec.k] >= 0) & ask[:, None])
         left, right, sims = held[r], held[graph.near[r, c]], graph.near_sims[r, c]
         found, cosines = hnsw.search(graph, v[asked], spec.k, spec.ef, spec.expand)
         r, c = np.nonzero((cosines >= spec.min_cosine) & (found >= 0))
@@ -165,7 +174,7 @@ def _centres(df: DataFrame, sizes: dict[str, int], spec: IndexSpec) -> dict[str,
     return out
 
 
-def similar_pairs(df: DataFrame, spec: IndexSpec = IndexSpec()) -> DataFrame:
+def similar_pairs(df: DataFrame, spec: IndexSpec = IndexSpec(), asked: Column | None = None) -> DataFrame:
     """For every usable vector its ``k`` most similar ones of its collection: collection, id, other, cosine, rank.
 
     ``df`` has ``collection``, ``id`` (unique in a collection) and ``embedding``. A vector is usable if it has ``spec.dim`` finite numbers, not
@@ -173,7 +182,7 @@ def similar_pairs(df: DataFrame, spec: IndexSpec = IndexSpec()) -> DataFrame:
     are listed. Equal cosines rank by the smaller id. Of a repeated id with equal vectors one row stands. The index is
     approximate across shards; see the README for its measured recall. Exact copies never make a task grow: of equal vectors only
     the k + 1 with the smallest ids are indexed, and the rest are given the first k, which are their nearest. An empty
-    input gives an empty result.
+    input gives an empty result. With ``asked``, a condition on ``id``, only those vectors ask, against all.
     """
     spark = df.sparkSession
     df = df.select("collection", "id", "embedding")
@@ -204,14 +213,22 @@ def similar_pairs(df: DataFrame, spec: IndexSpec = IndexSpec()) -> DataFrame:
         parts = {name: ones.copy() for name, ones in whole.items()}
         for r in counted:
             parts[r["collection"]][r["shard"]] = math.ceil(r["count"] / spec.split_rows)
-    routed = _routed(units, centres, parts, spec)
+    ask = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    routed = _routed(units.select("collection", "id", "vec", ask.alias("ask")), centres, parts, spec)
     found = routed.groupBy("collection", "shard", "part").applyInArrow(_shard_search(spec), _FOUND)
+    if asked is not None:
+        both = found if surplus is None else found.unionByName(surplus.where(ask))
+        return _best(both, spec)
     # a pair found from one side counts for both; to the first of its copies a surplus copy is never among the k nearest
     mirrored = F.explode(F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"))))
     both = found.select("collection", mirrored.alias("e"), "cosine").select("collection", "e.id", "e.other", "cosine")
     if surplus is not None:
         both = both.unionByName(surplus)
-    merged = both.groupBy("collection", "id", "other").agg(F.max("cosine").alias("cosine"))
+    return _best(both, spec)
+
+
+def _best(found: DataFrame, spec: IndexSpec) -> DataFrame:
+    merged = found.groupBy("collection", "id", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("cosine"), "other"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= spec.k).select("collection", "id", "other", F.col("cosine").cast("double").alias("cosine"), "rank")
 

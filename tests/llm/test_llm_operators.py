@@ -145,6 +145,25 @@ def test_vector_recall_on_the_tables(spark, name, key):
     assert len(got & want) >= 0.97 * len(want)
 
 
+def test_search_recall_of_asked_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/passages.parquet").select(F.lit("p").alias("collection"), F.col("passage_no").alias("id"), "embedding")
+    got = defaultdict(set)
+    import dataclasses
+
+    for r in vectors.similar_pairs(df, dataclasses.replace(vectors.search_spec(), shard_rows=100), F.col("id") % 5 == 0).collect():
+        got[r.id].add(r.other)
+    rows = [(r.id, np.array(r.embedding)) for r in df.collect() if r.embedding is not None and len(r.embedding) == 64 and any(r.embedding)]
+    ids = np.array([i for i, _ in rows])
+    v = np.stack([e / np.linalg.norm(e) for _, e in rows])
+    hits = total = 0
+    for a in np.flatnonzero(ids % 5 == 0):
+        s = v @ v[a]
+        s[a] = -2
+        want = set(ids[np.argsort(-s)[:5]].tolist())
+        hits, total = hits + len(want & got[int(ids[a])]), total + 5
+    assert hits / total >= 0.9 and all(k % 5 == 0 for k in got)
+
+
 def test_mixing_reaches_shares_and_respects_caps(spark):
     rng = random.Random(3)
     docs = [(i, "word " * rng.randrange(1, 200), rng.choice(["a"] * 6 + ["b", "c", None]), "z") for i in range(600)] + [(None, "x", "a", "z"), (700, None, "a", "z"), (701, "", "a", "z")]
