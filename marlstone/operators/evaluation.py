@@ -51,7 +51,6 @@ def evidence_metrics(ranked: DataFrame, groups: DataFrame, k: int = 10) -> DataF
     best = ranked.groupBy("qid", "item").agg(F.min("rank").alias("rank"))
     relevant = groups.select("qid", "item").distinct().join(best, ["qid", "item"], "left")
     inside = F.col("rank") <= k
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.count(F.lit(1)), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     item = relevant.groupBy("qid").agg(
         F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"),
         F.coalesce(F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("_dcg"), F.count(F.lit(1)).alias("_n"),

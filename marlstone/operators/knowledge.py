@@ -130,12 +130,25 @@ def name_index(names: DataFrame) -> DataFrame:
 
 
 def ngrams(passages: DataFrame, longest: int) -> DataFrame:
-    """The distinct runs of 2 to ``longest`` cleaned words of each passage (passage_id, text): passage_id, gram. Linear in the text."""
-    words = passages.select("passage_id", F.posexplode(F.split(clean_phrase("text"), " ")).alias("pos", "w1"))
-    order = Window.partitionBy("passage_id").orderBy("pos")
-    ahead = words.select("passage_id", "w1", *[F.lead("w1", n - 1).over(order).alias(f"w{n}") for n in range(2, longest + 1)])
-    grams = [F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)])) for n in range(2, longest + 1)]
-    return ahead.select("passage_id", F.explode(F.array(*grams)).alias("gram")).where("gram is not null").distinct()
+    """The distinct runs of 2 to ``longest`` cleaned words of each passage (passage_id, text): passage_id, gram.
+
+    A passage is one row, so its runs are made in place, in time linear in the text; nothing is shuffled."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            ids, grams = [], []
+            for key, text in zip(pdf["passage_id"], pdf["words"]):
+                w = text.split(" ")
+                own = {" ".join(w[i : i + n]) for n in range(2, longest + 1) for i in range(len(w) - n + 1)}
+                ids += [key] * len(own)
+                grams += sorted(own)
+            if ids:
+                yield pd.DataFrame({"passage_id": ids, "gram": grams})
+
+    kind = passages.schema["passage_id"].dataType.simpleString()
+    words = passages.select("passage_id", clean_phrase("text").alias("words")).where("words <> ''")
+    return words.mapInPandas(run, f"passage_id {kind}, gram string")
 
 
 def references(passages: DataFrame, names: DataFrame, per_passage: int = REFERENCES, longest: int = 4) -> DataFrame:

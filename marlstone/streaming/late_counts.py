@@ -1,4 +1,4 @@
-"""Streaming form of the late-event counters: each micro-batch is merged into the stored state, idempotently."""
+"""Streaming form of the late-event counters: each micro-batch leaves a part of the register, parts merge idempotently."""
 
 from __future__ import annotations
 
@@ -19,27 +19,35 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
-def start(claims: DataFrame, state_path: str, checkpoint: str, policy: LatenessPolicy = LatenessPolicy()):
-    """Keeps a register of events under ``state_path``/v=N: per event its earliest arrival. A batch that is delivered again, or that
-    comes before an older one, leaves the register as it is; versions are written aside and the newest whole one is read.
+def start(claims: DataFrame, state_path: str, checkpoint: str):
+    """Writes the register of each micro-batch (per event its earliest arrival) as one part, ``state_path``/v=N.
 
-    ``claims`` is a streaming table with event_id, source_id, content_hash, valid_from and recorded_from.
+    Parts only ever grow in number; a batch that is delivered again overwrites its own part, and since merging takes
+    minima, overlapping or reordered batches change nothing. ``claims`` is a streaming table with event_id, source_id, content_hash,
+    valid_from and recorded_from.
     """
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = late_events.distinct_events(batch)
-        earlier = [v for v in _versions(spark, state_path) if v < epoch]
-        both = fresh.unionByName(spark.read.parquet(f"{state_path}/v={earlier[-1]}")) if earlier else fresh
-        first = both.groupBy("source_id", "identity").agg(F.min(F.struct("recorded_us", "event_id", "event_us")).alias("row"))
-        first.select("source_id", "identity", "row.*").write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
+    def keep(batch: DataFrame, epoch: int) -> None:
+        late_events.distinct_events(batch).write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
 
-    return claims.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return claims.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def register(spark: SparkSession, state_path: str) -> DataFrame:
+    """All whole parts merged: one row per event."""
+    parts = [f"{state_path}/v={v}" for v in _versions(spark, state_path)]
+    rows = spark.read.parquet(*parts)
+    first = rows.groupBy("source_id", "identity").agg(F.min(F.struct("recorded_us", "event_id", "event_us")).alias("row"))
+    return first.select("source_id", "identity", "row.*")
+
+
+def compact(spark: SparkSession, state_path: str, into: str) -> None:
+    """Writes the merged register as the single part of a new folder, for a stream that is started anew on it."""
+    register(spark, state_path).write.mode("overwrite").parquet(f"{into}/v=0")
 
 
 def read(spark: SparkSession, state_path: str, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
-    """Corrected counts per period and source from the newest register."""
-    events = spark.read.parquet(f"{state_path}/v={_versions(spark, state_path)[-1]}")
-    return late_events.read_counters(late_events.counter_state(late_events.classify(events, policy)))
+    """Corrected counts per period and source."""
+    return late_events.read_counters(late_events.counter_state(late_events.classify(register(spark, state_path), policy)))
 
 
 def windowed_counts(events: DataFrame, period: str = "1 day", lateness: str = "3 days") -> DataFrame:
