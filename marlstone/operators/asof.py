@@ -65,6 +65,8 @@ def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], edg
         F.col("recorded_us").alias("_rf"),
         F.struct(F.col("ordinal").isNotNull().alias("has"), F.col("ordinal").alias("ordinal"), F.col("recorded_us").alias("rf"), F.col("id").alias("id")).alias("_best"),
     ).where("_lo < _hi")
+    # series that nobody asks for go before they are cut into blocks
+    c = c.join(q.select(*_S).distinct(), _S, "left_semi")
     # a series with very many claims is split by salt: the best of the best of its parts is its best
     hot = F.broadcast(hot_keys(c, _S, hot_rows))  # at most rows / hot_rows series
     c = c.join(hot, _S, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_best"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
