@@ -188,7 +188,7 @@ def graph_search(spark, d):
     p = table(spark, d, "passages").select(F.col("id").alias("passage_id"), "embedding")
     boosts = spark.createDataFrame([], "id string, boost double")
     found = retrieval.search(p, facts, _walk(spark, d), knowledge.node_specificity(knowledge.mentions(t)), boosts, _query_vector(spark, d))
-    return found.select("passage_id", "rank", F.round("score", 6).alias("score"), F.round("dense", 6).alias("dense"), "dense_rank")
+    return found.select("passage_id", "rank", F.round("score", 6).alias("score"), F.round("dense", 6).alias("dense"), F.coalesce("dense_rank", F.lit(0)).alias("dense_rank"))
 
 
 def trace_diff(spark, d):
@@ -295,18 +295,53 @@ seeds AS (SELECT DISTINCT subject_id AS id FROM t WHERE predicate = 'is owned by
 """
 
 
-def _ppr_sql() -> str:
+_QUERY = "qv AS (SELECT embedding::DOUBLE[] AS q FROM passages WHERE len(embedding) = 64 ORDER BY passage_no LIMIT 1)"
+
+
+def _rounds_sql(reset: str, rounds: int) -> str:
+    """Power iteration over ``walk`` from ``reset`` (id, p), one CTE per round."""
     steps = [
         "str AS (SELECT src, sum(weight) AS total FROM walk GROUP BY 1)",
         "sh AS MATERIALIZED (SELECT src, dst, weight / total AS share FROM walk JOIN str USING (src))",
-        "p AS MATERIALIZED (SELECT id, 1.0 / (SELECT count(*) FROM seeds) AS p FROM seeds)",
+        f"p AS MATERIALIZED ({reset})",
         "lost AS (SELECT coalesce(sum(p), 0) AS l FROM p WHERE id NOT IN (SELECT src FROM str))",
         "d0 AS (SELECT l AS d FROM lost)", "r0 AS (SELECT id, p AS score FROM p)",
     ]
-    for i in range(ROUNDS):
+    for i in range(rounds):
         steps.append(f"r{i + 1} AS MATERIALIZED (SELECT id, sum(score) AS score FROM (SELECT dst AS id, share * score * 0.5 AS score FROM sh JOIN r{i} ON src = id UNION ALL SELECT id, p * (0.5 + 0.5 * (SELECT d FROM d{i})) FROM p) GROUP BY 1)")
         steps.append(f"d{i + 1} AS (SELECT (0.5 + 0.5 * d) * (SELECT l FROM lost) AS d FROM d{i})")
-    return f"WITH {_EDGES}, {', '.join(steps)} SELECT id, round(score, 9) AS score FROM r{ROUNDS}"
+    return ", ".join(steps)
+
+
+def _ppr_sql() -> str:
+    reset = "SELECT id, 1.0 / (SELECT count(*) FROM seeds) AS p FROM seeds"
+    return f"WITH {_EDGES}, {_rounds_sql(reset, ROUNDS)} SELECT id, round(score, 9) AS score FROM r{ROUNDS}"
+
+
+def _search_sql(rounds: int) -> str:
+    scaled = "(x - (SELECT min(x) FROM {0})) / ((SELECT max(x) FROM {0}) - (SELECT min(x) FROM {0}))"
+    steps = [
+        _QUERY,
+        "pd AS (SELECT id, list_dot_product(embedding::DOUBLE[], q) AS x FROM passages, qv WHERE len(embedding) = 64)",
+        f"dense AS MATERIALIZED (SELECT id, {scaled.format('pd')} AS d FROM pd)",
+        f"fd AS (SELECT 'fact-' || fact_row AS fid, 'entity-' || md5({CLEAN.format('subject')}) AS s, 'entity-' || md5({CLEAN.format('object')}) AS o, list_dot_product(embedding::DOUBLE[], q) AS x FROM facts, qv WHERE len(embedding) = 64 AND subject IS NOT NULL AND object IS NOT NULL)",
+        f"best AS (SELECT s, o, {scaled.format('fd')} AS d, fid FROM fd ORDER BY d DESC, fid LIMIT 5)",
+        "mean AS (SELECT id, avg(d / greatest(coalesce(passage_count, 1), 1)) AS w FROM (SELECT unnest([s, o]) AS id, d FROM best) LEFT JOIN spec USING (id) GROUP BY 1)",
+        "cut AS (SELECT id, w FROM mean ORDER BY w DESC, id LIMIT 5)",
+        "parts AS (SELECT id, sum(v) AS v FROM (SELECT id, w AS v FROM cut UNION ALL SELECT id, d * 0.05 FROM dense) GROUP BY 1 HAVING sum(v) > 0)",
+        _rounds_sql("SELECT id, v / (SELECT sum(v) FROM parts) AS p FROM parts", rounds),
+        f"scored AS (SELECT id, coalesce(score, 0) AS score, d, row_number() OVER (ORDER BY d DESC, id) AS dense_rank FROM dense LEFT JOIN r{rounds} USING (id))",
+        "ranked AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank FROM scored)",
+    ]
+    return f"WITH {_EDGES}, {', '.join(steps)} SELECT id AS passage_id, rank, round(score, 6) AS score, round(d, 6) AS dense, CASE WHEN dense_rank <= 200 THEN dense_rank ELSE 0 END AS dense_rank FROM ranked WHERE rank <= 200"
+
+
+def _labels_sql(rounds: int) -> str:
+    steps = ["own AS (SELECT src AS id, max(weight) AS weight FROM walk GROUP BY 1)", "l0 AS (SELECT id, id AS label FROM own)"]
+    for i in range(rounds):
+        steps.append(f"w{i} AS (SELECT id, label, round(sum(weight), 9) AS w FROM (SELECT src AS id, label, weight FROM walk JOIN l{i} ON dst = id UNION ALL SELECT id, label, weight FROM l{i} JOIN own USING (id)) GROUP BY 1, 2)")
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM w{i} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1)")
+    return f"WITH {_EDGES}, {', '.join(steps)} SELECT min(id) AS community, count(*) AS n FROM l{rounds} GROUP BY label"
 
 
 def _bfs_sql(edges: str, seeds: str, depth: int) -> str:
@@ -316,7 +351,6 @@ def _bfs_sql(edges: str, seeds: str, depth: int) -> str:
     return ", ".join(steps)
 
 
-_QUERY = "qv AS (SELECT embedding::DOUBLE[] AS q FROM passages WHERE len(embedding) = 64 ORDER BY passage_no LIMIT 1)"
 ORACLE = {
     "entity_ids": f"WITH {_TRIPLES} SELECT id, name FROM ent",
     "fact_statements": f"WITH {_TRIPLES} SELECT fact_id, count(*) AS n_passages FROM t GROUP BY 1",
@@ -331,6 +365,8 @@ SELECT DISTINCT 'entity-' || md5(name) AS id, name FROM e WHERE late AND name NO
     "edge_merge": f"WITH {_EDGES} SELECT a, b, weight::DOUBLE AS weight, kinds FROM merged",
     "edge_edits": f"WITH {_EDGES} SELECT a, b, (CASE WHEN weight >= 2 THEN weight / 2 ELSE weight END)::DOUBLE AS weight FROM merged WHERE weight < 4",
     "ppr_rank": _ppr_sql(),
+    "graph_search": _search_sql(12),
+    "community_sizes": _labels_sql(4),
     "bfs_hops": f"WITH {_EDGES}, {_bfs_sql('SELECT DISTINCT subject_id AS src, object_id AS dst FROM t', 'SELECT id FROM seeds', 3)} SELECT id, hops FROM v3",
     "neighborhood": f"WITH {_EDGES}, {_bfs_sql('SELECT src, dst FROM walk', 'SELECT id FROM seeds', 1)} SELECT id, hops, (SELECT max(weight) FROM walk JOIN v1 s ON src = s.id AND s.hops = v.hops - 1 WHERE dst = v.id)::DOUBLE AS weight FROM v1 v ORDER BY hops, weight DESC NULLS LAST, id LIMIT 100",
     "blast_radius": f"""WITH {_EDGES}, {_bfs_sql("SELECT DISTINCT object_id AS src, subject_id AS dst FROM t WHERE predicate = 'depends on'", 'SELECT id FROM seeds', 2)}

@@ -111,11 +111,31 @@ WITH firsts AS (
   FROM marked GROUP BY 1, 2
 )
 """
+_TIMES = r"""
+WITH stated AS (
+  SELECT 'temporal_events' AS tbl, event_id::VARCHAR AS row_key, precision AS grain, source_updated_at AS txt, timezone AS zone FROM temporal_events LEFT JOIN sources ON sources.id = source_id WHERE source_updated_at IS NOT NULL
+  UNION ALL SELECT 'observations', id, temporal_precision, source_timestamp_original, source_timezone FROM observations WHERE source_timestamp_original IS NOT NULL
+), trimmed AS (SELECT *, regexp_replace(txt, '^\s+|\s+$', '', 'g') AS t FROM stated),
+zoned AS (SELECT *, CASE WHEN regexp_matches(t, ':\d\d.*[+-]\d\d:?\d\d$') THEN regexp_extract(t, '([+-]\d\d:?\d\d)$', 1) WHEN regexp_matches(t, '\d[Zz]$') THEN 'Z' END AS own FROM trimmed),
+body AS (SELECT *, CASE WHEN own IS NULL THEN t ELSE regexp_replace(t, ' ?([Zz]|[+-]\d\d:?\d\d)$', '') END AS b FROM zoned),
+parts AS (SELECT *, CASE WHEN regexp_matches(b, ':\d\d[.,]\d+$') THEN rpad(left(regexp_extract(b, '[.,](\d+)$', 1), 6), 6, '0')::BIGINT ELSE 0 END AS frac, regexp_replace(regexp_replace(b, '[.,]\d+$', ''), '^(\d{4}-\d\d-\d\d)t', '\1T') AS whole FROM body),
+parsed AS (SELECT *, CASE WHEN regexp_matches(t, '^(\d{10}|\d{13}|\d{16})$') THEN t::BIGINT * CASE length(t) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END END AS epoch,
+  epoch_us(try_strptime(CASE WHEN regexp_matches(b, ':\d\d[.,]\d+$') THEN whole ELSE regexp_replace(b, '^(\d{4}-\d\d-\d\d)t', '\1T') END, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M', '%Y-%m-%d %H:%M', '%Y-%m-%d', '%Y-%m', '%Y', '%Y%m%dT%H%M%S', '%d.%m.%Y', '%d.%m.%Y %H:%M',
+    '%d.%m.%Y %H:%M:%S', '%m/%d/%Y', '%m/%d/%Y %I:%M %p', '%m/%d/%Y %I:%M:%S %p', '%B %d, %Y %I:%M:%S %p', '%a, %d %b %Y %H:%M:%S', '%a, %d %B %Y %H:%M:%S'])) + frac AS l FROM parts),
+offsets AS (SELECT *, coalesce(own, CASE WHEN regexp_matches(zone, '^[+-]\d\d:?\d\d$') THEN zone END) AS o, coalesce(zone, 'UTC') AS z FROM parsed),
+fixed AS (SELECT * EXCLUDE (z), CASE WHEN regexp_matches(z, '^[+-]') THEN 'UTC' ELSE z END AS z, CASE WHEN o = 'Z' THEN 0 ELSE (CASE WHEN o[1] = '-' THEN -1 ELSE 1 END) * (o[2:3]::BIGINT * 60 + right(o, 2)::BIGINT) * 60000000 END AS fo FROM offsets),
+near AS (SELECT *, epoch_us(timezone(z, timezone('UTC', make_timestamp(l - 86400000000)))) - (l - 86400000000) AS o1, epoch_us(timezone(z, timezone('UTC', make_timestamp(l + 86400000000)))) - (l + 86400000000) AS o2 FROM fixed),
+fits AS (SELECT *, epoch_us(timezone(z, timezone('UTC', make_timestamp(l - o1)))) = l AS k1, epoch_us(timezone(z, timezone('UTC', make_timestamp(l - o2)))) = l AS k2 FROM near),
+told AS (SELECT tbl, row_key, grain, CASE WHEN epoch IS NULL AND l IS NULL THEN 'invalid' WHEN epoch IS NULL AND fo IS NULL AND zone IS NULL THEN 'unzoned' WHEN epoch IS NULL AND fo IS NULL AND k1 AND k2 AND o1 <> o2 THEN 'ambiguous' WHEN epoch IS NULL AND fo IS NULL AND NOT k1 AND NOT k2 THEN 'nonexistent' END AS problem,
+  coalesce(epoch, l - fo, l - CASE WHEN k1 THEN o1 ELSE o2 END) AS u FROM fits)
+"""
 ORACLE = {
     "p2_found": _EVENTS + "SELECT event_id, outcome FROM judged WHERE outcome <> 'on_time'",
     "p2_daily_counts": _EVENTS + """
 SELECT source_id, day AS period_us, count(*) FILTER (WHERE outcome = 'on_time') AS n_on_time, count(*) FILTER (WHERE outcome = 'correction') AS n_corrections,
   count(*) FILTER (WHERE outcome = 'too_late') AS n_too_late, count(*) FILTER (WHERE outcome <> 'too_late') AS n_total FROM judged GROUP BY 1, 2""",
+    "p3_found": _TIMES + "SELECT tbl, row_key, coalesce(problem, strftime(make_timestamp(u), '%Y-%m-%dT%H:%M:%S.%fZ')) AS utc_value FROM told",
+    "p3_outcomes": _TIMES + "SELECT tbl, grain, coalesce(problem, 'decided') AS outcome, count(*) AS n FROM told GROUP BY 1, 2, 3",
     "p4_found": """
 SELECT q.id AS question_id, c.event_id FROM questions q JOIN temporal_events c
   ON c.claim IS NOT NULL AND c.source_id = q.source_id AND c.scope_key = q.scope_key AND c.claim.predicate = q.predicate
