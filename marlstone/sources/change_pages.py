@@ -5,21 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "seq bigint, page_no bigint, partition_key string, external_id string, provider_revision string, operation string, policy_id string, ordinal bigint"
-_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+_STORED = ["seq", "page_no", "ref", "operation", "policy_id", "provider_order"]
 
 
-def _file_pages(path: str) -> dict[int, list[tuple]]:
-    """Pages of a Parquet change table, for connectors whose provider is a file."""
+def _last_page(path: str) -> int:
+    """Number of the last page there is; -1 for none. Only the page column is read."""
+    import pyarrow.compute as pc
     import pyarrow.dataset as ds
 
-    rows = ds.dataset(path).to_table(columns=["seq", "page_no", "ref", "operation", "policy_id", "provider_order"]).to_pylist()
-    pages: dict[int, list[tuple]] = {}
-    for r in sorted(rows, key=lambda r: r["seq"]):
-        pages.setdefault(r["page_no"], []).append((r["seq"], r["page_no"], r["ref"]["partition_key"], r["ref"]["external_id"], r["ref"]["provider_revision"], r["operation"], r["policy_id"], r["provider_order"]["ordinal"]))
-    return pages
+    last = pc.max(ds.dataset(path).to_table(columns=["page_no"])["page_no"]).as_py()
+    return -1 if last is None else last
+
+
+def _rows(path: str, low: int, high: int) -> Iterator[tuple]:
+    """Changes of the pages low..high - 1 in order."""
+    import pyarrow.dataset as ds
+
+    table = ds.dataset(path).to_table(columns=_STORED, filter=(ds.field("page_no") >= low) & (ds.field("page_no") < high))
+    for r in table.sort_by("seq").to_pylist():
+        yield (r["seq"], r["page_no"], r["ref"]["partition_key"], r["ref"]["external_id"], r["ref"]["provider_revision"], r["operation"], r["policy_id"], r["provider_order"]["ordinal"])
+
+
+def _ranges(low: int, high: int, per_task: int) -> list[InputPartition]:
+    return [InputPartition((a, min(a + per_task, high))) for a in range(low, high, per_task)] or [InputPartition((low, low))]
 
 
 class _Pages(DataSourceReader):
@@ -27,45 +38,36 @@ class _Pages(DataSourceReader):
         self.path, self.per_task = path, per_task
 
     def partitions(self):
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
-
-        last = pc.max(ds.dataset(self.path).to_table(columns=["page_no"])["page_no"]).as_py()
-        return [InputPartition((a, a + self.per_task)) for a in range(0, (last or 0) + 1, self.per_task)] if last is not None else [InputPartition((0, 0))]
+        return _ranges(0, _last_page(self.path) + 1, self.per_task)
 
     def read(self, partition) -> Iterator[tuple]:
-        import pyarrow.dataset as ds
+        return _rows(self.path, *partition.value)
 
-        low, high = partition.value
-        table = ds.dataset(self.path).to_table(columns=["seq", "page_no", "ref", "operation", "policy_id", "provider_order"], filter=(ds.field("page_no") >= low) & (ds.field("page_no") < high))
-        for r in table.to_pylist():
-            yield (r["seq"], r["page_no"], r["ref"]["partition_key"], r["ref"]["external_id"], r["ref"]["provider_revision"], r["operation"], r["policy_id"], r["provider_order"]["ordinal"])
 
+class _Stream(DataSourceStreamReader):
+    """The offset is the number of pages taken in; tasks read their own ranges of pages."""
 
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, pages_a_batch: int):
-        self.path, self.step, self.pages = path, pages_a_batch, None
-
-    def _load(self) -> dict[int, list[tuple]]:
-        self.pages = _file_pages(self.path) if self.pages is None else self.pages
-        return self.pages
+    def __init__(self, path: str, per_task: int):
+        self.path, self.per_task = path, per_task
 
     def initialOffset(self) -> dict:
         return {"page": 0}
 
-    def read(self, start: dict):
-        pages = self._load()
-        last = max(pages, default=-1)
-        end = min(start["page"] + self.step, last + 1)
-        return iter([r for p in range(start["page"], end) for r in pages.get(p, [])]), {"page": max(end, start["page"])}
+    def latestOffset(self) -> dict:
+        return {"page": _last_page(self.path) + 1}
+
+    def partitions(self, start: dict, end: dict):
+        return _ranges(start["page"], end["page"], self.per_task)
+
+    def read(self, partition) -> Iterator[tuple]:
+        return _rows(self.path, *partition.value)
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        pages = self._load()
-        return iter([r for p in range(start["page"], end["page"]) for r in pages.get(p, [])])
+    def commit(self, end: dict) -> None:
+        """Nothing to release: pages stay with the provider."""
 
 
 class ChangePages(DataSource):
-    """``spark.read.format("change_pages").option("path", ...)``; options ``pages_per_task`` and ``pages_per_batch``."""
+    """``spark.read.format("change_pages").option("path", ...)``, and ``readStream`` alike; option ``pages_per_task``."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,8 +79,8 @@ class ChangePages(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Pages(self.options["path"], int(self.options.get("pages_per_task", 64)))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Stream(self.options["path"], int(self.options.get("pages_per_batch", 256)))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.options["path"], int(self.options.get("pages_per_task", 64)))
 
 
 def register(spark: SparkSession) -> None:

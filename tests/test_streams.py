@@ -48,3 +48,16 @@ def test_feed_log_overwrites_repeated_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         feed.start(spark.readStream.schema(schema).parquet(source), log, str(tmp_path / "marks")).awaitTermination()
     assert [tuple(r) for r in feed.current_state(spark, log).collect()] == [("w", "a", "r1", "p")]
+
+
+def test_paged_source_streams_every_page_once(spark, tmp_path):
+    from marlstone.sources import change_pages
+
+    change_pages.register(spark)
+    whole = spark.read.parquet("/root/testdata/sf0.001/changes.parquet").coalesce(1)
+    path, log, marks = str(tmp_path / "pages"), str(tmp_path / "log"), str(tmp_path / "marks")
+    for low, high in ((0, 3), (3, 10**9)):
+        whole.where((F.col("page_no") >= low) & (F.col("page_no") < high)).write.mode("append").parquet(path)
+        feed.start(spark.readStream.format("change_pages").option("path", path).option("pages_per_task", 2).load(), log, marks).awaitTermination()
+    got = spark.read.parquet(log)
+    assert got.count() == whole.count() == got.select("seq").distinct().count()
