@@ -194,6 +194,17 @@ def test_token_counts_are_those_of_the_tokenizer(spark):
     assert {r.doc_id: r.tokens for r in mixing.token_counts(rows).collect()} == want
 
 
+def test_token_counts_of_very_long_texts(monkeypatch):
+    e = mixing._encoding(mixing.TOKENIZER, mixing.PIECES)
+    text = "Some words,  12 x\n\n \t y's  " * 50 + "naïve 日本"
+    want = len(e.encode_ordinary(text))
+    monkeypatch.setattr(mixing, "_LONG_RUN", 2)
+    assert mixing.count_tokens(e, mixing.PIECES, text) == want
+    monkeypatch.undo()
+    assert mixing.count_tokens(e, mixing.PIECES, "a" + " " * 1_000_000 + "b") > 10
+    assert mixing.count_tokens(e, mixing.PIECES, "a" * 1_000_000) > 10 and mixing.count_tokens(e, mixing.PIECES, None) == 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     return [(r.item_text, list(r.areas), None) for r in spark.read.parquet(f"{D}/labelled_texts.parquet").orderBy("text_id").collect()]
