@@ -80,8 +80,8 @@ def read_words(texts: Sequence[str | None], least_words: int = 3) -> Words:
     return Words(hashes, owner, sentence, capital, digits, owner[first], real)
 
 
-def term_hashes(words: Words, function_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the terms (words and pairs of neighbours) and their sentence numbers, sorted by sentence.
+def term_hashes(words: Words, function_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the terms (words and pairs of neighbours), their sentence numbers and whether they are words, sorted by sentence.
 
     Runs of two or more capitalised words that are no function words are names, and names and numbers make no terms.
     ``function_words``: sorted hashes.
@@ -89,7 +89,7 @@ def term_hashes(words: Words, function_words: np.ndarray) -> tuple[np.ndarray, n
     h = words.hashes
     n = len(h)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
     at = np.minimum(np.searchsorted(function_words, h), max(len(function_words) - 1, 0))
     function = function_words[at] == h if len(function_words) else np.zeros(n, bool)
     named = words.capital & ~function
@@ -105,4 +105,4 @@ def term_hashes(words: Words, function_words: np.ndarray) -> tuple[np.ndarray, n
     terms = np.concatenate([h[single], pairs])
     owner = np.concatenate([words.sentence[single], words.sentence[both]])
     order = np.argsort(owner, kind="stable")
-    return terms[order], owner[order]
+    return terms[order], owner[order], (np.arange(len(terms)) < len(single))[order]

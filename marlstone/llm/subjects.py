@@ -52,23 +52,29 @@ class TermModel:
     weights: np.ndarray  # term x (areas + 1), already times idf
     idf: np.ndarray
     bias: np.ndarray
+    strange: float  # weight of a word that no example has
 
     def probabilities(self, words: Words) -> np.ndarray:
-        """Per segment, the probability of each area and, last, of none."""
+        """Per segment, the probability of each area and, last, of none; a segment like no example deals with none."""
         n = len(words.real)
-        hashes, owner = term_hashes(words, self.function_words)
+        hashes, owner, single = term_hashes(words, self.function_words)
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         known = self.terms[at] == hashes
+        # words never seen speak for no area, so they weaken what the others say
+        strange = np.bincount(owner[single & ~known], minlength=n).astype(np.float32) * self.strange**2
+        foreign = np.bincount(owner[~single & known], minlength=n) == 0  # not two words together as in any example
         at, owner = at[known], owner[known]
         scores, norm = np.zeros((n, self.weights.shape[1]), np.float32), np.zeros(n, np.float32)
         if len(at):
             first = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
             scores[owner[first]] = np.add.reduceat(self.weights[at], first, axis=0)
             norm[owner[first]] = np.add.reduceat(self.idf[at] ** 2, first)
-        scores = scores / np.maximum(np.sqrt(norm), 1e-6)[:, None] + self.bias
+        scores = scores / np.maximum(np.sqrt(norm + strange), 1e-6)[:, None] + self.bias
         scores -= scores.max(1, keepdims=True)
         p = np.exp(scores)
-        return p / p.sum(1, keepdims=True)
+        p /= p.sum(1, keepdims=True)
+        p[foreign] = np.eye(1, p.shape[1], p.shape[1] - 1)
+        return p
 
 
 def _adam(gradient, shapes: Sequence[tuple[int, ...]], steps: int, rate: float) -> list[np.ndarray]:
@@ -84,7 +90,7 @@ def _adam(gradient, shapes: Sequence[tuple[int, ...]], steps: int, rate: float)
 
 def _fit_terms(words: Words, targets: np.ndarray, function_words: np.ndarray, spec: SubjectSpec) -> TermModel:
     """Softmax regression over idf-weighted terms; ``targets`` per segment, all-zero rows are left out."""
-    hashes, owner = term_hashes(words, function_words)
+    hashes, owner, _ = term_hashes(words, function_words)
     used = targets.sum(1) > 0
     hashes, owner = hashes[used[owner]], owner[used[owner]]
     terms, at = np.unique(hashes, return_inverse=True)
@@ -114,7 +120,7 @@ def _fit_terms(words: Words, targets: np.ndarray, function_words: np.ndarray, sp
         return slope, g.sum(0)
 
     w, b = _adam(gradient, [(many, y.shape[1]), (y.shape[1],)], spec.steps, 0.05)
-    return TermModel(function_words, terms if len(terms) else np.array([NO_HASH]), w * idf[:, None], idf, b)
+    return TermModel(function_words, terms if len(terms) else np.array([NO_HASH]), w * idf[:, None], idf, b, float(np.log(1 + len(rows))) if len(rows) else 1.0)
 
 
 STRUCTURES = ("object", "markup", "heading", "code", "table")
@@ -136,8 +142,22 @@ def _source_features(source: str | None) -> np.ndarray:
     return out
 
 
+def mixed(p: np.ndarray, owner: np.ndarray, n: int, rounds: int = 6, calm: float = 0.5) -> np.ndarray:
+    """Sentence probabilities in the light of their document: the weights of its areas are estimated by expectation and
+    maximisation, so that doubtful sentences follow the clear ones. ``calm`` is what every area has beforehand, in sentences."""
+    count = np.maximum(np.bincount(owner, minlength=n), 1)[:, None].astype(np.float32)
+    q = p
+    for _ in range(rounds):
+        weight = np.stack([np.bincount(owner, weights=q[:, j], minlength=n) for j in range(p.shape[1])], 1).astype(np.float32)
+        weight = (weight + calm) / (count + calm * p.shape[1])
+        q = p * weight[owner]
+        q /= q.sum(1, keepdims=True)
+    return q
+
+
 def _document_features(p: np.ndarray, owner: np.ndarray, n: int, areas: int) -> tuple[np.ndarray, np.ndarray]:
     """Per document: for each area its share of sentences, its mean probability; and general ones (size, none, spread)."""
+    p = mixed(p, owner, n)
     count = np.bincount(owner, minlength=n).astype(np.float32)
     of = np.maximum(count, 1)[:, None]
     hard = np.zeros((n, areas + 1), np.float32)
@@ -239,8 +259,7 @@ def _function_words(words: Words, spec: SubjectSpec) -> np.ndarray:
 
 def _common_words_only(words: Words, function: np.ndarray, labels: Sequence[Sequence[int]], areas: int, spec: SubjectSpec) -> np.ndarray:
     """Sentences all of whose words turn up in several areas alike: they deal with none."""
-    terms, owner = term_hashes(words, function)
-    single = np.isin(terms, words.hashes)  # words, not pairs
+    terms, owner, single = term_hashes(words, function)
     terms, owner = terms[single], owner[single]
     area = np.array([own[0] if len(own) == 1 else -1 for own in labels], np.int64)[words.sentence_owner[owner]] if len(owner) else np.empty(0, np.int64)
     vocabulary, at = np.unique(terms, return_inverse=True)
