@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -84,6 +86,8 @@ class ChangePages(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known. Its code is sent by value, as the planner's Python does not see files sent along."""
+    register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(ChangePages)
 
 
