@@ -26,6 +26,28 @@ def clean_phrase(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^\p{L}\p{N}]", " "), " +", " "))
 
 
+def fields_of_raw(raw: Column, names: Sequence[str]) -> dict[str, Column]:
+    """Named values inside a text: a JSON object, or ``name: value`` or ``name=value`` pairs divided by ``;`` or ``|``.
+
+    Names count in any order and letter case; the first of repeated names holds; what is not there is null.
+    White space around the value of a pair is not part of it.
+    """
+    is_json = F.startswith(F.btrim(raw), F.lit("{"))
+    entries = F.map_entries(F.from_json(F.when(is_json, raw), "map<string,string>"))
+    any_name = "|".join(names)
+
+    def named(name: str) -> Column:
+        return F.filter(entries, lambda e: F.lower(F.btrim(e["key"])) == name)
+
+    out = {}
+    for name in names:
+        held = named(name)
+        pattern = rf"(?is)(?:^|[;|])\s*{name}\s*[:=](.*?)(?=[;|]\s*(?:{any_name})\s*[:=]|$)"
+        pair = F.when(raw.rlike(pattern), F.btrim(F.regexp_extract(raw, pattern, 1)))
+        out[name] = F.when(is_json, F.try_element_at(held, F.lit(1))["value"]).otherwise(pair)
+    return out
+
+
 def prefixed_id(prefix: str, content: Column | str) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.md5(col(content)))
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators import knowledge
+from marlstone.operators.knowledge import FACT_FIELDS
 from marlstone.plans.skew import HOT_ROWS, salted_lookup
 
 #: Letters counted for the histogram: frequent ones tell most classes apart. Any set gives a right result.
@@ -38,27 +40,6 @@ def _histogram(text: Column) -> Column:
     return F.xxhash64(*counts)
 
 
-def fields_of_raw(raw: Column, names: Sequence[str]) -> dict[str, Column]:
-    """Named values inside a text: a JSON object, or ``name: value`` or ``name=value`` pairs divided by ``;`` or ``|``.
-
-    Names count in any order and letter case; the first of repeated names holds; what is not there is null.
-    """
-    is_json = F.startswith(F.btrim(raw), F.lit("{"))
-    entries = F.map_entries(F.from_json(F.when(is_json, raw), "map<string,string>"))
-    any_name = "|".join(names)
-
-    def named(name: str) -> Column:
-        return F.filter(entries, lambda e: F.lower(F.btrim(e["key"])) == name)
-
-    out = {}
-    for name in names:
-        held = named(name)
-        pattern = rf"(?is)(?:^|[;|])\s*{name}\s*[:=](.*?)(?=[;|]\s*(?:{any_name})\s*[:=]|$)"
-        pair = F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, 1))
-        out[name] = F.when(is_json, F.try_element_at(held, F.lit(1))["value"]).otherwise(pair)
-    return out
-
-
 def formatting_copies(df: DataFrame, id_col: str, fields: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Membership in groups of copies: ``kept`` (the group's smallest id), ``member`` and ``n_copies``, for groups of two or more.
 
@@ -82,13 +63,9 @@ def formatting_copies(df: DataFrame, id_col: str, fields: Sequence[str], hot_row
     return members.select("kept", F.col("_id").alias("member"), F.col("_rows").alias("n_copies"))
 
 
-FACT_FIELDS = ("subject", "predicate", "object")
-
-
 def fact_fields(facts: DataFrame) -> DataFrame:
     """fact_row with its three fields, taken from ``raw_triple`` where they stand there."""
-    inside = fields_of_raw(F.col("raw_triple"), FACT_FIELDS)
-    return facts.select("fact_row", *[F.coalesce(F.col(n), inside[n]).alias(n) for n in FACT_FIELDS])
+    return knowledge.with_fields(facts).select("fact_row", *FACT_FIELDS)
 
 
 def fact_copies(facts: DataFrame) -> DataFrame:

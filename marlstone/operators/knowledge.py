@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import clean_phrase, is_meaningful_phrase, prefixed_id, split_identifier
+from marlstone.functions.text import clean_phrase, fields_of_raw, is_meaningful_phrase, prefixed_id, split_identifier
 from marlstone.functions.vector import dot, unit
 
 SYNONYM_SCORE = 0.8
 SYNONYM_TOP = 100
 PHRASE_OMEGA, EXACT_OMEGA, REFERENCES = 0.60, 0.85, 20
+FACT_FIELDS = ("subject", "predicate", "object")
+
+
+def with_fields(facts: DataFrame) -> DataFrame:
+    """Facts with subject, predicate and object taken from ``raw_triple`` where they stand there; all other columns stay."""
+    if "raw_triple" not in facts.columns:
+        return facts
+    inside = fields_of_raw(F.col("raw_triple"), FACT_FIELDS)
+    return facts.withColumns({n: F.coalesce(F.col(n), inside[n]) for n in FACT_FIELDS})
 
 
 def triples(facts: DataFrame) -> DataFrame:
     """Cleaned triples with ids: passage_id, source_id, fact_id, subject, predicate, object, subject_id, object_id.
 
-    Triples that lose subject or object to cleaning, or lack a part, are dropped; a triple counts once per passage.
+    Fields that stand in ``raw_triple`` count like the others. Triples that lose subject or object to cleaning, or lack a
+    part, are dropped; a triple counts once per passage.
     """
-    parts = facts.select("passage_id", "source_id", *[clean_phrase(c).alias(c) for c in ("subject", "predicate", "object")])
+    parts = with_fields(facts).select("passage_id", "source_id", *[clean_phrase(c).alias(c) for c in FACT_FIELDS])
     whole = parts.where("subject <> '' and object <> '' and predicate is not null").distinct()
     return whole.select(
         "*", prefixed_id("fact", F.concat_ws("\t", "subject", "predicate", "object")).alias("fact_id"),

@@ -92,7 +92,7 @@ def generation_sizes(spark, d):
 
 
 def best_edges(spark, d):
-    f = table(spark, d, "facts").where("subject is not null and object is not null and predicate is not null")
+    f = knowledge.with_fields(table(spark, d, "facts")).where("subject is not null and object is not null and predicate is not null")
     e = f.select(F.col("subject").alias("a"), F.col("object").alias("b"), F.col("predicate").alias("kind"), (F.length("predicate") / 100.0).alias("omega"), F.col("fact_row").alias("pos"), F.col("source_id").alias("provenance"), (F.col("fact_row") % 97).alias("line"))
     return knowledge.best_code_edges(e).select("a", "b", "kind", "omega", "provenance", F.array_join("lines", ",").alias("lines"))
 
@@ -149,7 +149,7 @@ def judge_verdicts(spark, d):
 
 
 def rendered_edges(spark, d):
-    f = table(spark, d, "facts").where("subject is not null and object is not null")
+    f = knowledge.with_fields(table(spark, d, "facts")).where("subject is not null and object is not null")
     return f.select("fact_row", T.cut_argument(T.render("{s} {p} {o}.", s="subject", p="predicate", o="object")).alias("statement"))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import bitemporal, evaluation, relations, sync
+from marlstone.operators import bitemporal, evaluation, knowledge, relations, sync
 from marlstone.operators.bitemporal import Selector
 from marlstone.plans.temporal_queries import ORACLE as TEMPORAL_SQL
 from marlstone.session import ensure_checkpoint_dir, table
@@ -165,7 +165,7 @@ def ndcg_mrr(spark, d):
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "facts").where("subject is not null and object is not null")
+    f = knowledge.with_fields(table(spark, d, "facts")).where("subject is not null and object is not null")
     return f.select(F.col("fact_row").alias("qid"), F.concat_ws(" ", "subject", "predicate").alias("actual"), F.explode(F.array(F.concat_ws(" ", "predicate", "object"), F.col("subject"))).alias("expected"))
 
 

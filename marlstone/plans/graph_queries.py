@@ -172,7 +172,7 @@ def dense_rank(spark, d):
 
 def seed_weights(spark, d):
     t = _triples(spark, d)
-    scores = table(spark, d, "facts").where("size(embedding) = 64").select("fact_row", "subject", "predicate", "object", "embedding")
+    scores = knowledge.with_fields(table(spark, d, "facts")).where("size(embedding) = 64").select("fact_row", "subject", "predicate", "object", "embedding")
     scored = retrieval.dense_scores(scores, _query_vector(spark, d))
     keyed = scored.select("fact_row", clean_phrase("subject").alias("s"), clean_phrase("predicate").alias("p"), clean_phrase("object").alias("o"), "dense").where("s <> '' and o <> '' and p is not null")
     kept = relations.top(keyed, [F.desc("dense"), "fact_row"], 5).select(F.concat(F.lit("entity-"), F.md5("s")).alias("subject_id"), F.concat(F.lit("entity-"), F.md5("o")).alias("object_id"), "dense")
@@ -183,7 +183,7 @@ def seed_weights(spark, d):
 def graph_search(spark, d):
     """The whole retrieval: passages ranked by the walk from the facts most like the query."""
     t = _triples(spark, d)
-    f = table(spark, d, "facts").where("size(embedding) = 64 and subject is not null and object is not null")
+    f = knowledge.with_fields(table(spark, d, "facts")).where("size(embedding) = 64 and subject is not null and object is not null")
     facts = f.select(F.concat(F.lit("fact-"), F.col("fact_row")).alias("fact_id"), F.concat(F.lit("entity-"), F.md5(clean_phrase("subject"))).alias("subject_id"), F.concat(F.lit("entity-"), F.md5(clean_phrase("object"))).alias("object_id"), "embedding")
     p = table(spark, d, "passages").select(F.col("id").alias("passage_id"), "embedding")
     boosts = spark.createDataFrame([], "id string, boost double")

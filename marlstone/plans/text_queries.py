@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import chunking, relations
+from marlstone.operators import chunking, knowledge, relations
 from marlstone.session import table
 from marlstone.sources import readers
 
@@ -16,7 +16,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_phrase_distinct(spark, d):
-    return table(spark, d, "facts").where("subject is not null").groupBy(T.clean_phrase("subject").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
+    return knowledge.with_fields(table(spark, d, "facts")).where("subject is not null").groupBy(T.clean_phrase("subject").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def identifier_tokens(spark, d):
@@ -140,7 +140,7 @@ def first_seen_texts(spark, d):
 
 
 def merged_bundles(spark, d):
-    return relations.merged_bundles(table(spark, d, "facts").where("subject is not null").select("passage_id", "subject"), "passage_id", "subject")
+    return relations.merged_bundles(knowledge.with_fields(table(spark, d, "facts")).where("subject is not null").select("passage_id", "subject"), "passage_id", "subject")
 
 
 QUERIES = {f.__name__: f for f in (
