@@ -26,12 +26,13 @@ def reset_vector(seeds: DataFrame) -> DataFrame:
     return summed.select("id", (F.col("value") / F.lit(total or 1.0)).alias("p"))
 
 
-def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 24) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 24, whole: bool = False) -> DataFrame:
     """Personalised PageRank by power iteration: id, score.
 
     ``edges`` are directed and weighted (``mirrored``), ``reset`` is a distribution (id, p). A vertex without edges returns to the
     reset vector. Vertices that the walk cannot reach have no row, their score is 0. What is left out after the last
-    round is at most ``damping ** rounds``.
+    round is at most ``damping ** rounds``. A vertex further than that from the reset vector has no row either, but with ``whole``:
+    then rounds go on until no vertex is newly reached.
 
     Only vertices of the reset vector can be dangling and hold weight, so the dangling weight follows from one number and the
     rounds need no sum over the table. A round is one join on the source and one combined sum.
@@ -48,13 +49,19 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = D
     if not total:
         raise ValueError("the reset vector sums to nothing")
     rank, dangling = reset.select("id", F.col("p").alias("score")), lost
-    for r in range(rounds):
+    r, reached = 0, None
+    while r < rounds or whole:
         base = (1 - damping) + damping * dangling
         moved = walk.join(rank, walk["src"] == rank["id"]).select(F.col("dst").alias("id"), (F.col("share") * F.col("score") * damping).alias("score"))
         rank = moved.unionByName(reset.select("id", (F.col("p") * base).alias("score"))).groupBy("id").agg(F.sum("score").alias("score"))
         dangling = base * lost
-        if r % CUT == CUT - 1:
+        r += 1
+        if r % CUT == 0:
             rank = checkpointed(rank)
+            if whole and r >= rounds:
+                before, reached = reached, rank.count()
+                if before == reached:
+                    break
     return rank
 
 

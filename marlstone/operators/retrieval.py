@@ -21,7 +21,8 @@ class RetrievalSettings:
     seed_entities: int = 5
     passage_weight: float = 0.05
     damping: float = 0.5
-    rounds: int = 12
+    #: Scores are ranked by 12 digits, and half of what is left goes with each round.
+    rounds: int = 42
     passages: int = 200
     symbol_seeds: int = 20
     community_boost: float = 0.0

@@ -11,7 +11,10 @@ from marlstone.operators import access, codegraph, graph, knowledge, relations,
 from marlstone.plans.text_queries import CLEAN, SPLIT
 from marlstone.session import table
 
+#: Rounds that the SQL unrolls.
 ROUNDS = 8
+#: Rounds of the query: what is left then, 0.5 ** 36, is far below the nine digits shown.
+WALK_ROUNDS = 36
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +92,7 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
 
 def ppr_rank(spark, d):
     reset = graph.reset_vector(_seeds(spark, d).withColumn("value", F.lit(1.0)))
-    return graph.personalized_pagerank(_walk(spark, d), reset, rounds=ROUNDS).select("id", F.round("score", 9).alias("score"))
+    return graph.personalized_pagerank(_walk(spark, d), reset, rounds=WALK_ROUNDS, whole=True).select("id", F.round("score", 9).alias("score"))
 
 
 def bfs_hops(spark, d):

@@ -1,6 +1,8 @@
 """Operators do the whole job: rows, rounds, shards and hours that used to be left out."""
 
-from marlstone.operators import knowledge
+import numpy as np
+
+from marlstone.operators import graph, knowledge, retrieval
 from marlstone.plans import admin_queries, evidence_queries, graph_queries, text_queries
 
 FACTS = "fact_row bigint, subject string, predicate string, object string, raw_triple string, passage_id string, source_id string"
@@ -30,3 +32,23 @@ def test_direct_queries_read_raw_fields(spark, tmp_path):
     assert {(r.a, r.kind, r.b) for r in admin_queries.best_edges(spark, d).collect()} == {("Ada Desk", "depends on", "Bo Gate"), ("Ada  desk", "is part of", "Cy Hall"), ("Dee Team", "reads from", "Bo Gate")}
     assert {r.statement for r in admin_queries.rendered_edges(spark, d).collect()} == {"Ada Desk depends on Bo Gate.", "Ada  desk is part of Cy Hall.", "Dee Team reads from Bo Gate."}
     assert graph_queries.fact_edges(spark, d).count() == 3
+
+
+def test_walk_goes_on_until_scores_stand(spark, monkeypatch):
+    n = 60
+    line = [(f"v{i:02}", f"v{i + 1:02}", 1.0) for i in range(n)]
+    walk = graph.mirrored(spark.createDataFrame(line, "a string, b string, weight double"))
+    monkeypatch.setattr(graph_queries, "_walk", lambda *_: walk)
+    monkeypatch.setattr(graph_queries, "_seeds", lambda s, d: s.createDataFrame([("v00",)], "id string"))
+    got = {r.id: r.score for r in graph_queries.ppr_rank(spark, "").collect()}
+    move = np.zeros((n + 1, n + 1))
+    for i in range(n):
+        move[i, i + 1] = move[i + 1, i] = 1.0
+    move /= move.sum(1)[:, None]
+    want = np.linalg.solve(np.eye(n + 1) - 0.5 * move.T, 0.5 * np.eye(n + 1)[0])
+    assert len(got) == n + 1 and all(abs(got[f"v{i:02}"] - want[i]) < 1.01e-9 for i in range(n + 1))
+
+
+def test_search_rounds_reach_the_ranked_digits():
+    settings = retrieval.RetrievalSettings()
+    assert settings.damping**settings.rounds < 0.5e-12
