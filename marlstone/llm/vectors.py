@@ -30,7 +30,6 @@ class IndexSpec:
     max_shards: int = 16_384
     split_rows: int = 16_384
     margin: float = 0.08
-    max_asked: int = 24
     links: int = 12
     reverse: int = 4
     ef: int = 16
@@ -39,7 +38,7 @@ class IndexSpec:
 
 def search_spec(k: int = 5, dim: int = 64) -> IndexSpec:
     """Settings for neighbours at any distance: far ones lie in many shards, so every shard within a wide margin is asked."""
-    return IndexSpec(dim=dim, k=k, min_cosine=-1.0, margin=0.4, max_asked=1 << 30, ef=64, expand=8, links=16, reverse=8)
+    return IndexSpec(dim=dim, k=k, min_cosine=-1.0, margin=0.4, ef=64, expand=8, links=16, reverse=8)
 
 
 def _unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +83,6 @@ def _nearest_shards(v: np.ndarray, centres: np.ndarray, spec: IndexSpec) -> tupl
         home = sims.argmax(1)
         best = sims[np.arange(len(sims)), home]
         asked = sims >= (best - spec.margin)[:, None]
-        crowded = np.flatnonzero(asked.sum(1) > spec.max_asked)
-        if len(crowded):
-            edge = np.partition(sims[crowded], -spec.max_asked, axis=1)[:, -spec.max_asked]
-            asked[crowded] &= sims[crowded] >= edge[:, None]
         asked[np.arange(len(sims)), home] = True
         r, s = np.nonzero(asked)
         rows.append(r + at)
@@ -99,6 +94,8 @@ def _nearest_shards(v: np.ndarray, centres: np.ndarray, spec: IndexSpec) -> tupl
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(own)
 
 
+#: Vectors routed at once and rows sent at once: in a dense group a vector may ask in very many shards.
+_ROUTE_ROWS, _SEND_ROWS = 1024, 65_536
 _ROUTED = "collection string, shard int, part int, own boolean, ask boolean, id bigint, vec binary"
 
 
@@ -111,8 +108,8 @@ def _routed(units: DataFrame, centres: dict[str, np.ndarray], parts: dict[str, n
             ids = b.column(1).to_numpy()
             v = _unpacked(pa.chunked_array([b.column(2)]), spec.dim)
             ask = b.column(3).to_numpy(zero_copy_only=False)
-            for name in dict.fromkeys(names):
-                mine = np.flatnonzero(names == name)
+            pieces = [(name, at[i : i + _ROUTE_ROWS]) for name in dict.fromkeys(names) for at in [np.flatnonzero(names == name)] for i in range(0, len(at), _ROUTE_ROWS)]
+            for name, mine in pieces:
                 row, shard, own = _nearest_shards(v[mine], centres[name], spec)
                 row = mine[row]
                 split = parts[name][shard]
@@ -125,10 +122,12 @@ def _routed(units: DataFrame, centres: dict[str, np.ndarray], parts: dict[str, n
                 row, shard = row[again], shard[again]
                 sent = own | ask[row]
                 row, shard, part, own = row[sent], shard[sent], part[sent], own[sent]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[row], pa.string()), pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(own), pa.array(ask[row]), pa.array(ids[row]), _packed(v[row])],
-                    ["collection", "shard", "part", "own", "ask", "id", "vec"],
-                )
+                for i in range(0, len(row), _SEND_ROWS):
+                    r, to = row[i : i + _SEND_ROWS], slice(i, i + _SEND_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[r], pa.string()), pa.array(shard[to], pa.int32()), pa.array(part[to], pa.int32()), pa.array(own[to]), pa.array(ask[r]), pa.array(ids[r]), _packed(v[r])],
+                        ["collection", "shard", "part", "own", "ask", "id", "vec"],
+                    )
 
     return units.mapInArrow(run, _ROUTED)
 
