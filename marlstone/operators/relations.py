@@ -88,20 +88,29 @@ def prefix_cut(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str
 def greedy_fill(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, budget: int, most: int) -> DataFrame:
     """Items in order as long as they fit; one that overflows is skipped and later ones may still enter; at most ``most`` items.
 
-    ``by`` names small groups (the evidence of one question): a group is folded in one row."""
-    items = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("_size")))).alias("_items"))
-    kept = F.array(F.lit(None).cast(items.schema["_items"].dataType.elementType))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.slice(kept, 1, 0).alias("kept"))
-
-    def add(state: Column, item: Column) -> Column:
-        fits = (state["used"] + item["_size"] <= budget) & (F.size(state["kept"]) < most)
-        return F.struct(
-            F.when(fits, state["used"] + item["_size"]).otherwise(state["used"]).alias("used"),
-            F.when(fits, F.concat(state["kept"], F.array(item))).otherwise(state["kept"]).alias("kept"),
-        )
-
-    done = items.select(*by, F.explode(F.aggregate("_items", start, add)["kept"]).alias("_k"))
-    return done.select(*by, *[F.col(f"_k.{c}").alias(c) for c in order], F.col("_k._size").alias(size))
+    An item without size never fits. Groups are sorted and folded row by row,
+    so that a group may be of any size: only the open group's two numbers are held."""
+    import pyarrow as pa
+
+    by, order = list(by), list(order)
+    rows = df.select(*by, *order, F.col(size).cast("bigint").alias(size))
+    key = F.sha2(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}), 256)
+    placed = rows.withColumn("_g", key).repartition("_g").sortWithinPartitions("_g", *[F.asc_nulls_last(c) for c in [*order, size]])
+
+    def fold(batches):
+        group, used, n = None, 0, 0
+        for b in batches:
+            keep = []
+            for g, s in zip(b.column("_g").to_pylist(), b.column(size).to_pylist()):
+                if g != group:
+                    group, used, n = g, 0, 0
+                fits = n < most and s is not None and used + s <= budget
+                keep.append(fits)
+                if fits:
+                    used, n = used + s, n + 1
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return placed.mapInArrow(fold, placed.schema).drop("_g")
 
 
 def rank_changes(before: DataFrame, after: DataFrame, key: str, k: int = 10) -> DataFrame:

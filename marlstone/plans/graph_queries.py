@@ -215,7 +215,7 @@ def budget_cut(spark, d):
 
 
 def greedy_budget(spark, d):
-    p = table(spark, d, "passages").where("text is not null and extraction_error is not null").select("source_id", "passage_no", F.length("text").alias("size"))
+    p = table(spark, d, "passages").where("text is not null").select("source_id", "passage_no", F.length("text").alias("size"))
     return relations.greedy_fill(p, ["source_id"], ["passage_no"], "size", 400, 10)
 
 

@@ -1,8 +1,10 @@
 """Operators do the whole job: rows, rounds, shards and hours that used to be left out."""
 
+import random
+
 import numpy as np
 
-from marlstone.operators import graph, knowledge, retrieval
+from marlstone.operators import asof, graph, knowledge, relations, retrieval
 from marlstone.plans import admin_queries, evidence_queries, graph_queries, text_queries
 
 FACTS = "fact_row bigint, subject string, predicate string, object string, raw_triple string, passage_id string, source_id string"
@@ -52,3 +54,24 @@ def test_walk_goes_on_until_scores_stand(spark, monkeypatch):
 def test_search_rounds_reach_the_ranked_digits():
     settings = retrieval.RetrievalSettings()
     assert settings.damping**settings.rounds < 0.5e-12
+
+
+def test_greedy_budget_takes_all_passages(spark, tmp_path):
+    rows = [("a", i, "x" * n, e) for i, (n, e) in enumerate([(300, None), (150, "late"), (90, None), (20, None), (10, "late")])] + [(None, 9, "y" * 7, None)]
+    spark.createDataFrame(rows, "source_id string, passage_no bigint, text string, extraction_error string").write.parquet(f"{tmp_path}/passages.parquet")
+    got = {(r.source_id, r.passage_no, r.size) for r in graph_queries.greedy_budget(spark, str(tmp_path)).collect()}
+    assert got == {("a", 0, 300), ("a", 2, 90), ("a", 4, 10), (None, 9, 7)}
+
+
+def test_greedy_fill_streams_a_large_group(spark):
+    big = spark.range(50_000).selectExpr("id % 2 as g", "id as pos", "(id * 7) % 50 as size")
+    plan = relations.greedy_fill(big, ["g"], ["pos"], "size", 400, 10)
+    assert "collect_list" not in plan._jdf.queryExecution().toString()
+    want = []
+    for g in range(2):
+        used = n = 0
+        for i in range(g, 50_000, 2):
+            if n < 10 and used + (i * 7) % 50 <= 400:
+                used, n = used + (i * 7) % 50, n + 1
+                want.append((g, i))
+    assert sorted((r.g, r.pos) for r in plan.collect()) == want
