@@ -10,6 +10,9 @@ from marlstone.operators import chunking, knowledge, relations
 from marlstone.session import table
 from marlstone.sources import readers
 
+#: The reference's limit of characters a source.
+MAX_TEXT_CHARS = 20_000_000
+
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "path", "source", "title")
@@ -105,7 +108,10 @@ def partition_families(spark, d):
 
 
 def text_budget(spark, d):
-    return readers.within_text_budget(_docs(spark, d).where("source is not null"), "source", "text", 60_000).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Documents taken from each source; a source whose text is too long fails as a whole, with 0."""
+    docs = _docs(spark, d).where("source is not null").select("source", "text")
+    taken = readers.within_text_budget(docs, "source", "text", MAX_TEXT_CHARS).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("source").distinct().join(taken, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def raw_store(spark, d):

@@ -75,3 +75,9 @@ def test_greedy_fill_streams_a_large_group(spark):
                 used, n = used + (i * 7) % 50, n + 1
                 want.append((g, i))
     assert sorted((r.g, r.pos) for r in plan.collect()) == want
+
+
+def test_text_budget_lists_every_source(spark, tmp_path):
+    rows = [(1, "x" * 70_000, "a"), (2, "y", "a"), (3, "z" * 12_000_000, "b"), (4, "z" * 9_000_000, "b")]
+    spark.createDataFrame([(*r, "p", "t") for r in rows], "doc_id bigint, text string, source string, path string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.source, r.n) for r in text_queries.text_budget(spark, str(tmp_path)).collect()} == {("a", 2), ("b", 0)}
