@@ -104,21 +104,31 @@ def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], edg
 
 
 def current_regions(claims: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The disjoint current-version regions themselves: per series and valid block of hours, who is current from when to when.
+    """The disjoint current-version regions themselves: per series and valid block, who is current from when to when.
 
-    Columns: keys, ``level``, ``block`` (hours, ``2**level`` long), ``known_from_us``, ``known_to_us`` (null: ever), ``claim``. Claims as for
-    ``as_of_join``; hours that a claim covers partly are not in the blocks.
+    Columns: keys, ``level``, ``block`` (hours, ``2**level`` long), ``from_us``, ``to_us`` (the block's valid time), ``known_from_us``,
+    ``known_to_us`` (null: ever), ``claim``. Claims as for ``as_of_join``. Hours that a claim covers partly are cut into blocks of
+    microseconds, which have bounds but neither ``level`` nor ``block``.
     """
     c = claims.dropna(subset=[*keys, "id", "from_us", "recorded_us"]).select(
-        *keys, "recorded_us",
+        *keys, "recorded_us", F.col("from_us").alias("_lo"), F.least(F.coalesce("to_us", F.lit(OPEN_US)), F.lit(OPEN_US)).alias("_hi"),
         F.struct(F.col("ordinal").isNotNull().alias("has"), F.col("ordinal").alias("ordinal"), F.col("recorded_us").alias("rf"), F.col("id").alias("id")).alias("_best"),
-        F.explode(canonical_blocks(_hour(F.col("from_us") + HOUR_US - 1), _hour(F.least(F.coalesce("to_us", F.lit(OPEN_US)), F.lit(OPEN_US))), HOUR_LEVELS)).alias("b"),
-    )
-    cell = [*keys, "level", "block"]
-    at = c.select(*keys, "b.level", "b.block", "recorded_us", "_best").groupBy(*cell, "recorded_us").agg(F.max("_best").alias("_best"))
+    ).where("_lo < _hi")
+    whole = c.select("*", F.lit(None).cast("bigint").alias("_h"), F.explode(canonical_blocks(_hour(F.col("_lo") + HOUR_US - 1), _hour(F.col("_hi")), HOUR_LEVELS)).alias("b"))
+    edge = lambda us: F.when(F.pmod(us, F.lit(HOUR_US)) != 0, _hour(us))
+    edges = c.select("*", F.explode(F.array_distinct(F.array(edge(F.col("_lo")), edge(F.col("_hi"))))).alias("_h")).where("_h is not null")
+    start = (F.col("_h") - HOUR_SHIFT) * HOUR_US
+    parts = edges.select("*", F.explode(canonical_blocks(F.greatest(F.col("_lo") - start, F.lit(0)), F.least(F.col("_hi") - start, F.lit(HOUR_US)), MICRO_LEVELS)).alias("b"))
+    cell = [*keys, "_h", "level", "block"]
+    at = whole.unionByName(parts).select(*keys, "_h", "b.level", "b.block", "recorded_us", "_best").groupBy(*cell, "recorded_us").agg(F.max("_best").alias("_best"))
     order = Window.partitionBy(*cell).orderBy("recorded_us")
     best = at.withColumn("_now", F.max("_best").over(order)).withColumn("_was", F.lag("_now").over(order)).where("_was is null or not (_was <=> _now)")
+    size = F.expr("shiftleft(1L, level)")
+    first = F.col("block") * size
+    hours = F.col("_h").isNull()
+    from_us = F.when(hours, (first - HOUR_SHIFT) * HOUR_US).otherwise(start + first)
     return best.select(
-        *keys, "level", (F.col("block") * F.expr("shiftleft(1L, level)") - HOUR_SHIFT).alias("block"),
+        *keys, F.when(hours, F.col("level")).alias("level"), F.when(hours, first - HOUR_SHIFT).alias("block"),
+        from_us.alias("from_us"), (from_us + size * F.when(hours, F.lit(HOUR_US)).otherwise(F.lit(1))).alias("to_us"),
         F.col("recorded_us").alias("known_from_us"), F.lead("recorded_us").over(order).alias("known_to_us"), F.col("_now.id").alias("claim"),
     )

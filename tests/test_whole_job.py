@@ -81,3 +81,20 @@ def test_text_budget_lists_every_source(spark, tmp_path):
     rows = [(1, "x" * 70_000, "a"), (2, "y", "a"), (3, "z" * 12_000_000, "b"), (4, "z" * 9_000_000, "b")]
     spark.createDataFrame([(*r, "p", "t") for r in rows], "doc_id bigint, text string, source string, path string, title string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.source, r.n) for r in text_queries.text_budget(spark, str(tmp_path)).collect()} == {("a", 2), ("b", 0)}
+
+
+def test_regions_hold_claims_shorter_than_an_hour(spark):
+    rng, h = random.Random(3), asof.HOUR_US
+    rows = []
+    for i in range(40):
+        lo = rng.randrange(-2 * h, 3 * h)
+        rows.append((i, "s", lo, rng.choice([lo + rng.randrange(1, h // 2), lo + rng.randrange(h, 3 * h), None, lo]), rng.randrange(50), rng.choice([None, 1, 2])))
+    rows += [(90, "s", 0, 1, 60, 9), (91, "s", 5 * h - 1, 5 * h, 61, 9)]
+    claims = spark.createDataFrame(rows, "id bigint, k string, from_us bigint, to_us bigint, recorded_us bigint, ordinal bigint")
+    regions = asof.current_regions(claims, ["k"]).collect()
+    rank = {r[0]: (r[5] is not None, r[5] or 0, r[4], r[0]) for r in rows}
+    points = [(v, k) for v in [0, 1, 5 * h - 1, 5 * h, *(r[2] for r in rows), *(rng.randrange(-2 * h, 6 * h) for _ in range(300))] for k in (10, 70)]
+    for v, k in points:
+        want = max((r[0] for r in rows if r[2] <= v and (r[3] is None or v < r[3]) and r[4] <= k), key=rank.get, default=None)
+        met = [r.claim for r in regions if r.from_us <= v < r.to_us and r.known_from_us <= k and (r.known_to_us is None or k < r.known_to_us)]
+        assert max(met, key=rank.get, default=None) == want
