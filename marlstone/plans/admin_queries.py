@@ -9,6 +9,7 @@ from marlstone.functions import text as T
 from marlstone.operators import access, change_feed, codegraph, evaluation, graph, knowledge, relations, retrieval, sync
 from marlstone.plans.graph_queries import _TRIPLES
 from marlstone.plans.temporal_queries import ORACLE as TEMPORAL_SQL
+from marlstone.plans.text_queries import TOLD
 from marlstone.session import table
 
 #: Role ladder of the test data (fixed values).
@@ -184,8 +185,8 @@ g AS (SELECT e.id, count(*) AS n, count(*) FILTER (WHERE m.o IS NULL) AS lost, c
 SELECT id AS policy_id, CASE WHEN lost > 0 AND lost = n THEN 'unknown' ELSE 'list' END AS mode, allow, lost AS n_dropped FROM g""",
     "publication_problems": _RUNS + "SELECT partition_key || '/' || external_id AS id, 'tombstoned' AS reason FROM ends WHERE NOT is_alive",
     "generation_sizes": "SELECT evidence_class, count(*) AS n FROM observations GROUP BY 1",
-    "best_edges": """
-WITH e AS (SELECT subject AS a, object AS b, predicate AS kind, length(predicate) / 100.0 AS omega, fact_row AS pos, source_id AS provenance, fact_row % 97 AS line FROM facts WHERE subject IS NOT NULL AND object IS NOT NULL AND predicate IS NOT NULL AND subject <> object),
+    "best_edges": f"""
+WITH {TOLD}, e AS (SELECT subject AS a, object AS b, predicate AS kind, length(predicate) / 100.0 AS omega, fact_row AS pos, source_id AS provenance, fact_row % 97 AS line FROM told WHERE subject IS NOT NULL AND object IS NOT NULL AND predicate IS NOT NULL AND subject <> object),
 k AS (SELECT *, row_number() OVER (PARTITION BY a, b, kind ORDER BY omega DESC, pos) AS r FROM e)
 SELECT a, b, kind, max(omega)::DOUBLE AS omega, max(CASE WHEN r = 1 THEN provenance END) AS provenance, array_to_string(list_sort(list_distinct(list(line))), ',') AS lines FROM k GROUP BY a, b, kind""",
     "source_links": f"""WITH {_TRIPLES}, h AS (SELECT id, min(source_id) AS grp FROM (SELECT subject_id AS id, source_id FROM t WHERE source_id IS NOT NULL UNION ALL SELECT object_id, source_id FROM t WHERE source_id IS NOT NULL) GROUP BY 1)
@@ -202,6 +203,6 @@ SELECT CASE WHEN cy AND cw THEN 'cypher_write' WHEN cy THEN 'cypher_read' WHEN w
 SELECT id, bucket, row_number() OVER (ORDER BY bucket, n DESC, id) AS rank FROM b""",
     "seeded_share": "SELECT round(avg(CASE WHEN query_mode = 'as_of' THEN 1.0 ELSE 0.0 END), 6) AS code_seeded, avg(CASE WHEN temporal.valid_at IS NOT NULL THEN 1.0 END)::DOUBLE AS path_fidelity FROM questions",
     "judge_verdicts": r"SELECT CASE WHEN v = '' THEN 'error' ELSE v END AS verdict, count(*) AS n FROM (SELECT lower(regexp_extract(text, '(?i)\b(correct|partial|wrong)\b', 1)) AS v FROM documents) GROUP BY 1",
-    "rendered_edges": f"SELECT fact_row, CASE WHEN length({_STATEMENT}) > 60 THEN left({_STATEMENT}, 59) || '…' ELSE {_STATEMENT} END AS statement FROM facts WHERE subject IS NOT NULL AND object IS NOT NULL",
+    "rendered_edges": f"WITH {TOLD} SELECT fact_row, CASE WHEN length({_STATEMENT}) > 60 THEN left({_STATEMENT}, 59) || '…' ELSE {_STATEMENT} END AS statement FROM told WHERE subject IS NOT NULL AND object IS NOT NULL",
     "canonical_names": r"SELECT doc_id, path AS norm_path, 'http://host.example/' || path AS url, regexp_replace(regexp_replace(regexp_replace(lower(list_extract(string_split(path, '/'), -1)), '\.[^/]*$', ''), '^tests?_', ''), '(_tests?|tests?)$', '') AS stem FROM documents",
 }

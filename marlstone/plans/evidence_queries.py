@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import bitemporal, evaluation, knowledge, relations, sync
 from marlstone.operators.bitemporal import Selector
 from marlstone.plans.temporal_queries import ORACLE as TEMPORAL_SQL
+from marlstone.plans.text_queries import TOLD
 from marlstone.session import ensure_checkpoint_dir, table
 from marlstone.sources import change_pages
 from marlstone.streaming import feed, late_counts
@@ -311,7 +312,7 @@ res AS (SELECT *, CASE WHEN ei THEN 'wrong' WHEN lag_days > 60 THEN 'partial' WH
 """
 _NORM = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
 _ANSWERS = f"""
-WITH f AS (SELECT fact_row AS qid, concat_ws(' ', subject, predicate) AS actual, unnest([concat_ws(' ', predicate, object), subject]) AS expected FROM facts WHERE subject IS NOT NULL AND object IS NOT NULL),
+WITH {TOLD}, f AS (SELECT fact_row AS qid, concat_ws(' ', subject, predicate) AS actual, unnest([concat_ws(' ', predicate, object), subject]) AS expected FROM told WHERE subject IS NOT NULL AND object IS NOT NULL),
 n AS (SELECT qid, {_NORM.format('actual')} AS a, {_NORM.format('expected')} AS e FROM f)
 """
 ORACLE = {

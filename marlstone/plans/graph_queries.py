@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import clean_phrase
 from marlstone.functions.vector import majority_length
 from marlstone.operators import access, codegraph, graph, knowledge, relations, retrieval
-from marlstone.plans.text_queries import CLEAN, SPLIT
+from marlstone.plans.text_queries import CLEAN, SPLIT, TOLD
 from marlstone.session import table
 
-#: Rounds that the SQL unrolls.
-ROUNDS = 8
-#: Rounds of the query: what is left then, 0.5 ** 36, is far below the nine digits shown.
+#: Rounds that the SQL unrolls: as many as the query may take until no vertex is newly reached.
+SQL_ROUNDS = 60
+#: Rounds of the query at least: what is left then, 0.5 ** 36, is far below the nine digits shown.
 WALK_ROUNDS = 36
 
 
@@ -279,8 +279,8 @@ QUERIES = {f.__name__: f for f in (
     greedy_budget, entity_search, relational_division, scope_visible, scope_subgraph, node_tiers, ddl_tables, python_symbols, invokes, contains, innermost_symbols,
 )}
 
-_TRIPLES = f"""
-cleaned AS (SELECT DISTINCT passage_id, source_id, {CLEAN.format('subject')} AS subject, {CLEAN.format('predicate')} AS predicate, {CLEAN.format('object')} AS object FROM facts),
+_TRIPLES = f"""{TOLD},
+cleaned AS (SELECT DISTINCT passage_id, source_id, {CLEAN.format('subject')} AS subject, {CLEAN.format('predicate')} AS predicate, {CLEAN.format('object')} AS object FROM told),
 t AS (SELECT *, 'fact-' || md5(subject || chr(9) || predicate || chr(9) || object) AS fact_id, 'entity-' || md5(subject) AS subject_id, 'entity-' || md5(object) AS object_id
   FROM cleaned WHERE subject <> '' AND object <> '' AND predicate IS NOT NULL),
 ent AS (SELECT subject_id AS id, subject AS name FROM t UNION SELECT object_id, object FROM t),
@@ -318,7 +318,7 @@ def _rounds_sql(reset: str, rounds: int) -> str:
 
 def _ppr_sql() -> str:
     reset = "SELECT id, 1.0 / (SELECT count(*) FROM seeds) AS p FROM seeds"
-    return f"WITH {_EDGES}, {_rounds_sql(reset, ROUNDS)} SELECT id, round(score, 9) AS score FROM r{ROUNDS}"
+    return f"WITH {_EDGES}, {_rounds_sql(reset, SQL_ROUNDS)} SELECT id, round(score, 9) AS score FROM r{SQL_ROUNDS}"
 
 
 def _search_sql(rounds: int) -> str:
@@ -327,7 +327,7 @@ def _search_sql(rounds: int) -> str:
         _QUERY,
         "pd AS (SELECT id, list_dot_product(embedding::DOUBLE[], q) AS x FROM passages, qv WHERE len(embedding) = 64)",
         f"dense AS MATERIALIZED (SELECT id, {scaled.format('pd')} AS d FROM pd)",
-        f"fd AS (SELECT 'fact-' || fact_row AS fid, 'entity-' || md5({CLEAN.format('subject')}) AS s, 'entity-' || md5({CLEAN.format('object')}) AS o, list_dot_product(embedding::DOUBLE[], q) AS x FROM facts, qv WHERE len(embedding) = 64 AND subject IS NOT NULL AND object IS NOT NULL)",
+        f"fd AS (SELECT 'fact-' || fact_row AS fid, 'entity-' || md5({CLEAN.format('subject')}) AS s, 'entity-' || md5({CLEAN.format('object')}) AS o, list_dot_product(embedding::DOUBLE[], q) AS x FROM told, qv WHERE len(embedding) = 64 AND subject IS NOT NULL AND object IS NOT NULL)",
         f"best AS (SELECT s, o, {scaled.format('fd')} AS d, fid FROM fd ORDER BY d DESC, fid LIMIT 5)",
         "mean AS (SELECT id, avg(d / greatest(coalesce(passage_count, 1), 1)) AS w FROM (SELECT unnest([s, o]) AS id, d FROM best) LEFT JOIN spec USING (id) GROUP BY 1)",
         "cut AS (SELECT id, w FROM mean ORDER BY w DESC, id LIMIT 5)",
@@ -360,7 +360,7 @@ ORACLE = {
     "fact_edges": f"WITH {_TRIPLES} SELECT a, b, fact_count FROM fe",
     "node_specificity": f"WITH {_TRIPLES} SELECT id, passage_count FROM spec",
     "orphans": f"WITH {_TRIPLES} SELECT id, name FROM ent WHERE id NOT IN (SELECT id FROM men)",
-    "new_ids": f"""WITH x AS (SELECT created_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' AS late, {CLEAN.format('subject')} AS s, {CLEAN.format('predicate')} AS p, {CLEAN.format('object')} AS o FROM facts),
+    "new_ids": f"""WITH {TOLD}, x AS (SELECT created_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' AS late, {CLEAN.format('subject')} AS s, {CLEAN.format('predicate')} AS p, {CLEAN.format('object')} AS o FROM told),
 e AS (SELECT late, unnest([s, o]) AS name FROM x WHERE s <> '' AND o <> '' AND p IS NOT NULL)
 SELECT DISTINCT 'entity-' || md5(name) AS id, name FROM e WHERE late AND name NOT IN (SELECT name FROM e WHERE NOT late)""",
     "upserted_entities": f"WITH {_TRIPLES} SELECT count(*) AS n FROM ent",
@@ -368,7 +368,7 @@ SELECT DISTINCT 'entity-' || md5(name) AS id, name FROM e WHERE late AND name NO
     "edge_merge": f"WITH {_EDGES} SELECT a, b, weight::DOUBLE AS weight, kinds FROM merged",
     "edge_edits": f"WITH {_EDGES} SELECT a, b, (CASE WHEN weight >= 2 THEN weight / 2 ELSE weight END)::DOUBLE AS weight FROM merged WHERE weight < 4",
     "ppr_rank": _ppr_sql(),
-    "graph_search": _search_sql(12),
+    "graph_search": _search_sql(retrieval.RetrievalSettings().rounds),
     "community_sizes": _labels_sql(4),
     "bfs_hops": f"WITH {_EDGES}, {_bfs_sql('SELECT DISTINCT subject_id AS src, object_id AS dst FROM t', 'SELECT id FROM seeds', 3)} SELECT id, hops FROM v3",
     "neighborhood": f"WITH {_EDGES}, {_bfs_sql('SELECT src, dst FROM walk', 'SELECT id FROM seeds', 1)} SELECT id, hops, (SELECT max(weight) FROM walk JOIN v1 s ON src = s.id AND s.hops = v.hops - 1 WHERE dst = v.id)::DOUBLE AS weight FROM v1 v ORDER BY hops, weight DESC NULLS LAST, id LIMIT 100",
@@ -400,7 +400,7 @@ SELECT a, b, round(score, 5) AS score FROM s WHERE score >= 0.8""",
 k AS (SELECT passage_no, round((x - (SELECT min(x) FROM s)) / ((SELECT max(x) FROM s) - (SELECT min(x) FROM s)), 6) AS dense FROM s)
 SELECT passage_no, dense, row_number() OVER (ORDER BY dense DESC, passage_no) AS rank FROM k ORDER BY rank LIMIT 200""",
     "seed_weights": f"""WITH {_TRIPLES}, {_QUERY},
-s AS (SELECT fact_row, {CLEAN.format('subject')} AS sb, {CLEAN.format('predicate')} AS pr, {CLEAN.format('object')} AS ob, list_dot_product(embedding::DOUBLE[], q) AS x FROM facts, qv WHERE len(embedding) = 64),
+s AS (SELECT fact_row, {CLEAN.format('subject')} AS sb, {CLEAN.format('predicate')} AS pr, {CLEAN.format('object')} AS ob, list_dot_product(embedding::DOUBLE[], q) AS x FROM told, qv WHERE len(embedding) = 64),
 k AS (SELECT *, (x - (SELECT min(x) FROM s)) / ((SELECT max(x) FROM s) - (SELECT min(x) FROM s)) AS dense FROM s),
 top AS (SELECT * FROM k WHERE sb <> '' AND ob <> '' AND pr IS NOT NULL ORDER BY dense DESC, fact_row LIMIT 5),
 ends AS (SELECT unnest(['entity-' || md5(sb), 'entity-' || md5(ob)]) AS id, dense FROM top)
@@ -416,7 +416,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY grp, tier, direction ORDER BY na
     "entity_search": f"WITH {_TRIPLES} SELECT id, name, coalesce(passage_count, 0) AS passage_count FROM ent LEFT JOIN spec USING (id) WHERE contains(name, 'board') ORDER BY passage_count DESC, name, id LIMIT 25",
     "relational_division": f"WITH {_TRIPLES} SELECT passage_id, bool_and(passage_count >= 3) AS complete, count(*) FILTER (WHERE passage_count < 3) AS n_missing FROM men JOIN spec USING (id) GROUP BY 1",
     "scope_visible": "SELECT id FROM sources WHERE owner_id = 'user-001' OR coalesce(min_rank, 0) <= 10",
-    "scope_subgraph": f"""WITH {_TRIPLES.replace('FROM facts)', "FROM facts WHERE source_id IN (SELECT id FROM sources WHERE owner_id = 'user-001' OR coalesce(min_rank, 0) <= 10))")}
+    "scope_subgraph": f"""WITH {_TRIPLES.replace('FROM told)', "FROM told WHERE source_id IN (SELECT id FROM sources WHERE owner_id = 'user-001' OR coalesce(min_rank, 0) <= 10))")}
 SELECT a, b, fact_count, passage_count AS a_passages FROM fe LEFT JOIN spec ON a = id""",
     "node_tiers": f"WITH {_TRIPLES}, s AS (SELECT subject_id AS nid, source_id FROM t UNION SELECT object_id, source_id FROM t) SELECT nid AS id, min(coalesce(min_rank, 0)) AS tier FROM s JOIN sources ON sources.id = source_id GROUP BY 1",
     "ddl_tables": r"""WITH p AS (SELECT path || '#' || doc_id AS path, unnest(string_split(text, ';')) AS s, unnest(range(len(string_split(text, ';')))) AS n FROM documents WHERE path LIKE '%.sql'),

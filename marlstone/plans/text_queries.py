@@ -155,6 +155,15 @@ QUERIES = {f.__name__: f for f in (
     page_limit_offset, first_seen_texts, merged_bundles,
 )}
 
+#: Facts with the fields that stand in ``raw_triple`` filled in, as ``told``; begins the SQL of every query over facts.
+TOLD = r"""told_parts AS (
+  SELECT *, list_transform(string_split(regexp_replace(raw_triple, '[;|]\s*(subject|predicate|object)\s*([:=])', chr(1) || '\1\2', 'gi'), chr(1)),
+    lambda x: regexp_extract(x, '(?is)^\s*(subject|predicate|object)\s*[:=](.*)$', ['k', 'v'])) AS kv FROM facts
+), told AS (SELECT * REPLACE (
+    coalesce(subject, CASE WHEN raw_triple LIKE '{%' THEN coalesce(raw_triple ->> '$.subject', raw_triple ->> '$.Subject', raw_triple ->> '$.SUBJECT') ELSE trim(list_filter(kv, lambda x: lower(x.k) = 'subject')[1].v, ' ') END) AS subject,
+    coalesce(predicate, CASE WHEN raw_triple LIKE '{%' THEN coalesce(raw_triple ->> '$.predicate', raw_triple ->> '$.Predicate', raw_triple ->> '$.PREDICATE') ELSE trim(list_filter(kv, lambda x: lower(x.k) = 'predicate')[1].v, ' ') END) AS predicate,
+    coalesce(object, CASE WHEN raw_triple LIKE '{%' THEN coalesce(raw_triple ->> '$.object', raw_triple ->> '$.Object', raw_triple ->> '$.OBJECT') ELSE trim(list_filter(kv, lambda x: lower(x.k) = 'object')[1].v, ' ') END) AS object
+  ) FROM told_parts)"""
 CLEAN = r"trim(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', ' ', 'g'), ' +', ' ', 'g'))"
 _SPLIT = r"list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '([\p{{Ll}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')), ' '), lambda t: t <> '')"
 SPLIT = _SPLIT
@@ -181,7 +190,7 @@ c AS (SELECT *, length(l1) - length(replace(l1, ',', '')) AS c1, length(l2) - le
 k AS (SELECT source, {_FAMILY} AS family FROM c)
 """
 ORACLE = {
-    "clean_phrase_distinct": f"SELECT {CLEAN.format('subject')} AS phrase, count(*) AS n FROM facts WHERE subject IS NOT NULL GROUP BY 1",
+    "clean_phrase_distinct": f"WITH {TOLD} SELECT {CLEAN.format('subject')} AS phrase, count(*) AS n FROM told WHERE subject IS NOT NULL GROUP BY 1",
     "identifier_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({_SPLIT.format('path')}) AS token FROM documents) GROUP BY 1",
     "name_texts": rf"SELECT id, CASE WHEN array_to_string({_SPLIT.format('name')}, ' ') = name THEN name ELSE array_to_string({_SPLIT.format('name')}, ' ') || ' ' || name END AS name_text, length(regexp_replace(name, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 3 AS is_meaningful FROM sources",
     "answer_normalize": r"SELECT item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(item_text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM eval_items",
@@ -215,12 +224,12 @@ SELECT CASE WHEN s IN ('txt', 'md', 'markdown', 'rst', 'text') THEN 'prose' WHEN
     "partition_families": _CLASSIFIED + """
 SELECT source, CASE WHEN count(DISTINCT CASE WHEN family <> 'unclassified' THEN family END) = 1 THEN max(CASE WHEN family <> 'unclassified' THEN family END) ELSE 'mixed' END AS family,
   count(*) FILTER (WHERE family <> 'unclassified') AS n_classified, count(*) FILTER (WHERE family = 'unclassified') AS n_unclassified FROM k WHERE source IS NOT NULL GROUP BY 1""",
-    "text_budget": "SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING sum(length(text)) <= 60000",
+    "text_budget": f"SELECT source, CASE WHEN coalesce(sum(length(text)), 0) <= {MAX_TEXT_CHARS} THEN count(*) ELSE 0 END AS n FROM documents WHERE source IS NOT NULL GROUP BY 1",
     "raw_store": "SELECT DISTINCT sha256(text) AS digest, strlen(text) AS n_bytes FROM documents",
     "binary_sniff": "SELECT false AS is_binary, count(*) AS n FROM documents",
     "cached_vectors": "SELECT passage_no AS pos, 64 AS dim FROM passages WHERE text IS NOT NULL",
     "lookup_in_order": "SELECT pos, n_nationkey, n_name FROM (VALUES (0, 7), (1, 3), (2, 99), (3, 12), (4, 3)) a(pos, k) JOIN nation ON n_nationkey = k",
     "page_limit_offset": "SELECT source_id, ordinal, passage_no FROM passages ORDER BY source_id, ordinal, passage_no LIMIT 50 OFFSET 100",
     "first_seen_texts": "SELECT digest, doc_id, path FROM (SELECT md5(text) AS digest, doc_id, path FROM documents) QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id) = 1",
-    "merged_bundles": "SELECT passage_id, min(subject) AS subject, count(DISTINCT subject) > 1 AS in_conflict, count(*) AS n_bundles FROM facts WHERE subject IS NOT NULL GROUP BY 1",
+    "merged_bundles": f"WITH {TOLD} SELECT passage_id, min(subject) AS subject, count(DISTINCT subject) > 1 AS in_conflict, count(*) AS n_bundles FROM told WHERE subject IS NOT NULL GROUP BY 1",
 }
