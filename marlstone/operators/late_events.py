@@ -1,21 +1,30 @@
 """Per-period counts of events that arrive late, out of order and repeatedly.
 
-State is a table of conflict-free counters. A counter cell is keyed by period, source and *replica*, a lane an event
-always falls into because it is a hash of the event's identity. Within a lane the count only grows with the version,
-so two states merge by taking each cell's maximum; a period's value is the sum over lanes. Merging is commutative,
-associative and idempotent: retries and reordering of state deltas change nothing.
+State is a table of conflict-free counter cells. A cell belongs to a source and one *writer*, the event that counts: all its
+deliveries write the same cell, each under a version. Two states merge by taking the greatest version of every writer;
+a period's value is the sum of its source's writers. Merging is commutative, associative and idempotent, so repeats, retries and
+any order of arrival change nothing, and an event whose earlier delivery comes in last moves from one outcome or period to
+another, leaving the old one, as its cell is replaced as a whole.
+
+For reading, cells are summed into counters of few *lanes* per source, each under the sequence number of the cells it was summed from.
+A lane is published whole; of several publications the greatest sequence per lane stands, and lanes are summed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
 LANES = 16
-CELL = ("period", "source_id", "lane", "outcome")
+#: Who writes a cell: an event by its hash, or by its own id where it has no hash.
+WRITER = ("source_id", "content_hash", "own")
+LANE = ("source_id", "lane")
+OUTCOMES = {"on_time": "n_on_time", "correction": "n_corrections", "too_late": "n_too_late"}
 
 
 @dataclass(frozen=True)
@@ -31,68 +40,74 @@ def period_start_us(event_us: Column, policy: LatenessPolicy) -> Column:
     return event_us - F.pmod(event_us, F.lit(policy.period_us))
 
 
-def distinct_events(claims: DataFrame) -> DataFrame:
-    """One row per event: rows with equal ``source_id`` and ``content_hash`` are one, a row without hash is its own.
+def delivered_cells(claims: DataFrame) -> DataFrame:
+    """The state of each delivery: one cell with the writer, the delivery's ``version`` and the count ``n`` of one.
 
-    The event is represented by its earliest ``recorded_from``, then the smallest ``event_id``. This too is a
-    mergeable register (a minimum), so repeats of a row, however many and however late, leave it unchanged.
-    Rows without ``valid_from`` or ``recorded_from`` are no events. A null ``source_id`` counts as one source.
+    Rows with equal ``source_id`` and ``content_hash`` are deliveries of one event, a row without hash is its own event. The
+    earlier a delivery was recorded the greater is its version, then the smaller its ``event_id`` is. Rows without ``valid_from`` or
+    ``recorded_from`` write nothing. A null ``source_id`` counts as one source.
     """
-    own = F.when(F.col("content_hash").isNull(), F.col("event_id"))
-    rows = claims.where(F.col("valid_from").isNotNull() & F.col("recorded_from").isNotNull()).select(
-        "source_id", "content_hash", own.alias("own"),
-        F.struct(F.unix_micros("recorded_from").alias("recorded_us"), "event_id", F.unix_micros("valid_from").alias("event_us")).alias("row"),
+    # bitwise not turns the order around for every number there is
+    version = F.struct(
+        F.bitwise_not(F.unix_micros("recorded_from")).alias("recorded"), F.bitwise_not("event_id").alias("event"), F.bitwise_not(F.unix_micros("valid_from")).alias("valid")
     )
-    first = rows.groupBy("source_id", "content_hash", "own").agg(F.min("row").alias("row"))
-    return first.select("source_id", F.xxhash64("source_id", "content_hash", "own").alias("identity"), "row.*")
+    return claims.where(F.col("valid_from").isNotNull() & F.col("recorded_from").isNotNull()).select(
+        "source_id", "content_hash", F.when(F.col("content_hash").isNull(), F.col("event_id")).alias("own"), version.alias("version"), F.lit(1).cast("bigint").alias("n")
+    )
+
+
+def merge_cells(*states: DataFrame) -> DataFrame:
+    """The join of cell states: of every writer the cell of the greatest version. States may overlap, repeat and come in any order."""
+    every = reduce(DataFrame.unionByName, states)
+    best = every.groupBy(*WRITER).agg(F.max(F.struct("version", "n")).alias("cell"))
+    return best.select(*WRITER, "cell.version", "cell.n")
 
 
-def classify(events: DataFrame, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
-    """Adds ``period`` and ``outcome``: on_time before the period's end, correction until the cut-off, then too_late."""
-    period = period_start_us(F.col("event_us"), policy)
+def judged(cells: DataFrame, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
+    """Merged cells with what their version says: ``event_id``, ``period`` and ``outcome``, which is on_time before the period's end, then
+    correction until the cut-off, then too_late."""
+    recorded, event, valid = (F.bitwise_not(f"version.{part}") for part in ("recorded", "event", "valid"))
+    period = period_start_us(valid, policy)
     closed = period + F.lit(policy.period_us)
-    outcome = (
-        F.when(F.col("recorded_us") < closed, "on_time")
-        .when(F.col("recorded_us") < closed + F.lit(policy.lateness_us), "correction")
-        .otherwise("too_late")
-    )
-    return events.withColumn("period", F.timestamp_micros(period)).withColumn("outcome", outcome)
+    outcome = F.when(recorded < closed, "on_time").when(recorded < closed + F.lit(policy.lateness_us), "correction").otherwise("too_late")
+    return cells.select(*WRITER, event.alias("event_id"), F.timestamp_micros(period).alias("period"), outcome.alias("outcome"), "n")
 
 
-def counter_state(classified: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Counter cells of a set of classified events: count and version (last arrival seen) per period, source and lane."""
-    return (
-        classified.withColumn("lane", F.pmod(F.col("identity"), F.lit(lanes)).cast("int"))
-        .groupBy(*CELL)
-        .agg(F.count(F.lit(1)).alias("n"), F.max("recorded_us").alias("version"))
-    )
+def counters(cells: DataFrame, sequence: int, policy: LatenessPolicy = LatenessPolicy(), lanes: int = LANES) -> DataFrame:
+    """What merged cells come to: per period, source and lane the counts of each outcome, all under ``sequence``.
+
+    A later publication is made from a state that holds the earlier one's cells and gets a greater sequence. All cells of a writer fall into
+    one lane. Counting combines before the shuffle.
+    """
+    lane = F.pmod(F.xxhash64(*WRITER), F.lit(lanes)).cast("int")
+    each = [F.sum(F.when(F.col("outcome") == o, F.col("n")).otherwise(0)).alias(name) for o, name in OUTCOMES.items()]
+    return judged(cells, policy).withColumn("lane", lane).groupBy("period", *LANE).agg(*each).withColumn("sequence", F.lit(sequence).cast("bigint"))
+
 
+def merge_counters(*published: DataFrame) -> DataFrame:
+    """The join of publications: each lane as it stands under its greatest sequence, whole. Any order and repetition gives the same.
 
-def merge_states(*states: DataFrame) -> DataFrame:
-    """The join of counter states: each cell's maximum. Any order and any repetition of states gives the same table."""
-    merged = states[0]
-    for state in states[1:]:
-        merged = merged.unionByName(state)
-    return merged.groupBy(*CELL).agg(F.max("n").alias("n"), F.max("version").alias("version"))
+    The lanes of a source are few, so the table of greatest sequences is small whatever the number of periods.
+    """
+    every = reduce(DataFrame.unionByName, published)
+    last = every.groupBy(*[F.col(c).alias(f"_{c}") for c in LANE]).agg(F.max("sequence").alias("_sequence"))
+    newest = (F.col("source_id").eqNullSafe(F.col("_source_id"))) & (F.col("lane") == F.col("_lane")) & (F.col("sequence") == F.col("_sequence"))
+    return every.join(last, newest, "left_semi").distinct()
 
 
 def read_counters(state: DataFrame) -> DataFrame:
-    """Per period and source: on-time count, corrections that came in by the cut-off, rejected late rows, and the total.
+    """Per period and source, the sum of the lanes: on-time count, corrections that came in by the cut-off, rejected late events, and the total.
 
     ``n_total`` is the corrected value of the period; ``n_too_late`` does not enter it.
     """
-    def part(name: str) -> Column:
-        return F.sum(F.when(F.col("outcome") == name, F.col("n")).otherwise(0))
-
-    return state.groupBy("period", "source_id").agg(
-        part("on_time").alias("n_on_time"),
-        part("correction").alias("n_corrections"),
-        part("too_late").alias("n_too_late"),
-        (part("on_time") + part("correction")).alias("n_total"),
-    )
+    return state.groupBy("period", "source_id").agg(*[F.sum(name).alias(name) for name in OUTCOMES.values()]).withColumn("n_total", F.col("n_on_time") + F.col("n_corrections"))
+
+
+def claim_rows(temporal_events: DataFrame) -> DataFrame:
+    """The claim rows of ``temporal_events``; only the needed columns are read."""
+    return temporal_events.where(F.col("claim").isNotNull()).select("event_id", "source_id", "content_hash", "valid_from", "recorded_from")
 
 
-def late_claims(temporal_events: DataFrame, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
-    """Classified events of the claim rows of ``temporal_events``; only the needed columns are read."""
-    claims = temporal_events.where(F.col("claim").isNotNull()).select("event_id", "source_id", "content_hash", "valid_from", "recorded_from")
-    return classify(distinct_events(claims), policy)
+def late_claims(deliveries: Sequence[DataFrame], policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
+    """Judged cells of claims that came in by any number of deliveries."""
+    return judged(merge_cells(*[delivered_cells(d) for d in deliveries]), policy)

@@ -227,7 +227,8 @@ def stream_late_counts(spark, d):
         rows = reader.parquet(f"{d}/temporal_events.parquet")
     claims = rows.where("claim is not null").select("event_id", "source_id", "content_hash", "valid_from", "recorded_from")
     late_counts.start(claims, f"{at}/state", f"{at}/checkpoint").awaitTermination()
-    return late_counts.read(spark, f"{at}/state").select("source_id", F.unix_micros("period").alias("period_us"), "n_on_time", "n_corrections", "n_too_late", "n_total")
+    late_counts.publish(spark, f"{at}/state", f"{at}/counts")
+    return late_counts.read(spark, f"{at}/counts").select("source_id", F.unix_micros("period").alias("period_us"), "n_on_time", "n_corrections", "n_too_late", "n_total")
 
 
 def price_summary(spark, d):

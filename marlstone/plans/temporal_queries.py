@@ -10,15 +10,17 @@ from marlstone.session import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Events that came after the end of their day: corrections and, past the cut-off, too late."""
-    return late_events.late_claims(table(spark, d, "temporal_events")).where("outcome <> 'on_time'").select("event_id", "outcome")
+    """Events that came after the end of their day: corrections and, past the cut-off, too late; read off the merged counter cells."""
+    claims = late_events.claim_rows(table(spark, d, "temporal_events"))
+    return late_events.late_claims([claims]).where("outcome <> 'on_time'").select("event_id", "outcome")
 
 
 def p2_daily_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Claims per source and UTC day from merged counter states; the second state repeats the first on purpose."""
-    classified = late_events.late_claims(table(spark, d, "temporal_events"))
-    state = late_events.counter_state(classified)
-    return late_events.read_counters(late_events.merge_states(state, state)).select(
+    """Claims per source and UTC day, from three states that overlap: every row is in two of them, and they come in no order of time."""
+    claims = late_events.claim_rows(table(spark, d, "temporal_events"))
+    carrier = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    cells = late_events.merge_cells(*[late_events.delivered_cells(claims.where(carrier != left_out)) for left_out in (2, 0, 1)])
+    return late_events.read_counters(late_events.counters(cells, 1)).select(
         "source_id", F.unix_micros("period").alias("period_us"), "n_on_time", "n_corrections", "n_too_late", "n_total"
     )
 

@@ -1,4 +1,4 @@
-"""Streaming form of the late-event counters: each micro-batch leaves a part of the register, parts merge idempotently."""
+"""Streaming form of the late-event counters: each micro-batch leaves a state of cells, states merge idempotently."""
 
 from __future__ import annotations
 
@@ -20,34 +20,38 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def start(claims: DataFrame, state_path: str, checkpoint: str):
-    """Writes the register of each micro-batch (per event its earliest arrival) as one part, ``state_path``/v=N.
+    """Writes the merged cells of each micro-batch as one part, ``state_path``/v=N.
 
     Parts only ever grow in number; a batch that is delivered again overwrites its own part, and since merging takes
-    minima, overlapping or reordered batches change nothing. ``claims`` is a streaming table with event_id, source_id, content_hash,
-    valid_from and recorded_from.
+    the greatest version of a writer, overlapping or reordered batches change nothing. ``claims`` is a streaming table with event_id,
+    source_id, content_hash, valid_from and recorded_from.
     """
     def keep(batch: DataFrame, epoch: int) -> None:
-        late_events.distinct_events(batch).write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
+        late_events.merge_cells(late_events.delivered_cells(batch)).write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
 
     return claims.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def register(spark: SparkSession, state_path: str) -> DataFrame:
-    """All whole parts merged: one row per event."""
-    parts = [f"{state_path}/v={v}" for v in _versions(spark, state_path)]
-    rows = spark.read.parquet(*parts)
-    first = rows.groupBy("source_id", "identity").agg(F.min(F.struct("recorded_us", "event_id", "event_us")).alias("row"))
-    return first.select("source_id", "identity", "row.*")
+def cells(spark: SparkSession, state_path: str) -> DataFrame:
+    """All whole parts merged: one cell per event."""
+    return late_events.merge_cells(*[spark.read.parquet(f"{state_path}/v={v}") for v in _versions(spark, state_path)])
 
 
 def compact(spark: SparkSession, state_path: str, into: str) -> None:
-    """Writes the merged register as the single part of a new folder, for a stream that is started anew on it."""
-    register(spark, state_path).write.mode("overwrite").parquet(f"{into}/v=0")
+    """Writes the merged cells as the single part of a new folder, for a stream that is started anew on it."""
+    cells(spark, state_path).write.mode("overwrite").parquet(f"{into}/v=0")
 
 
-def read(spark: SparkSession, state_path: str, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
-    """Corrected counts per period and source."""
-    return late_events.read_counters(late_events.counter_state(late_events.classify(register(spark, state_path), policy)))
+def publish(spark: SparkSession, state_path: str, counts_path: str, policy: LatenessPolicy = LatenessPolicy()) -> None:
+    """Sums the cells that are there into counters under the number of parts they come from; to publish the same parts again overwrites the same counters."""
+    sequence = len(_versions(spark, state_path))
+    late_events.counters(cells(spark, state_path), sequence, policy).write.mode("overwrite").parquet(f"{counts_path}/v={sequence}")
+
+
+def read(spark: SparkSession, counts_path: str) -> DataFrame:
+    """Corrected counts per period and source from all publications, in whatever order they were made."""
+    parts = [spark.read.parquet(f"{counts_path}/v={v}") for v in _versions(spark, counts_path)]
+    return late_events.read_counters(late_events.merge_counters(*parts))
 
 
 def windowed_counts(events: DataFrame, period: str = "1 day", lateness: str = "3 days") -> DataFrame:

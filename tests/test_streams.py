@@ -20,16 +20,19 @@ def batches():
 def test_late_counts_stream(spark, tmp_path):
     first, second = batches()
     source = str(tmp_path / "in")
-    state, marks = str(tmp_path / "state"), str(tmp_path / "marks")
+    state, marks, counts = str(tmp_path / "state"), str(tmp_path / "marks"), str(tmp_path / "counts")
     for rows in (first, second, first):  # the last one is delivered again
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         late_counts.start(spark.readStream.schema(SCHEMA).parquet(source), state, marks).awaitTermination()
-    want = late_events.read_counters(late_events.counter_state(late_events.classify(late_events.distinct_events(spark.createDataFrame(first + second, SCHEMA)))))
-    got = late_counts.read(spark, state)
+        late_counts.publish(spark, state, counts)
+    whole = late_events.merge_cells(late_events.delivered_cells(spark.createDataFrame(first + second, SCHEMA)))
+    want = late_events.read_counters(late_events.counters(whole, 1))
+    got = late_counts.read(spark, counts)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.first().n_corrections == 1 and got.first().n_too_late == 0
     late_counts.compact(spark, state, str(tmp_path / "compact"))
-    assert sorted(map(tuple, late_counts.read(spark, str(tmp_path / "compact")).collect())) == sorted(map(tuple, want.collect()))
+    late_counts.publish(spark, str(tmp_path / "compact"), str(tmp_path / "again"))
+    assert sorted(map(tuple, late_counts.read(spark, str(tmp_path / "again")).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_windowed_form_runs(spark, tmp_path):

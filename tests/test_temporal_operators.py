@@ -27,19 +27,60 @@ def test_late_events_outcomes_and_edges(spark):
         (6, None, "h", T0, T0 + 30 * day), (7, "s", "k", None, T0), (8, "s", "k2", T0, None), (9, "s", "e", T0, T0 + 2 * day), (10, "s", "e", T0, T0 + 2 * day), (1, "s", "h", T0, T0 + timedelta(hours=1)),
         (11, "s", "old", datetime(1969, 12, 31, 12, tzinfo=UTC), datetime(1970, 1, 1, tzinfo=UTC)),
     ]
-    out = late_events.late_claims(claims(spark, rows))
+    out = late_events.late_claims([late_events.claim_rows(claims(spark, rows))])
     got = {r.event_id: r.outcome for r in out.collect()}
     assert got == {1: "on_time", 3: "correction", 4: "too_late", 5: "correction", 6: "too_late", 9: "correction", 11: "correction"}
 
 
-def test_late_counters_merge_in_any_order(spark):
-    rng = random.Random(3)
-    rows = [(i, rng.choice("ab"), rng.choice([None, f"h{rng.randrange(40)}"]), T0 + timedelta(hours=rng.randrange(72)), T0 + timedelta(hours=rng.randrange(200))) for i in range(150)]
-    whole = late_events.counter_state(late_events.late_claims(claims(spark, rows)))
-    early = late_events.counter_state(late_events.late_claims(claims(spark, [r for r in rows if r[4] < T0 + timedelta(hours=60)])))
-    show = lambda df: sorted(map(tuple, late_events.read_counters(df).collect()))
-    assert show(late_events.merge_states(early, whole, early)) == show(late_events.merge_states(whole, early)) == show(whole)
-    assert late_events.read_counters(late_events.counter_state(late_events.late_claims(claims(spark, [])))).count() == 0
+def counted_at_once(rows):
+    """Plain counts per (source, day): on time, corrections, too late."""
+    first = {}
+    for event, source, content, valid, recorded in rows:
+        if valid is not None and recorded is not None:
+            key = (source, content, event if content is None else None)
+            first[key] = min(first.get(key, (recorded, event, valid)), (recorded, event, valid))
+    out = defaultdict(lambda: [0, 0, 0])
+    for (source, _, _), (recorded, _, valid) in first.items():
+        day = valid.replace(hour=0, minute=0, second=0, microsecond=0)
+        out[source, day][0 if recorded < day + timedelta(days=1) else 1 if recorded < day + timedelta(days=4) else 2] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def read_back(state):
+    return {(r.source_id, r.period.replace(tzinfo=UTC)): (r.n_on_time, r.n_corrections, r.n_too_late) for r in late_events.read_counters(state).collect()}
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_counter_states_merge_from_any_split(spark, seed):
+    rng = random.Random(seed)
+    stamp = lambda: T0 + timedelta(hours=rng.randrange(72))
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, f"h{rng.randrange(40)}"]), rng.choice([stamp(), stamp(), None]), T0 + timedelta(hours=rng.randrange(200))) for i in range(150)]
+    want = counted_at_once(rows)
+    parts = [[r for r in rows if rng.random() < 0.5] for _ in range(3)]
+    parts += [[r for r in rows if not any(r in p for p in parts)], rng.sample(rows, 30) * 2]
+    rng.shuffle(parts)
+    states = [late_events.delivered_cells(late_events.claim_rows(claims(spark, p))) for p in parts]
+    whole = late_events.merge_cells(*states)
+    assert read_back(late_events.counters(whole, 1)) == want
+    assert read_back(late_events.counters(late_events.merge_cells(whole, states[0], whole), 1)) == want
+    # an earlier publication, read again after the later one, changes nothing
+    early, late = late_events.counters(late_events.merge_cells(states[0]), 1), late_events.counters(whole, 5)
+    for order in ((early, late), (late, early), (early, late, early, late)):
+        assert read_back(late_events.merge_counters(*order)) == want
+    assert late_events.read_counters(late_events.counters(late_events.merge_cells(states[0].limit(0)), 1)).count() == 0
+
+
+def test_event_moves_to_its_earlier_outcome_and_day(spark):
+    late, early = [(1, "s", "h", T0, T0 + timedelta(days=9))], [(2, "s", "h", T0 + timedelta(days=1), T0 + timedelta(days=2, hours=1))]
+    a, b = (late_events.delivered_cells(late_events.claim_rows(claims(spark, rows))) for rows in (late, early))
+    assert read_back(late_events.counters(a, 1)) == {("s", T0): (0, 0, 1)}
+    for states in ((a, b), (b, a), (b, a, a)):
+        assert read_back(late_events.counters(late_events.merge_cells(*states), 2)) == {("s", T0 + timedelta(days=1)): (0, 1, 0)}
+    both = late_events.counters(late_events.merge_cells(a, b), 2)
+    assert read_back(late_events.merge_counters(both, late_events.counters(a, 1))) == {("s", T0 + timedelta(days=1)): (0, 1, 0)}
+    # events of different batches add up
+    other = late_events.delivered_cells(late_events.claim_rows(claims(spark, [(7, "s", None, T0, T0 + timedelta(days=9))])))
+    assert read_back(late_events.counters(late_events.merge_cells(a, other), 1)) == {("s", T0): (0, 0, 2)}
 
 
 def best_claim(q, cs):
