@@ -1,8 +1,8 @@
-"""A navigable small-world graph over the unit vectors of one shard, held as flat neighbour arrays, in numpy.
+"""A hierarchical navigable small-world graph over the unit vectors of one shard, held as flat neighbour arrays, in numpy.
 
-Every vector draws a top layer; a layer's vectors are linked to their nearest ones of the layer. Links are found by blocked
-matrix products, which for the few thousand vectors of a shard costs less than inserting one vector after another.
-Half of the links lead to a vector's nearest ones, the rest are links in the other direction, so that every vector can be reached.
+Every vector draws a top layer, each layer holding about one in ``links`` of the one below. Vectors are inserted in batches: a batch descends
+from the top layer by beam search, is linked in each of its layers to near but diverse ones among those found and among the batch
+itself, and the vectors it links to keep their nearest links back. A search descends in the same way.
 """
 
 from __future__ import annotations
@@ -11,131 +11,175 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_ROWS = 512
+#: Entries handed down from a layer to the next, and the beam of layers that only lead the way.
+_ENTRIES, _NARROW = 4, 8
 
 
 @dataclass
-class Graph:
-    vectors: np.ndarray  # n x d, unit length
-    links: np.ndarray  # n x width, bottom layer; -1 where there is none
-    near: np.ndarray  # n x near, the exact nearest of the shard, best first; -1 where there is none
-    near_sims: np.ndarray
-    upper: np.ndarray  # positions of the vectors of the upper layer
-    upper_links: np.ndarray  # their links, as positions in ``upper``
+class Layer:
+    members: np.ndarray  # vectors of the layer, ascending; a vector's row is its place here
+    vectors: np.ndarray
+    links: np.ndarray  # rows linked to: the chosen ones, then links back; -1 where there is none
+    back_sims: np.ndarray
+    down: np.ndarray  # row of each member in the layer below
 
 
-def _nearest(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest others of each vector, best first; -1 and -2.0 where there are fewer."""
-    n = len(vectors)
-    out, sims = np.full((n, k), -1, np.int32), np.full((n, k), -2.0, np.float32)
-    m = min(k, n - 1)
-    if m <= 0:
-        return out, sims
-    for at in range(0, n, _ROWS):
-        block = vectors[at : at + _ROWS] @ vectors.T
-        rows = np.arange(len(block))
-        block[rows, at + rows] = -3.0
-        best = np.argpartition(block, n - m, axis=1)[:, n - m :] if m < n else np.tile(np.arange(n), (len(block), 1))
-        held = np.take_along_axis(block, best, 1)
-        order = np.argsort(-held, axis=1, kind="stable")
-        out[at : at + _ROWS, :m] = np.take_along_axis(best, order, 1)
-        sims[at : at + _ROWS, :m] = np.take_along_axis(held, order, 1)
-    return out, sims
-
-
-def _with_reverse(near: np.ndarray, extra: int) -> np.ndarray:
-    """Adds to each row up to ``extra`` vectors that link to it and are not linked back."""
-    n, width = near.shape
-    links = np.full((n, width + extra), -1, np.int32)
-    links[:, :width] = near
-    source = np.repeat(np.arange(n, dtype=np.int64), width)
-    rank = np.tile(np.arange(width), n)
-    target = near.ravel().astype(np.int64)
-    there = target >= 0
-    source, target, rank = source[there], target[there], rank[there]
-    own = np.sort(source * n + target)
-    back = target * n + source
-    at = np.minimum(np.searchsorted(own, back), len(own) - 1) if len(own) else back
-    one_way = own[at] != back if len(own) else np.zeros(0, bool)
-    source, target, rank = source[one_way], target[one_way], rank[one_way]
-    order = np.lexsort((rank, target))
-    source, target = source[order], target[order]
-    first = np.searchsorted(target, target, "left")
-    place = np.arange(len(target)) - first
-    few = place < extra
-    links[target[few], width + place[few]] = source[few]
-    return links
-
-
-def build(vectors: np.ndarray, links: int = 12, reverse: int = 4, fan: int = 16, seed: int = 7) -> Graph:
-    """Graph of a shard; about every ``fan``-th vector is in the upper layer."""
-    n = len(vectors)
-    near, sims = _nearest(vectors, links)
-    chosen = np.flatnonzero(np.random.default_rng(seed).random(n) < 1.0 / fan)
-    if n and not len(chosen):
-        chosen = np.zeros(1, np.int64)
-    upper_links, _ = _nearest(vectors[chosen], links)
-    return Graph(vectors, _with_reverse(near, reverse), near, sims, chosen, upper_links)
+@dataclass
+class Graph:
+    order: np.ndarray  # position of each inserted vector in the input
+    layers: list[Layer]  # from the bottom up
+    wide: int
 
 
-def search(graph: Graph, queries: np.ndarray, k: int, ef: int = 16, expand: int = 4, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and similarities of the k most similar vectors found for each query, best first; -1 where there are fewer.
+def _beam(layer: Layer, queries: np.ndarray, entries: np.ndarray, ef: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and similarities of the best ``ef`` met from the entries on, best first; -1 and -2.0 where there are fewer.
 
-    The upper layer gives the entries; then the best ``expand`` candidates not looked at yet are replaced by their links, until a
-    round changes nothing among the best ``ef``.
+    The best ``expand`` rows not looked at yet are replaced by their links, until the best ``ef`` have all been looked at.
     """
-    n, width = len(graph.vectors), graph.links.shape[1]
-    ids, sims = np.full((len(queries), k), -1, np.int32), np.full((len(queries), k), -2.0, np.float32)
-    if not n or not len(queries):
+    n, width, b = len(layer.members), layer.links.shape[1], len(queries)
+    m = min(entries.shape[1], ef)
+    beam, sims = np.full((b, ef), -1, np.int64), np.full((b, ef), -2.0, np.float32)
+    beam[:, :m] = entries[:, :m]
+    sims[:, :m] = np.where(beam[:, :m] >= 0, np.einsum("bed,bd->be", layer.vectors[beam[:, :m]], queries), -2.0)
+    seen = np.zeros((b, n + 1), bool)  # the last column stands for missing links
+    seen[np.arange(b)[:, None], beam] = True
+    seen[:, n] = True
+    done = beam < 0
+    live = np.arange(b)
+    expand = min(expand, ef)
+    while len(live):
+        open_sims = np.where(done[live], -9.0, sims[live])
+        pick = np.argpartition(-open_sims, expand - 1, axis=1)[:, :expand] if expand < ef else np.tile(np.arange(ef), (len(live), 1))
+        usable = np.take_along_axis(open_sims, pick, 1) > -5.0
+        moving = usable.any(1)
+        live, pick, usable = live[moving], pick[moving], usable[moving]
+        if not len(live):
+            break
+        done[live[:, None], pick] = True
+        step = layer.links[np.where(usable, beam[live[:, None], pick], 0)].reshape(len(live), expand * width).astype(np.int64)
+        step[np.repeat(~usable, width, axis=1)] = -1
+        fresh = ~seen[live[:, None], step]
+        r, c = np.nonzero(fresh)
+        found = step[r, c]
+        # a row met twice in one round counts once: the cell names which of its places stands
+        cell = r * np.int64(n + 1) + found
+        _, first = np.unique(cell, return_index=True)
+        r, found = r[first], found[first]
+        seen[live[r], found] = True
+        score = np.einsum("ij,ij->i", layer.vectors[found], queries[live[r]])
+        worst = sims[live].min(1)
+        better = score > worst[r]
+        r, found, score = r[better], found[better], score[better]
+        if not len(r):
+            continue
+        count = np.bincount(r, minlength=len(live))
+        place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        most = int(count.max())
+        new_ids, new_sims = np.full((len(live), most), -1, np.int64), np.full((len(live), most), -2.0, np.float32)
+        new_ids[r, place], new_sims[r, place] = found, score
+        all_sims = np.concatenate([sims[live], new_sims], 1)
+        keep = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
+        sims[live] = np.take_along_axis(all_sims, keep, 1)
+        beam[live] = np.take_along_axis(np.concatenate([beam[live], new_ids], 1), keep, 1)
+        done[live] = np.take_along_axis(np.concatenate([done[live], new_ids < 0], 1), keep, 1)
+    best = np.argsort(-sims, axis=1, kind="stable")
+    return np.take_along_axis(beam, best, 1), np.take_along_axis(sims, best, 1)
+
+
+def _diverse(layer: Layer, found: np.ndarray, sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidates sorted best first, m to link to: first those that are nearer to the vector than to any chosen one, then the next best."""
+    v = layer.vectors[found]
+    between = np.matmul(v, v.transpose(0, 2, 1))
+    there = found >= 0
+    chosen = np.zeros(found.shape, bool)
+    for j in range(found.shape[1]):
+        chosen[:, j] = there[:, j] & (chosen.sum(1) < m) & ~((between[:, j] > sims[:, j, None]) & chosen).any(1)
+    order = np.argsort(np.where(there, ~chosen, 2), axis=1, kind="stable")[:, :m]
+    return np.take_along_axis(np.where(there, found, -1), order, 1), np.take_along_axis(np.where(there, sims, -2.0), order, 1)
+
+
+def _link_back(layer: Layer, m: int, source: np.ndarray, target: np.ndarray, sims: np.ndarray) -> None:
+    """Adds links from target to source rows; a row keeps the nearest that its places for links back hold."""
+    touched = np.unique(target)
+    room = layer.links.shape[1] - m
+    row = np.concatenate([np.repeat(touched, room), target])
+    other = np.concatenate([layer.links[touched, m:].ravel(), source])
+    near = np.concatenate([layer.back_sims[touched].ravel(), sims])
+    row, other, near = row[other >= 0], other[other >= 0], near[other >= 0]
+    order = np.lexsort((other, -near, row))
+    row, other, near = row[order], other[order], near[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    kept = place < room
+    layer.links[touched, m:] = -1
+    layer.back_sims[touched] = -2.0
+    layer.links[row[kept], m + place[kept]] = other[kept]
+    layer.back_sims[row[kept], place[kept]] = near[kept]
+
+
+def build(vectors: np.ndarray, links: int = 12, back: int = 12, wide: int = 32, batch: int = 1024, seed: int = 7) -> Graph:
+    """Graph of a shard, by insertion in an order drawn from ``seed``."""
+    n = len(vectors)
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(n)
+    v = np.ascontiguousarray(vectors[order], np.float32)
+    top = max(0, int(np.log(max(n, 1)) / np.log(links)) - 1)
+    level = np.minimum((-np.log(np.maximum(rng.random(n), 1e-12)) / np.log(links)).astype(int), top)
+    level[:1] = top  # the vector that every descent begins at
+    layers: list[Layer] = []
+    for height in range(top + 1):
+        members = np.flatnonzero(level >= height)
+        down = np.searchsorted(layers[-1].members, members) if layers else members
+        layers.append(Layer(members, v[members] if height else v, np.full((len(members), links + back), -1, np.int32), np.full((len(members), back), -2.0, np.float32), down))
+    graph = Graph(order, layers, wide)
+    at = 1
+    while at < n:
+        end = min(n, at + min(batch, max(at, 1)))
+        _insert(graph, v[at:end], level[at:end], at, end, links, wide)
+        at = end
+    return graph
+
+
+def _insert(graph: Graph, q: np.ndarray, level: np.ndarray, at: int, end: int, m: int, wide: int) -> None:
+    entries = np.zeros((len(q), 1), np.int64)
+    for height in range(len(graph.layers) - 1, -1, -1):
+        layer = graph.layers[height]
+        linked = level >= height
+        lead, join = np.flatnonzero(~linked), np.flatnonzero(linked)
+        below = np.full((len(q), _ENTRIES), -1, np.int64)
+        if len(lead):
+            below[lead] = _beam(layer, q[lead], entries[lead], _NARROW, 2)[0][:, :_ENTRIES]
+        if len(join):
+            found, sims = _beam(layer, q[join], entries[join], wide, 4)
+            below[join] = found[:, :_ENTRIES]
+            first = int(np.searchsorted(layer.members, at))
+            mine = first + np.arange(len(join))
+            among = q[join] @ q[join].T
+            np.fill_diagonal(among, -2.0)
+            few = min(len(join), wide)
+            near = np.argpartition(-among, few - 1, axis=1)[:, :few]
+            near_sims = np.take_along_axis(among, near, 1)
+            found, sims = np.concatenate([found, np.where(near_sims > -2.0, mine[near], -1)], 1), np.concatenate([sims, near_sims], 1)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :wide]
+            chosen, chosen_sims = _diverse(layer, np.take_along_axis(found, best, 1), np.take_along_axis(sims, best, 1), m)
+            layer.links[mine, : chosen.shape[1]] = chosen
+            r, c = np.nonzero(chosen >= 0)
+            _link_back(layer, m, mine[r], chosen[r, c].astype(np.int64), chosen_sims[r, c])
+        if height:
+            entries = np.where(below >= 0, layer.down[below], -1)
+
+
+def search(graph: Graph, queries: np.ndarray, k: int, ef: int = 32, expand: int = 4, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the input and similarities of the k most similar vectors found for each query, best first; -1 where there are fewer."""
+    ids, sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2.0, np.float32)
+    if not len(graph.order):
         return ids, sims
-    ef = max(ef, k)
     for at in range(0, len(queries), batch):
         q = queries[at : at + batch]
-        b = len(q)
-        entry = q @ graph.vectors[graph.upper].T
-        m = min(ef, entry.shape[1])
-        first = np.argpartition(entry, entry.shape[1] - m, axis=1)[:, entry.shape[1] - m :]
-        beam_sims = np.full((b, ef), -2.0, np.float32)
-        beam = np.full((b, ef), -1, np.int64)
-        beam_sims[:, :m] = np.take_along_axis(entry, first, 1)
-        beam[:, :m] = graph.upper[first]
-        seen = np.zeros((b, n + 1), bool)  # the last column stands for missing links
-        seen[:, n] = True
-        rows = np.arange(b)[:, None]
-        seen[rows, beam] = True
-        done = beam < 0
-        live = np.arange(b)
-        while len(live):
-            open_sims = np.where(done[live], -9.0, beam_sims[live])
-            pick = np.argpartition(-open_sims, expand - 1, axis=1)[:, :expand] if expand < ef else np.tile(np.arange(ef), (len(live), 1))
-            usable = np.take_along_axis(open_sims, pick, 1) > -5.0
-            moving = usable.any(1)
-            live, pick, usable = live[moving], pick[moving], usable[moving]
-            if not len(live):
-                break
-            done[live[:, None], pick] = True
-            nodes = np.where(usable, beam[live[:, None], pick], -1)
-            step = graph.links[nodes].reshape(len(live), expand * width).astype(np.int64)
-            step[np.repeat(~usable, width, axis=1)] = -1
-            step.sort(axis=1)
-            twice = np.zeros(step.shape, bool)
-            twice[:, 1:] = step[:, 1:] == step[:, :-1]
-            new = ~(seen[live[:, None], step] | twice)
-            r, c = np.nonzero(new)
-            found = step[r, c]
-            seen[live[r], found] = True
-            fresh = np.full(step.shape, -2.0, np.float32)
-            fresh[r, c] = np.einsum("ij,ij->i", graph.vectors[found], q[live[r]])
-            worst = beam_sims[live].min(1)
-            all_sims = np.concatenate([beam_sims[live], fresh], 1)
-            all_ids = np.concatenate([beam[live], np.where(new, step, -1)], 1)
-            all_done = np.concatenate([done[live], ~new], 1)
-            keep = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-            beam_sims[live] = np.take_along_axis(all_sims, keep, 1)
-            beam[live] = np.take_along_axis(all_ids, keep, 1)
-            done[live] = np.take_along_axis(all_done, keep, 1)
-            live = live[fresh.max(1) > worst]
-        order = np.argsort(-beam_sims, axis=1, kind="stable")[:, :k]
-        ids[at : at + b] = np.take_along_axis(beam, order, 1)
-        sims[at : at + b] = np.take_along_axis(beam_sims, order, 1)
+        entries = np.zeros((len(q), 1), np.int64)
+        for layer in graph.layers[:0:-1]:
+            below = _beam(layer, q, entries, _NARROW, 2)[0][:, :_ENTRIES]
+            entries = np.where(below >= 0, layer.down[below], -1)
+        rows, near = _beam(graph.layers[0], q, entries, max(ef, k), expand)
+        ids[at : at + batch] = np.where(rows[:, :k] >= 0, graph.order[rows[:, :k]], -1)
+        sims[at : at + batch] = near[:, :k]
     return ids, sims

@@ -1,8 +1,8 @@
 """The most similar vectors of the same collection for every vector, by a small-world graph per shard.
 
 A bounded sample of vectors serves as shard centres. Every vector is held by the shard of its nearest centre and asked in
-the shards whose centre is almost as near. Each shard is one group: its graph is built there, its own vectors read their
-neighbours off the graph, the others search it, and the shards' results are merged. Shards that turn out large are split.
+the shards whose centre is almost as near. A shard is one cell, or a grid of cells where it holds or is asked too many vectors: each
+cell builds the graph of its part of the held vectors, searches it for its part of the asked ones, and the cells' results are merged.
 """
 
 from __future__ import annotations
@@ -25,20 +25,26 @@ class IndexSpec:
     dim: int = 64
     k: int = 5
     min_cosine: float = 0.90
-    shard_rows: int = 4096
-    #: Centres are a sample of at most so many vectors; past shard_rows * max_shards vectors the shards are split by hash.
+    #: Vectors to one centre of the sample; at most ``max_shards`` are drawn, beyond which shards grow and are split.
+    shard_rows: int = 8192
     max_shards: int = 16_384
-    split_rows: int = 16_384
+    #: Centres more similar than this are one: a dense group is few shards, split by hash, instead of very many.
+    apart: float = 0.90
+    #: Vectors that one cell holds and is asked at most, on average.
+    split_rows: int = 32_768
+    ask_rows: int = 131_072
     margin: float = 0.08
-    links: int = 12
-    reverse: int = 4
-    ef: int = 16
+    links: int = 16
+    back: int = 24
+    ef: int = 24
+    #: Beam for vectors whose whole first beam reaches ``min_cosine``: they lie in a dense group.
+    dense_ef: int = 96
     expand: int = 4
 
 
 def search_spec(k: int = 5, dim: int = 64) -> IndexSpec:
     """Settings for neighbours at any distance: far ones lie in many shards, so every shard within a wide margin is asked."""
-    return IndexSpec(dim=dim, k=k, min_cosine=-1.0, margin=0.4, ef=64, expand=8, links=16, reverse=8)
+    return IndexSpec(dim=dim, k=k, min_cosine=-1.0, margin=0.4, ef=64, dense_ef=64)
 
 
 def _unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +100,61 @@ def _nearest_shards(v: np.ndarray, centres: np.ndarray, spec: IndexSpec) -> tupl
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(own)
 
 
-#: Vectors routed at once and rows sent at once: in a dense group a vector may ask in very many shards.
+#: Vectors routed at once and rows sent at once: a vector may ask in many shards.
 _ROUTE_ROWS, _SEND_ROWS = 1024, 65_536
-_ROUTED = "collection string, shard int, part int, own boolean, ask boolean, id bigint, vec binary"
+_ROUTED = "cell int, collection string, own boolean, ask boolean, id bigint, vec binary"
 
 
-def _routed(units: DataFrame, centres: dict[str, np.ndarray], parts: dict[str, np.ndarray], spec: IndexSpec) -> DataFrame:
-    """Each vector once for its own shard (and part of it) and, if it asks, once for every part of every shard it is asked in."""
+@dataclass(frozen=True)
+class _Grid:
+    """Cells of the shards of one collection: shard s has ``held[s]`` times ``asked[s]`` of them from ``first[s]`` on."""
+
+    centres: np.ndarray
+    held: np.ndarray
+    asked: np.ndarray
+    first: np.ndarray
+
+
+def _spread(ids: np.ndarray, turn: int) -> np.ndarray:
+    """31 bits of each id, well mixed; different turns are independent."""
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn * 0xD6E8FEB86659FD93 % 2**64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (x >> np.uint64(33)).astype(np.int64)
+
+
+def _repeats(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position as often as ``times`` says, and its number among its repeats."""
+    again = np.repeat(np.arange(len(times)), times)
+    return again, np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _cells_of(ids: np.ndarray, ask: np.ndarray, row: np.ndarray, shard: np.ndarray, own: np.ndarray, grid: _Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell, whether it is held there and whether it asks there. In its own shard a vector is held by every cell of its part;
+    in each shard it asks once in every part."""
+    part, lane = _spread(ids[row], 1) % grid.held[shard], _spread(ids[row], 2) % grid.asked[shard]
+    at = np.flatnonzero(own)
+    again, k = _repeats(grid.asked[shard[at]])
+    at = at[again]
+    held_row, held_cell, held_ask = row[at], grid.first[shard[at]] + part[at] * grid.asked[shard[at]] + k, ask[row[at]] & (k == lane[at])
+    at = np.flatnonzero(ask[row])
+    again, k = _repeats(grid.held[shard[at]])
+    at = at[again]
+    away = ~own[at] | (k != part[at])  # where it is held it asks already
+    at, k = at[away], k[away]
+    asked_cell = grid.first[shard[at]] + k * grid.asked[shard[at]] + lane[at]
+    return (
+        np.concatenate([held_row, row[at]]), np.concatenate([held_cell, asked_cell]),
+        np.concatenate([np.ones(len(held_row), bool), np.zeros(len(at), bool)]), np.concatenate([held_ask, np.ones(len(at), bool)]),
+    )
+
+
+def _pieces(names: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """Positions of a batch by collection, few at a time."""
+    return [(name, at[i : i + _ROUTE_ROWS]) for name in dict.fromkeys(names) for at in [np.flatnonzero(names == name)] for i in range(0, len(at), _ROUTE_ROWS)]
+
+
+def _routed(units: DataFrame, grids: dict[str, _Grid], spec: IndexSpec) -> DataFrame:
+    """Each vector in every cell that holds it or that it asks."""
 
     def run(batches):
         for b in batches:
@@ -108,25 +162,14 @@ def _routed(units: DataFrame, centres: dict[str, np.ndarray], parts: dict[str, n
             ids = b.column(1).to_numpy()
             v = _unpacked(pa.chunked_array([b.column(2)]), spec.dim)
             ask = b.column(3).to_numpy(zero_copy_only=False)
-            pieces = [(name, at[i : i + _ROUTE_ROWS]) for name in dict.fromkeys(names) for at in [np.flatnonzero(names == name)] for i in range(0, len(at), _ROUTE_ROWS)]
-            for name, mine in pieces:
-                row, shard, own = _nearest_shards(v[mine], centres[name], spec)
-                row = mine[row]
-                split = parts[name][shard]
-                home = ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                home = (home % split.astype(np.uint64)).astype(np.int64)
-                times = split
-                again = np.repeat(np.arange(len(row)), times)
-                part = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                own = own[again] & (part == home[again])
-                row, shard = row[again], shard[again]
-                sent = own | ask[row]
-                row, shard, part, own = row[sent], shard[sent], part[sent], own[sent]
+            for name, mine in _pieces(names):
+                row, shard, own = _nearest_shards(v[mine], grids[name].centres, spec)
+                row, cell, held, asks = _cells_of(ids, ask, mine[row], shard, own, grids[name])
                 for i in range(0, len(row), _SEND_ROWS):
                     r, to = row[i : i + _SEND_ROWS], slice(i, i + _SEND_ROWS)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[r], pa.string()), pa.array(shard[to], pa.int32()), pa.array(part[to], pa.int32()), pa.array(own[to]), pa.array(ask[r]), pa.array(ids[r]), _packed(v[r])],
-                        ["collection", "shard", "part", "own", "ask", "id", "vec"],
+                        [pa.array(cell[to], pa.int32()), pa.array(names[r], pa.string()), pa.array(held[to]), pa.array(asks[to]), pa.array(ids[r]), _packed(v[r])],
+                        ["cell", "collection", "own", "ask", "id", "vec"],
                     )
 
     return units.mapInArrow(run, _ROUTED)
@@ -135,31 +178,32 @@ def _routed(units: DataFrame, centres: dict[str, np.ndarray], parts: dict[str, n
 _FOUND = "collection string, id bigint, other bigint, cosine float"
 
 
-def _shard_search(spec: IndexSpec):
-    def run(shard: pa.Table) -> pa.Table:
-        own = shard.column("own").to_numpy()
-        ids = shard.column("id").to_numpy()
-        v = _unpacked(shard.column("vec"), spec.dim)
+def _cell_search(spec: IndexSpec):
+    def run(cell: pa.Table) -> pa.Table:
+        own, ask = cell.column("own").to_numpy(), cell.column("ask").to_numpy()
+        ids = cell.column("id").to_numpy()
+        v = _unpacked(cell.column("vec"), spec.dim)
         held = np.flatnonzero(own)
         held = held[np.argsort(ids[held], kind="stable")]  # the graph does not depend on arrival
-        asked = np.flatnonzero(~own)
-        graph = hnsw.build(v[held], max(spec.links, spec.k), spec.reverse)
-        ask = shard.column("ask").to_numpy()[held]
-        r, c = np.nonzero((graph.near_sims[:, : spec.k] >= spec.min_cosine) & (graph.near[:, : spec.k] >= 0) & ask[:, None])
-        left, right, sims = held[r], held[graph.near[r, c]], graph.near_sims[r, c]
-        found, cosines = hnsw.search(graph, v[asked], spec.k, spec.ef, spec.expand)
+        graph = hnsw.build(v[held], spec.links, spec.back)
+        asking = np.flatnonzero(ask)
+        found, cosines = hnsw.search(graph, v[asking], max(spec.ef, spec.k + 1), spec.ef, spec.expand)
+        dense = np.flatnonzero(cosines[:, -1] >= spec.min_cosine) if spec.dense_ef > spec.ef else []
+        found, cosines = found[:, : spec.k + 1], cosines[:, : spec.k + 1]  # a held vector finds itself too
+        if len(dense):
+            found[dense], cosines[dense] = hnsw.search(graph, v[asking[dense]], spec.k + 1, spec.dense_ef, spec.expand)
         r, c = np.nonzero((cosines >= spec.min_cosine) & (found >= 0))
-        left, right, sims = np.concatenate([left, asked[r]]), np.concatenate([right, held[found[r, c]]]), np.concatenate([sims, cosines[r, c]])
-        name = shard.column("collection")[0].as_py() if len(shard) else ""
-        apart = ids[left] != ids[right]
+        left, right, sims = ids[asking[r]], ids[held[found[r, c]]], cosines[r, c]
+        apart = left != right
         left, right, sims = left[apart], right[apart], sims[apart]
-        return pa.table([pa.array([name] * len(left), pa.string()), pa.array(ids[left]), pa.array(ids[right]), pa.array(sims, pa.float32())], ["collection", "id", "other", "cosine"])
+        name = cell.column("collection")[0].as_py() if len(cell) else ""
+        return pa.table([pa.array([name] * len(left), pa.string()), pa.array(left), pa.array(right), pa.array(sims, pa.float32())], ["collection", "id", "other", "cosine"])
 
     return run
 
 
 def _centres(df: DataFrame, sizes: dict[str, int], spec: IndexSpec) -> dict[str, np.ndarray]:
-    """Per collection the vectors with the least hash of id, one per ``shard_rows`` rows and at most ``max_shards``."""
+    """Per collection the vectors with the least hash of id, one per ``shard_rows`` rows and at most ``max_shards``, without those close to one before."""
     out = {}
     for name, n in sizes.items():
         want = min(spec.max_shards, max(1, math.ceil(n / spec.shard_rows)))
@@ -169,10 +213,51 @@ def _centres(df: DataFrame, sizes: dict[str, int], spec: IndexSpec) -> dict[str,
         rows = unit_rows(near, spec.dim).orderBy(F.xxhash64("id", F.lit("centre")), "id").limit(want).select("vec").collect()
         if len(rows) < want and share < 1.0:
             rows = unit_rows(df.where(F.col("collection") == name), spec.dim).orderBy(F.xxhash64("id", F.lit("centre")), "id").limit(want).select("vec").collect()
-        out[name] = np.stack([np.frombuffer(r[0], np.float32) for r in rows])
+        drawn = np.stack([np.frombuffer(r[0], np.float32) for r in rows])
+        kept = np.empty_like(drawn)
+        many = 0
+        for v in drawn:
+            if not many or (kept[:many] @ v).max() <= spec.apart:
+                kept[many] = v
+                many += 1
+        out[name] = kept[:many].copy()
     return out
 
 
+def _grids(units: DataFrame, centres: dict[str, np.ndarray], sizes: dict[str, int], spec: IndexSpec) -> tuple[dict[str, _Grid], int]:
+    """The cells of every shard by how many vectors it holds and is asked, and their number."""
+    held = {name: np.zeros(len(c), np.int64) for name, c in centres.items()}
+    asked = {name: np.zeros(len(c), np.int64) for name, c in centres.items()}
+    if any(n > spec.split_rows for n in sizes.values()):
+
+        def run(batches):
+            for b in batches:
+                names = b.column(0).to_numpy(zero_copy_only=False)
+                v = _unpacked(pa.chunked_array([b.column(2)]), spec.dim)
+                ask = b.column(3).to_numpy(zero_copy_only=False)
+                counts: dict[str, np.ndarray] = {}
+                for name, mine in _pieces(names):
+                    row, shard, own = _nearest_shards(v[mine], centres[name], spec)
+                    many = len(centres[name])
+                    both = np.stack([np.bincount(shard[own], minlength=many), np.bincount(shard[ask[mine[row]]], minlength=many)])
+                    counts[name] = counts.get(name, 0) + both
+                for name, both in counts.items():
+                    some = np.flatnonzero(both.sum(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(both[0, some]), pa.array(both[1, some])], ["collection", "shard", "held", "asked"])
+
+        # one row per shard comes back, at most max_shards a collection
+        counted = units.mapInArrow(run, "collection string, shard int, held bigint, asked bigint").groupBy("collection", "shard").agg(F.sum("held").alias("held"), F.sum("asked").alias("asked"))
+        for r in counted.collect():
+            held[r["collection"]][r["shard"]], asked[r["collection"]][r["shard"]] = r["held"], r["asked"]
+    grids, total = {}, 0
+    for name, c in centres.items():
+        h, a = np.maximum(-(-held[name] // spec.split_rows), 1), np.maximum(-(-asked[name] // spec.ask_rows), 1)
+        first = total + np.cumsum(h * a) - h * a
+        total += int((h * a).sum())
+        grids[name] = _Grid(c, h, a, first)
+    return grids, total
+
+
 def similar_pairs(df: DataFrame, spec: IndexSpec = IndexSpec(), asked: Column | None = None) -> DataFrame:
     """For every usable vector its ``k`` most similar ones of its collection: collection, id, other, cosine, rank.
 
@@ -204,17 +289,11 @@ def similar_pairs(df: DataFrame, spec: IndexSpec = IndexSpec(), asked: Column |
         surplus = rest.select("collection", "id", F.explode(F.slice("_first", 1, spec.k)).alias("other"), F.lit(1.0).cast("float").alias("cosine"))
         units = units.join(rest.select("collection", "id"), ["collection", "id"], "left_anti")
     centres = _centres(df, sizes, spec)
-    # how large the shards are: one row each, so at most max_shards rows per collection
-    whole = {name: np.ones(len(c), np.int64) for name, c in centres.items()}
-    parts = whole
-    if any(n > spec.split_rows for n in sizes.values()):
-        counted = _routed_own(units, centres, spec).groupBy("collection", "shard").count().where(F.col("count") > spec.split_rows).collect()
-        parts = {name: ones.copy() for name, ones in whole.items()}
-        for r in counted:
-            parts[r["collection"]][r["shard"]] = math.ceil(r["count"] / spec.split_rows)
     ask = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
-    routed = _routed(units.select("collection", "id", "vec", ask.alias("ask")), centres, parts, spec)
-    found = routed.groupBy("collection", "shard", "part").applyInArrow(_shard_search(spec), _FOUND)
+    asking = units.select("collection", "id", "vec", ask.alias("ask"))
+    grids, cells = _grids(asking, centres, sizes, spec)
+    # a task to a cell: what a task takes is bounded by the grid, not by the number of partitions
+    found = _routed(asking, grids, spec).repartitionById(cells, "cell").groupBy("cell").applyInArrow(_cell_search(spec), _FOUND)
     if asked is not None:
         both = found if surplus is None else found.unionByName(surplus.where(ask))
         return _best(both, spec)
@@ -230,19 +309,3 @@ def _best(found: DataFrame, spec: IndexSpec) -> DataFrame:
     merged = found.groupBy("collection", "id", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("cosine"), "other"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= spec.k).select("collection", "id", "other", F.col("cosine").cast("double").alias("cosine"), "rank")
-
-
-def _routed_own(units: DataFrame, centres: dict[str, np.ndarray], spec: IndexSpec) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            names = b.column(0).to_numpy(zero_copy_only=False)
-            v = _unpacked(pa.chunked_array([b.column(2)]), spec.dim)
-            shard = np.zeros(len(names), np.int32)
-            for name in dict.fromkeys(names):
-                mine = np.flatnonzero(names == name)
-                for at in range(0, len(mine), 4096):
-                    some = mine[at : at + 4096]
-                    shard[some] = (v[some] @ centres[name].T).argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard)], ["collection", "shard"])
-
-    return units.mapInArrow(run, "collection string, shard int")
