@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Entries handed down from a layer to the next, and the beam of layers that only lead the way.
-_ENTRIES, _NARROW = 4, 8
+_ENTRIES, _NARROW = 4, 4
 
 
 @dataclass
@@ -31,10 +31,11 @@ class Graph:
     wide: int
 
 
-def _beam(layer: Layer, queries: np.ndarray, entries: np.ndarray, ef: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+def _beam(layer: Layer, queries: np.ndarray, entries: np.ndarray, ef: int, expand: int, patient: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Rows and similarities of the best ``ef`` met from the entries on, best first; -1 and -2.0 where there are fewer.
 
-    The best ``expand`` rows not looked at yet are replaced by their links, until the best ``ef`` have all been looked at.
+    The best ``expand`` rows not looked at yet are replaced by their links, until the best ``ef`` have all been looked at or, without
+    patience, a round changes nothing among them.
     """
     n, width, b = len(layer.members), layer.links.shape[1], len(queries)
     m = min(entries.shape[1], ef)
@@ -70,9 +71,10 @@ def _beam(layer: Layer, queries: np.ndarray, entries: np.ndarray, ef: int, expan
         worst = sims[live].min(1)
         better = score > worst[r]
         r, found, score = r[better], found[better], score[better]
+        count = np.bincount(r, minlength=len(live))
         if not len(r):
+            live = live if patient else live[:0]
             continue
-        count = np.bincount(r, minlength=len(live))
         place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
         most = int(count.max())
         new_ids, new_sims = np.full((len(live), most), -1, np.int64), np.full((len(live), most), -2.0, np.float32)
@@ -82,6 +84,8 @@ def _beam(layer: Layer, queries: np.ndarray, entries: np.ndarray, ef: int, expan
         sims[live] = np.take_along_axis(all_sims, keep, 1)
         beam[live] = np.take_along_axis(np.concatenate([beam[live], new_ids], 1), keep, 1)
         done[live] = np.take_along_axis(np.concatenate([done[live], new_ids < 0], 1), keep, 1)
+        if not patient:
+            live = live[count > 0]
     best = np.argsort(-sims, axis=1, kind="stable")
     return np.take_along_axis(beam, best, 1), np.take_along_axis(sims, best, 1)
 
@@ -147,7 +151,7 @@ def _insert(graph: Graph, q: np.ndarray, level: np.ndarray, at: int, end: int, m
         lead, join = np.flatnonzero(~linked), np.flatnonzero(linked)
         below = np.full((len(q), _ENTRIES), -1, np.int64)
         if len(lead):
-            below[lead] = _beam(layer, q[lead], entries[lead], _NARROW, 2)[0][:, :_ENTRIES]
+            below[lead] = _beam(layer, q[lead], entries[lead], _NARROW, 2, False)[0][:, :_ENTRIES]
         if len(join):
             found, sims = _beam(layer, q[join], entries[join], wide, 4)
             below[join] = found[:, :_ENTRIES]
@@ -168,18 +172,33 @@ def _insert(graph: Graph, q: np.ndarray, level: np.ndarray, at: int, end: int, m
             entries = np.where(below >= 0, layer.down[below], -1)
 
 
-def search(graph: Graph, queries: np.ndarray, k: int, ef: int = 32, expand: int = 4, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the input and similarities of the k most similar vectors found for each query, best first; -1 where there are fewer."""
+def search(
+    graph: Graph, queries: np.ndarray, k: int, ef: int = 32, expand: int = 4, patient: bool = True, own: np.ndarray | None = None, batch: int = 512
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the input and similarities of the k most similar vectors found for each query, best first; -1 where there are fewer.
+
+    ``own``: positions of queries that are in the graph, or -1; they set out from their place instead of descending to it.
+    """
     ids, sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2.0, np.float32)
     if not len(graph.order):
         return ids, sims
+    bottom = graph.layers[0]
+    place = np.empty(len(graph.order), np.int64)
+    place[graph.order] = np.arange(len(graph.order))
     for at in range(0, len(queries), batch):
         q = queries[at : at + batch]
-        entries = np.zeros((len(q), 1), np.int64)
-        for layer in graph.layers[:0:-1]:
-            below = _beam(layer, q, entries, _NARROW, 2)[0][:, :_ENTRIES]
-            entries = np.where(below >= 0, layer.down[below], -1)
-        rows, near = _beam(graph.layers[0], q, entries, max(ef, k), expand)
+        entries = np.full((len(q), _ENTRIES), -1, np.int64)
+        held = np.zeros(len(q), bool) if own is None else own[at : at + batch] >= 0
+        if held.any():
+            entries[held, 0] = place[own[at : at + batch][held]]
+        away = np.flatnonzero(~held)
+        if len(away):
+            on = np.zeros((len(away), 1), np.int64)
+            for layer in graph.layers[:0:-1]:
+                below = _beam(layer, q[away], on, _NARROW, 2, patient)[0][:, :_ENTRIES]
+                on = np.where(below >= 0, layer.down[below], -1)
+            entries[away, : on.shape[1]] = on
+        rows, near = _beam(bottom, q, entries, max(ef, k), expand, patient)
         ids[at : at + batch] = np.where(rows[:, :k] >= 0, graph.order[rows[:, :k]], -1)
         sims[at : at + batch] = near[:, :k]
     return ids, sims

@@ -36,7 +36,9 @@ class IndexSpec:
     margin: float = 0.08
     links: int = 16
     back: int = 24
-    ef: int = 24
+    ef: int = 16
+    #: Whether a search goes on until its whole beam has been looked at, or ends with a round that betters nothing.
+    patient: bool = False
     #: Beam for vectors whose whole first beam reaches ``min_cosine``: they lie in a dense group.
     dense_ef: int = 96
     expand: int = 4
@@ -44,7 +46,7 @@ class IndexSpec:
 
 def search_spec(k: int = 5, dim: int = 64) -> IndexSpec:
     """Settings for neighbours at any distance: far ones lie in many shards, so every shard within a wide margin is asked."""
-    return IndexSpec(dim=dim, k=k, min_cosine=-1.0, margin=0.4, ef=64, dense_ef=64)
+    return IndexSpec(dim=dim, k=k, min_cosine=-1.0, margin=0.4, ef=64, dense_ef=64, patient=True)
 
 
 def _unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +189,9 @@ def _cell_search(spec: IndexSpec):
         held = held[np.argsort(ids[held], kind="stable")]  # the graph does not depend on arrival
         graph = hnsw.build(v[held], spec.links, spec.back)
         asking = np.flatnonzero(ask)
-        found, cosines = hnsw.search(graph, v[asking], max(spec.ef, spec.k + 1), spec.ef, spec.expand)
+        position = np.full(len(ids), -1, np.int64)
+        position[held] = np.arange(len(held))
+        found, cosines = hnsw.search(graph, v[asking], max(spec.ef, spec.k + 1), spec.ef, spec.expand, spec.patient, position[asking])
         dense = np.flatnonzero(cosines[:, -1] >= spec.min_cosine) if spec.dense_ef > spec.ef else []
         found, cosines = found[:, : spec.k + 1], cosines[:, : spec.k + 1]  # a held vector finds itself too
         if len(dense):
