@@ -47,6 +47,21 @@ def _running_best(claims: DataFrame, points: DataFrame, cell: Sequence[str]) ->
     return both.withColumn("_best", F.max("_best").over(order)).where("_kind = 1 and _best is not null").select("_q", "_best")
 
 
+def covering(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str) -> DataFrame:
+    """Every pair of a point (keys, ``at``) and a span (keys, ``lo``, ``hi``; null: open) of its series with lo <= at < hi.
+
+    Spans are cut into blocks of the hours they touch and met by equality, so that no pair is tried but the found ones and those that
+    share a span's first or last hour. Columns of both come out, the keys once; other names must differ. Null keys and bounds meet nothing.
+    """
+    cut = spans.where(F.col(lo).isNotNull() & (F.col(hi).isNull() | (F.col(lo) < F.col(hi))))
+    end = F.least(F.coalesce(F.col(hi), F.lit(OPEN_US)), F.lit(OPEN_US))
+    cut = cut.withColumn("_b", F.explode(canonical_blocks(_hour(F.col(lo)), _hour(end - 1) + 1, HOUR_LEVELS)))
+    asked = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(HOUR_LEVELS)))).withColumn("_h", _hour(F.col(at)))
+    asked = asked.withColumn("_block", F.expr("shiftright(_h, _level)")).drop("_h")
+    met = asked.join(cut.select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b"), [*keys, "_level", "_block"])
+    return met.where((F.col(lo) <= F.col(at)) & (F.col(hi).isNull() | (F.col(at) < F.col(hi)))).drop("_level", "_block")
+
+
 def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], edge_limit: int = EDGE_LIMIT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The claim current for each question: columns ``question`` and ``claim`` (their ids).
 

@@ -40,33 +40,64 @@ def known(recorded_from: Column, recorded_to: Column, at: Column) -> Column:
     return contains(recorded_from, recorded_to, at)
 
 
+def _not_known(s_known: Column) -> Column:
+    """Why a row is not known at an instant, null where it is. A row without recording time was never recorded."""
+    early = F.coalesce(F.col("recorded_us") > s_known, F.lit(True))
+    return F.when(early, "recorded_after_cutoff").when(F.col("recorded_to_us") <= s_known, "recorded_closed")
+
+
 def decide(df: DataFrame, s: Selector) -> DataFrame:
-    """Adds ``decision`` (proven, contextual, excluded) and ``reason``. Columns in microseconds: from_us, to_us, recorded_us,
-    recorded_to_us, and ``precision``; only times stated to the instant prove anything, rows without validity are context."""
-    at, to = F.lit(s.at_us).cast("bigint"), F.lit(s.to_us).cast("bigint")
+    """Adds ``decision`` (proven, contextual, excluded) and ``reason``. Columns in microseconds: from_us, to_us, recorded_us, recorded_to_us, and
+    ``precision`` and ``validity_kind``.
+
+    Rows not known at ``known_us`` are excluded. Only an explicit interval stated to the instant proves or excludes anything; without one,
+    or with a coarser one, a row is context wherever it lies. An atemporal row holds at every point and for the atemporal
+    question, which other rows with an interval are excluded from. ``current`` asks for the point ``known_us``.
+    """
     start, end = F.col("from_us"), F.col("to_us")
-    eligible = known(F.col("recorded_us"), F.col("recorded_to_us"), F.lit(s.known_us))
+    kind = F.coalesce("validity_kind", F.lit("unknown"))
+    timeless = kind == "atemporal"
+    unknown = (kind != "explicit_interval") | start.isNull()
+    vague = F.coalesce(F.col("precision") != "instant", F.lit(True))
     if s.mode == "atemporal":
-        held, exact = F.lit(True), start.isNull()
-    elif s.mode in ("current", "as_of"):
-        held, exact = contains(start, end, at), F.col("precision") == "instant"
-    elif s.mode == "during":
-        held, exact = overlaps(start, end, at, to), F.col("precision") == "instant"
-    elif s.mode == "throughout":
-        held, exact = covers(start, end, at, to), F.col("precision") == "instant"
+        steps = [(timeless, "proven", "atemporal_match"), (kind.isin("unknown", "observed_snapshot"), "contextual", "effective_unknown"), (F.lit(True), "excluded", "effective_outside")]
     else:
-        raise ValueError(f"unknown mode {s.mode!r}")
-    exact = F.coalesce(exact, F.lit(False))
-    unknown = start.isNull() & F.lit(s.mode != "atemporal")
-    decision = F.when(~eligible, "excluded").when(unknown, "contextual").when(~held, "excluded").when(exact, "proven").otherwise("contextual")
-    reason = F.when(~eligible, "not_known").when(unknown, "validity_unknown").when(~held, "outside").when(exact, "holds").otherwise("imprecise")
+        at = F.lit(s.known_us if s.mode == "current" else s.at_us).cast("bigint")
+        to = F.lit(s.to_us).cast("bigint")
+        if s.mode in ("current", "as_of"):
+            first, held = [(timeless, "proven", "atemporal_match")], contains(start, end, at)
+        elif s.mode in ("during", "throughout"):
+            first, held = [], overlaps(start, end, at, to) if s.mode == "during" else covers(start, end, at, to)
+        else:
+            raise ValueError(f"unknown mode {s.mode!r}")
+        steps = [*first, (unknown, "contextual", "effective_unknown"), (vague, "contextual", "effective_imprecise"), (held, "proven", "effective_match"), (F.lit(True), "excluded", "effective_outside")]
+    return _decided(df, s.known_us, steps)
+
+
+def _decided(df: DataFrame, known_us: int, steps: list[tuple[Column, str, str]]) -> DataFrame:
+    """The first step that holds decides, after the rows that are not known."""
+    late = _not_known(F.lit(known_us).cast("bigint"))
+    decision, reason = F.when(late.isNotNull(), "excluded"), F.when(late.isNotNull(), late)
+    for condition, what, why in steps:
+        decision, reason = decision.when(condition, what), reason.when(condition, why)
     return df.withColumn("decision", decision).withColumn("reason", reason)
 
 
-def changes_between(df: DataFrame, clock: str, a_us: int, b_us: int) -> DataFrame:
-    """Rows whose instant of the chosen clock (published, source_modified, effective) lies in [a, b)."""
-    column = {"published": "recorded_us", "source_modified": "modified_us", "effective": "from_us"}[clock]
-    return df.where((F.col(column) >= a_us) & (F.col(column) < b_us))
+def changes_between(df: DataFrame, clock: str, a_us: int, b_us: int, known_us: int) -> DataFrame:
+    """Adds ``decision`` and ``reason``: whether the row's instant of the chosen clock lies in [a, b).
+
+    ``published`` reads published_us, or recorded_us where ``recorded_is_publication`` is true; ``source_modified`` reads modified_us, stated to
+    ``modified_precision``; ``effective`` reads from_us of an explicit interval, stated to ``precision``. A missing or imprecise instant is context.
+    """
+    clocks = {
+        "published": lambda: (F.coalesce("published_us", F.when(F.col("recorded_is_publication"), F.col("recorded_us"))), F.lit("instant")),
+        "source_modified": lambda: (F.col("modified_us"), F.col("modified_precision")),
+        "effective": lambda: (F.when(F.col("validity_kind") == "explicit_interval", F.col("from_us")), F.col("precision")),
+    }
+    at, precision = clocks[clock]()
+    untold = at.isNull() | F.coalesce(precision != "instant", F.lit(True))
+    inside = (at >= a_us) & (at < b_us)
+    return _decided(df, known_us, [(untold, "contextual", "change_clock_unknown"), (inside, "proven", "change_match"), (F.lit(True), "excluded", "change_outside")])
 
 
 def compare_sides(df: DataFrame, key: list[str], value: str, left: Selector, right: Selector) -> DataFrame:
@@ -88,15 +119,38 @@ def order_relation(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("relation", F.when(F.coalesce(ordered, F.lit(False)), relation).otherwise("ambiguous"))
 
 
+def _versions(df: DataFrame, series: list[str]) -> DataFrame:
+    """Distinct versions of each series and adapter contract with ``_at``, the ordinal where it orders anything."""
+    return df.select(*series, "adapter", "adapter_version", "version_id", F.when(F.col("kind") == "monotonic", F.col("ordinal")).alias("_at")).distinct()
+
+
 def current_versions(df: DataFrame, series: list[str]) -> DataFrame:
-    """Per series the version(s) of the greatest ordinal: series, ordinal, n_versions, is_ambiguous (several versions at it), n_superseded.
+    """Per series and adapter contract what is current: series, adapter, adapter_version, ordinal, n_versions, is_ambiguous, n_superseded.
 
-    Columns: version_id, ordinal; rows without ordinal order nothing. Two combined aggregates, no sort of a series.
+    Columns: version_id, adapter, adapter_version, kind, ordinal. Only monotonic ordinals of one contract order versions, so a version is
+    superseded by a greater one, and those without such an ordinal stay current. A series with several current versions is
+    ambiguous. ``ordinal`` is the greatest one, null where none orders. Two combined aggregates, no sort of a series.
     """
-    rows = df.where("ordinal is not null").select(*series, "version_id", "ordinal").distinct()
-    at = rows.groupBy(*series, "ordinal").agg(F.count(F.lit(1)).alias("n"))
-    best = at.groupBy(*series).agg(F.max(F.struct("ordinal", "n")).alias("_b"), F.sum("n").alias("_all"))
-    return best.select(*series, "_b.ordinal", F.col("_b.n").alias("n_versions"), (F.col("_b.n") > 1).alias("is_ambiguous"), (F.col("_all") - F.col("_b.n")).alias("n_superseded"))
+    contract = [*series, "adapter", "adapter_version"]
+    at = _versions(df, series).groupBy(*contract, "_at").agg(F.count(F.lit(1)).alias("n"))
+    best = at.groupBy(*contract).agg(
+        F.max(F.when(F.col("_at").isNotNull(), F.struct("_at", "n"))).alias("_b"), F.coalesce(F.sum(F.when(F.col("_at").isNull(), F.col("n"))), F.lit(0)).alias("_loose"), F.sum("n").alias("_all")
+    )
+    current = F.coalesce("_b.n", F.lit(0)) + F.col("_loose")
+    return best.select(*contract, F.col("_b._at").alias("ordinal"), current.alias("n_versions"), (current > 1).alias("is_ambiguous"), (F.col("_all") - current).alias("n_superseded"))
+
+
+def superseded_and_current(df: DataFrame, series: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The versions (version_id) that some series proves older, and those that are current in some series."""
+    contract = [*series, "adapter", "adapter_version"]
+    rows = _versions(df, series)
+    top = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in contract]).agg(F.max("_at").alias("_top"))
+    same = F.lit(True)
+    for c in contract:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = rows.join(top, same)
+    older = F.coalesce(F.col("_at") < F.col("_top"), F.lit(False))
+    return both.where(older).select("version_id").distinct(), both.where(~older).select("version_id").distinct()
 
 
 def fully_superseded(superseded: DataFrame, current: DataFrame) -> DataFrame:

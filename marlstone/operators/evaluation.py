@@ -42,30 +42,32 @@ def recall_at(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = CUTS)
     return met.groupBy("qid").agg(*[(F.count_if(F.col("rank") <= k) / F.count(F.lit(1))).alias(f"recall_{k}") for k in cuts], F.min("rank").alias("gold_rank"))
 
 
-def evidence_metrics(ranked: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
-    """Per question (qid) reciprocal rank, nDCG at k, any hit, evidence recall and whether one whole alternative was found.
+def evidence_metrics(ranked: DataFrame, groups: DataFrame, cuts: tuple[int, ...] = (5, 10, 20), depth: int = 10) -> DataFrame:
+    """Per question (qid): mrr, ndcg (at ``depth``), and for each cut k any_hit_k, evidence_recall_k and all_required_k.
 
-    ``groups``: qid, alternative, item. Any item of any alternative is relevant; an alternative succeeds if all its items are
-    among the first k.
+    ``groups``: qid, alternative, item. Any item of any alternative is relevant for rank and nDCG; recall is that of the alternative found best,
+    and an alternative found whole is success. An item counts at its best rank; questions without groups have no row.
     """
     best = ranked.groupBy("qid", "item").agg(F.min("rank").alias("rank"))
-    relevant = groups.select("qid", "item").distinct().join(best, ["qid", "item"], "left")
-    inside = F.col("rank") <= k
-    item = relevant.groupBy("qid").agg(
-        F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("_dcg"), F.count(F.lit(1)).alias("_n"),
-        F.coalesce(F.max(F.when(inside, 1.0)), F.lit(0.0)).alias("any_hit"), (F.count_if(inside) / F.count(F.lit(1))).alias("evidence_recall"),
+    met = groups.select("qid", "alternative", "item").distinct().join(best, ["qid", "item"], "left")
+    there = {k: F.coalesce(F.col("rank") <= k, F.lit(False)) for k in {*cuts, depth}}
+    sets = met.groupBy("qid", "alternative").agg(*[(F.count_if(there[k]) / F.count(F.lit(1))).alias(f"_{k}") for k in cuts])
+    per_set = sets.groupBy("qid").agg(*[a for k in cuts for a in (F.max(f"_{k}").alias(f"evidence_recall_{k}"), F.max(F.when(F.col(f"_{k}") == 1, 1.0).otherwise(0.0)).alias(f"all_required_{k}"))])
+    item = met.groupBy("qid", "item").agg(F.min("rank").alias("rank")).groupBy("qid").agg(
+        F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"), F.coalesce(F.sum(F.when(there[depth], 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("_dcg"), F.count(F.lit(1)).alias("_n"),
+        *[F.max(F.when(there[k], 1.0).otherwise(0.0)).alias(f"any_hit_{k}") for k in cuts],
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    per_set = groups.distinct().join(best, ["qid", "item"], "left").groupBy("qid", "alternative").agg(F.every(F.coalesce(inside, F.lit(False))).alias("whole"))
-    success = per_set.groupBy("qid").agg(F.max(F.when(F.col("whole"), 1.0).otherwise(0.0)).alias("all_required_set_success"))
-    return item.join(success, "qid").select("qid", "mrr", (F.col("_dcg") / ideal).alias("ndcg"), "any_hit", "evidence_recall", "all_required_set_success")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(depth)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    names = [f"{name}_{k}" for k in cuts for name in ("any_hit", "evidence_recall", "all_required")]
+    return item.join(per_set, "qid").select("qid", "mrr", (F.col("_dcg") / ideal).alias("ndcg"), *names)
 
 
-def run_summary(results: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """Of one run: rows, counts by verdict, means without missing values to 4 digits, sorted distinct error codes."""
+def run_summary(results: DataFrame, metrics: tuple[str, ...], top: int = 5) -> DataFrame:
+    """Of one run: rows, counts by verdict, the part of questions with gold (has_gold, gold_rank) that have it among the first ``top``,
+    means without missing values to 4 digits, sorted distinct error codes."""
     return results.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "correct").alias("n_correct"), F.count_if(F.col("verdict") == "partial").alias("n_partial"), F.count_if(F.col("verdict") == "wrong").alias("n_wrong"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "correct").alias("n_correct"), F.count_if(F.col("verdict") == "partially_correct").alias("n_partial"), F.count_if(F.col("verdict") == "incorrect").alias("n_incorrect"),
+        F.round(F.avg(F.when(F.col("has_gold"), F.when(F.col("gold_rank") <= top, 1.0).otherwise(0.0))), 4).alias("gold_in_top"),
         *[F.round(F.avg(m), 4).alias(f"mean_{m}") for m in metrics], F.array_join(F.array_sort(F.collect_set("error_code")), ",").alias("error_codes"),
     )
 
@@ -84,17 +86,28 @@ def compare_runs(base: DataFrame, other: DataFrame, by: str, metrics: tuple[str,
     return both.select(by, *[c for m in metrics for c in (f"base_{m}", f"other_{m}", F.round(F.col(f"other_{m}") - F.col(f"base_{m}"), 4).alias(f"change_{m}"))])
 
 
-def verdict_of(reply: Column) -> Column:
-    """Verdict of a judge's reply: the first of the known words in it; anything else is an error."""
-    word = F.lower(F.regexp_extract(reply, r"(?i)\b(correct|partial|wrong)\b", 1))
-    return F.when(word == "", "error").otherwise(word)
+def verdict_of(label: Column) -> Column:
+    """Verdict of a judge's label, however it is spaced, hyphenated and capitalised; an unknown or missing one is incorrect."""
+    spelled = F.replace(F.replace(F.lower(F.btrim(label)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+    return F.when(spelled.isin("correct", "partially_correct"), spelled).otherwise("incorrect")
+
+
+def verdict_score(verdict: Column) -> Column:
+    return F.when(verdict == "correct", 1.0).when(verdict == "partially_correct", 0.5).otherwise(0.0)
 
 
 def code_questions(symbols: DataFrame, edges: DataFrame, least_doc: int = 80, least_omega: float = 0.5) -> DataFrame:
-    """Questions made from documented symbols with a caller: per symbol its strongest caller, ties by id."""
-    told = symbols.where(F.length("doc") >= least_doc)
-    calls = edges.where((F.col("kind") == "INVOKES") & (F.col("omega") >= least_omega)).groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct(-F.col("omega"), F.col("a"))).alias("caller"))
-    return told.join(calls, "id").select("id", "qualname", "caller")
+    """Questions "what does it call" from documented functions and methods (id, kind, qualname, doc): id, qualname, callee, callees.
+
+    ``edges``: a, b, kind, omega. ``callee`` is the strongest call of at least ``least_omega``, of equal ones the first by display name;
+    ``callees`` lists all of them in order of names.
+    """
+    told = symbols.where((F.length("doc") >= least_doc) & F.col("kind").isin("function", "method"))
+    named = edges.where((F.col("kind") == "INVOKES") & (F.col("omega") >= least_omega)).select(F.col("a").alias("id"), F.col("b").alias("_b"), "omega").join(
+        symbols.select(F.col("id").alias("_b"), F.col("qualname").alias("_name")), "_b"
+    )
+    calls = named.groupBy("id").agg(F.min(F.struct((-F.col("omega")).alias("o"), "_name", "_b")).alias("_best"), F.array_sort(F.collect_set("_name")).alias("callees"))
+    return told.join(calls, "id").select("id", "qualname", F.col("_best._b").alias("callee"), "callees")
 
 
 def seeded_share(results: DataFrame) -> DataFrame:

@@ -146,7 +146,11 @@ def seeded_share(spark, d):
 
 
 def judge_verdicts(spark, d):
-    return table(spark, d, "documents").groupBy(evaluation.verdict_of(F.col("text")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """Labels in many spellings, made of each question's own fields, as a judge might write them."""
+    spelled = F.concat(F.when(F.col("query_mode") == "current", "Partially").otherwise(""), F.when(F.col("split") == "dev", " ").otherwise("-"), F.when(F.col("expected_insufficiency"), "INcorrect").otherwise("Correct"))
+    label = F.when(F.col("query_mode") == "atemporal", F.col("slice")).otherwise(F.btrim(spelled, F.lit(" -")))
+    v = evaluation.verdict_of(label)
+    return table(spark, d, "questions").select("id", v.alias("verdict"), evaluation.verdict_score(v).alias("score"))
 
 
 def rendered_edges(spark, d):
@@ -202,7 +206,10 @@ SELECT CASE WHEN cy AND cw THEN 'cypher_write' WHEN cy THEN 'cypher_read' WHEN w
     "demoted_first": """WITH s AS (SELECT sources.id, status, count(*) AS n FROM sources JOIN passages ON source_id = sources.id GROUP BY 1, 2), b AS (SELECT id, n, CASE status WHEN 'failed' THEN 2 WHEN 'ready' THEN 0 ELSE 1 END AS bucket FROM s)
 SELECT id, bucket, row_number() OVER (ORDER BY bucket, n DESC, id) AS rank FROM b""",
     "seeded_share": "SELECT round(avg(CASE WHEN query_mode = 'as_of' THEN 1.0 ELSE 0.0 END), 6) AS code_seeded, avg(CASE WHEN temporal.valid_at IS NOT NULL THEN 1.0 END)::DOUBLE AS path_fidelity FROM questions",
-    "judge_verdicts": r"SELECT CASE WHEN v = '' THEN 'error' ELSE v END AS verdict, count(*) AS n FROM (SELECT lower(regexp_extract(text, '(?i)\b(correct|partial|wrong)\b', 1)) AS v FROM documents) GROUP BY 1",
+    "judge_verdicts": """
+WITH l AS (SELECT id, lower(CASE WHEN query_mode = 'atemporal' THEN slice ELSE trim((CASE WHEN query_mode = 'current' THEN 'Partially' ELSE '' END) || (CASE WHEN split = 'dev' THEN ' ' ELSE '-' END) || (CASE WHEN expected_insufficiency THEN 'INcorrect' ELSE 'Correct' END), ' -') END) AS label FROM questions),
+v AS (SELECT id, CASE WHEN regexp_matches(label, '^ *correct *$') THEN 'correct' WHEN regexp_matches(label, '^ *partially[ _-]correct *$') THEN 'partially_correct' ELSE 'incorrect' END AS verdict FROM l)
+SELECT id, verdict, CASE verdict WHEN 'correct' THEN 1.0 WHEN 'partially_correct' THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM v""",
     "rendered_edges": f"WITH {TOLD} SELECT fact_row, CASE WHEN length({_STATEMENT}) > 60 THEN left({_STATEMENT}, 59) || '…' ELSE {_STATEMENT} END AS statement FROM told WHERE subject IS NOT NULL AND object IS NOT NULL",
     "canonical_names": r"SELECT doc_id, path AS norm_path, 'http://host.example/' || path AS url, regexp_replace(regexp_replace(regexp_replace(lower(list_extract(string_split(path, '/'), -1)), '\.[^/]*$', ''), '^tests?_', ''), '(_tests?|tests?)$', '') AS stem FROM documents",
 }

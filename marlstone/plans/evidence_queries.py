@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import bitemporal, evaluation, knowledge, relations, sync
+from marlstone.operators import asof, bitemporal, evaluation, knowledge, relations, sync
 from marlstone.operators.bitemporal import Selector
 from marlstone.plans.temporal_queries import ORACLE as TEMPORAL_SQL
 from marlstone.plans.text_queries import TOLD
@@ -21,7 +21,7 @@ _AT, _TO, _KNOWN = 1_730_000_000_000_000, 1_740_000_000_000_000, 1_745_000_000_0
 def _observed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "observations").select(
         "id", "object_id", "evidence_class", F.unix_micros("valid_from").alias("from_us"), F.unix_micros("valid_to").alias("to_us"), F.unix_micros("recorded_from").alias("recorded_us"),
-        F.unix_micros("recorded_to").alias("recorded_to_us"), F.col("temporal_precision").alias("precision"),
+        F.unix_micros("recorded_to").alias("recorded_to_us"), F.col("temporal_precision").alias("precision"), "validity_kind",
     )
 
 
@@ -46,7 +46,7 @@ def atemporal_rows(spark, d):
 
 
 def changes_between(spark, d):
-    return bitemporal.changes_between(_observed(spark, d), "effective", _AT, _TO).select("id", "from_us")
+    return bitemporal.changes_between(_observed(spark, d), "effective", _AT, _TO, _KNOWN).select("id", "decision", "reason")
 
 
 def compare_sides(spark, d):
@@ -63,8 +63,12 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 _SERIES = ["source_id", "scope_key", "predicate"]
 
 
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    return _claims(spark, d).select(*_SERIES, "version_id", F.col("provider_order.adapter").alias("adapter"), F.col("provider_order.version").alias("adapter_version"), F.col("provider_order.kind").alias("kind"), "ordinal")
+
+
 def same_source_current(spark, d):
-    return bitemporal.current_versions(_claims(spark, d), _SERIES)
+    return bitemporal.current_versions(_ordered(spark, d), _SERIES).withColumn("ordinal", F.coalesce("ordinal", F.lit(-1)))
 
 
 def conflict_sets(spark, d):
@@ -73,10 +77,11 @@ def conflict_sets(spark, d):
 
 
 def order_relations(spark, d):
-    """How the versions of one series that share a valid_from relate."""
-    c = _claims(spark, d).where("from_us is not null").select(*_SERIES, "from_us", "version_id", F.struct("provider_order.adapter", "provider_order.version", "provider_order.kind", "provider_order.ordinal").alias("v"))
-    pairs = c.alias("x").join(c.alias("y"), [*_SERIES, "from_us"]).where("x.version_id < y.version_id").select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-    return bitemporal.order_relation(pairs).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    """How each version relates to the one before it, by id, of the same series and start."""
+    c = _claims(spark, d).where("from_us is not null").select(*_SERIES, "from_us", "version_id", F.struct("provider_order.adapter", "provider_order.version", "provider_order.kind", "provider_order.ordinal").alias("b"))
+    near = Window.partitionBy(*_SERIES, "from_us").orderBy("version_id")
+    pairs = c.select("version_id", F.lag("version_id").over(near).alias("before_id"), F.lag("b").over(near).alias("a"), "b").where("before_id is not null")
+    return bitemporal.order_relation(pairs).select("before_id", "version_id", "relation")
 
 
 def replayed(spark, d):
@@ -84,10 +89,8 @@ def replayed(spark, d):
 
 
 def superseded_versions(spark, d):
-    c = _claims(spark, d).where("ordinal is not null").select(*_SERIES, "version_id", "ordinal")
-    top = c.groupBy(*_SERIES).agg(F.max("ordinal").alias("top"))
-    both = c.join(top, _SERIES)
-    return bitemporal.fully_superseded(both.where("ordinal < top"), both.where("ordinal = top")).agg(F.count(F.lit(1)).alias("n"))
+    """Versions that a greater ordinal of their series supersedes and that are current nowhere."""
+    return bitemporal.fully_superseded(*bitemporal.superseded_and_current(_ordered(spark, d), _SERIES))
 
 
 def recorded_closures(spark, d):
@@ -146,12 +149,12 @@ def source_counts(spark, d):
 
 
 def _ranking(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Per question its series' claims, latest recorded first; gold are those that hold at the asked time."""
-    q = table(spark, d, "questions").where("temporal.valid_at is not null").select(F.col("id").alias("qid"), *_SERIES, F.unix_micros("temporal.valid_at").alias("at"))
-    met = q.join(_claims(spark, d), _SERIES)
-    rows = relations.ranked(met.select("qid", F.col("version_id").alias("item"), "recorded_us"), [F.desc("recorded_us"), "item"], ["qid"]).select("qid", "item", "rank")
-    gold = met.where("from_us <= at and (to_us is null or at < to_us)").select("qid", F.col("version_id").alias("item"), F.col("object").alias("alternative"))
-    return rows, gold
+    """Per question the 20 claims of its series that were recorded last; gold are the claims that hold at the asked time, an alternative per object."""
+    q = table(spark, d, "questions").select(F.col("id").alias("qid"), *_SERIES, F.unix_micros("temporal.valid_at").alias("at")).where("at is not null")
+    claims = _claims(spark, d).select(*_SERIES, F.col("version_id").alias("item"), F.col("object").alias("alternative"), "from_us", "to_us", "recorded_us")
+    latest = relations.top(claims.select(*_SERIES, "item", "recorded_us"), [F.desc("recorded_us"), "item"], 20, _SERIES)
+    rows = q.join(latest, _SERIES).select("qid", "item", "rank")
+    return rows, asof.covering(q, claims, _SERIES, "at", "from_us", "to_us").select("qid", "item", "alternative")
 
 
 def recall_at_k(spark, d):
@@ -181,7 +184,10 @@ def exact_matches(spark, d):
 def _results(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "questions")
     lag = (F.unix_micros("temporal.known_at") - F.unix_micros("temporal.valid_at")) / 86_400_000_000
-    return q.select("slice", "split", F.when(F.col("expected_insufficiency"), "wrong").when(lag > 60, "partial").when(lag.isNotNull(), "correct").alias("verdict"), lag.alias("lag_days"), F.when(lag < 0, F.lit("time_order")).alias("error_code"))
+    return q.select(
+        "slice", "split", F.when(F.col("expected_insufficiency"), "incorrect").when(lag > 60, "partially_correct").when(lag.isNotNull(), "correct").alias("verdict"), lag.alias("lag_days"),
+        F.when(lag < 0, F.lit("time_order")).alias("error_code"), (~F.col("expected_insufficiency")).alias("has_gold"), F.floor(F.abs(lag) / 20).alias("gold_rank"),
+    )
 
 
 def run_summary(spark, d):
@@ -251,8 +257,6 @@ def revenue_rollup(spark, d):
 
 
 def running_totals(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, d, "orders")
     return o.select("o_orderkey", F.row_number().over(w).alias("nth"), F.lag("o_orderkey").over(w).alias("before_key"), F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), 2).alias("running")).na.fill(0, ["before_key"])
@@ -285,31 +289,39 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _decide_sql(held: str, atemporal: bool = False) -> str:
-    exact = "vf IS NULL" if atemporal else "coalesce(temporal_precision = 'instant', false)"
-    unknown = "false" if atemporal else "vf IS NULL"
-    return f"""
-WITH o AS (SELECT id, epoch_us(valid_from) AS vf, epoch_us(valid_to) AS vt, temporal_precision, epoch_us(recorded_from) AS rf, epoch_us(recorded_to) AS rt FROM observations),
-k AS (SELECT *, coalesce(rf <= {_KNOWN} AND (rt IS NULL OR {_KNOWN} < rt), false) AS kn, coalesce({held}, false) AS held FROM o)
-SELECT id, CASE WHEN NOT kn THEN 'excluded' WHEN {unknown} THEN 'contextual' WHEN NOT held THEN 'excluded' WHEN {exact} THEN 'proven' ELSE 'contextual' END AS decision,
-  CASE WHEN NOT kn THEN 'not_known' WHEN {unknown} THEN 'validity_unknown' WHEN NOT held THEN 'outside' WHEN {exact} THEN 'holds' ELSE 'imprecise' END AS reason FROM k"""
+_OBSERVED = f"""
+WITH o AS (SELECT id, object_id, evidence_class, coalesce(validity_kind, 'unknown') AS kind, epoch_us(valid_from) AS vf, epoch_us(valid_to) AS vt, coalesce(temporal_precision = 'instant', false) AS exact, epoch_us(recorded_from) AS rf, epoch_us(recorded_to) AS rt FROM observations),
+k AS (SELECT *, CASE WHEN coalesce(rf > {_KNOWN}, true) THEN 'recorded_after_cutoff' WHEN rt <= {_KNOWN} THEN 'recorded_closed' END AS late FROM o)
+"""
+
+
+def _decide_sql(steps: list[tuple[str, str, str]]) -> str:
+    """``steps``: condition, decision and reason, the first that holds decides."""
+    whens = lambda part: " ".join(f"WHEN {c[0]} THEN '{c[part]}'" for c in steps)
+    return _OBSERVED + f"SELECT id, CASE WHEN late IS NOT NULL THEN 'excluded' {whens(1)} END AS decision, CASE WHEN late IS NOT NULL THEN late {whens(2)} END AS reason FROM k"
+
+
+def _interval_sql(held: str, timeless: bool = False) -> str:
+    first = [("kind = 'atemporal'", "proven", "atemporal_match")] if timeless else []
+    return _decide_sql([*first, ("kind <> 'explicit_interval' OR vf IS NULL", "contextual", "effective_unknown"), ("NOT exact", "contextual", "effective_imprecise"), (held, "proven", "effective_match"), ("true", "excluded", "effective_outside")])
 
 
 _POINT = "vf <= {0} AND (vt IS NULL OR {0} < vt)"
 _CLAIMS = """
 c AS (SELECT source_id, scope_key, claim.predicate AS predicate, claim.object AS object, event_id AS version_id, provider_order.ordinal AS ordinal, epoch_us(valid_from) AS vf, epoch_us(valid_to) AS vt, epoch_us(recorded_from) AS rf, provider_order AS po
   FROM temporal_events WHERE claim IS NOT NULL)"""
+_VERSIONS = """v AS (SELECT DISTINCT source_id, scope_key, predicate, po.adapter AS adapter, po.version AS adapter_version, version_id, CASE WHEN po.kind = 'monotonic' THEN ordinal END AS o FROM c),
+k AS (SELECT *, max(o) OVER (PARTITION BY source_id, scope_key, predicate, adapter, adapter_version) AS top FROM v)"""
 _RANKING = f"""
 WITH {_CLAIMS},
 q AS (SELECT id AS qid, source_id, scope_key, predicate, epoch_us(temporal.valid_at) AS at_us FROM questions WHERE temporal.valid_at IS NOT NULL),
-m AS (SELECT qid, version_id AS item, object, rf, vf, vt, at_us FROM q JOIN c USING (source_id, scope_key, predicate)),
-r AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY rf DESC, item) AS rank FROM m),
-g AS (SELECT qid, item, object FROM m WHERE vf <= at_us AND (vt IS NULL OR at_us < vt)),
-gr AS (SELECT qid, item, object, rank FROM g JOIN r USING (qid, item))
+l AS (SELECT source_id, scope_key, predicate, version_id AS item, row_number() OVER (PARTITION BY source_id, scope_key, predicate ORDER BY rf DESC, version_id) AS rank FROM c QUALIFY rank <= 20),
+r AS (SELECT qid, item, rank FROM q JOIN l USING (source_id, scope_key, predicate)),
+gr AS (SELECT DISTINCT q.qid, version_id AS item, object, rank FROM q JOIN c USING (source_id, scope_key, predicate) LEFT JOIN r ON r.qid = q.qid AND r.item = version_id WHERE vf <= at_us AND (vt IS NULL OR at_us < vt))
 """
 _RESULTS = """
 WITH x AS (SELECT slice, split, expected_insufficiency AS ei, (epoch_us(temporal.known_at) - epoch_us(temporal.valid_at)) / 86400000000.0 AS lag_days FROM questions),
-res AS (SELECT *, CASE WHEN ei THEN 'wrong' WHEN lag_days > 60 THEN 'partial' WHEN lag_days IS NOT NULL THEN 'correct' END AS verdict, CASE WHEN lag_days < 0 THEN 'time_order' END AS error_code FROM x)
+res AS (SELECT *, CASE WHEN ei THEN 'incorrect' WHEN lag_days > 60 THEN 'partially_correct' WHEN lag_days IS NOT NULL THEN 'correct' END AS verdict, CASE WHEN lag_days < 0 THEN 'time_order' END AS error_code FROM x)
 """
 _NORM = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
 _ANSWERS = f"""
@@ -317,27 +329,25 @@ WITH {TOLD}, f AS (SELECT fact_row AS qid, concat_ws(' ', subject, predicate) AS
 n AS (SELECT qid, {_NORM.format('actual')} AS a, {_NORM.format('expected')} AS e FROM f)
 """
 ORACLE = {
-    "asof_point": _decide_sql(_POINT.format(_AT)),
-    "during_overlap": _decide_sql(f"vf < {_TO} AND (vt IS NULL OR {_AT} < vt)"),
-    "throughout_cover": _decide_sql(f"vf <= {_AT} AND (vt IS NULL OR {_TO} <= vt)"),
-    "atemporal_rows": _decide_sql("true", True),
-    "changes_between": f"SELECT id, epoch_us(valid_from) AS from_us FROM observations WHERE epoch_us(valid_from) >= {_AT} AND epoch_us(valid_from) < {_TO}",
-    "compare_sides": f"""
-WITH o AS (SELECT object_id, evidence_class, epoch_us(valid_from) AS vf, epoch_us(valid_to) AS vt FROM observations WHERE temporal_precision = 'instant' AND epoch_us(recorded_from) <= {_KNOWN} AND (recorded_to IS NULL OR {_KNOWN} < epoch_us(recorded_to))),
-b AS (SELECT object_id, string_agg(DISTINCT evidence_class, '|' ORDER BY evidence_class) AS before FROM o WHERE {_POINT.format(_AT)} GROUP BY 1), a AS (SELECT object_id, string_agg(DISTINCT evidence_class, '|' ORDER BY evidence_class) AS after FROM o WHERE {_POINT.format(_TO)} GROUP BY 1)
+    "asof_point": _interval_sql(_POINT.format(_AT), True),
+    "during_overlap": _interval_sql(f"vf < {_TO} AND (vt IS NULL OR {_AT} < vt)"),
+    "throughout_cover": _interval_sql(f"vf <= {_AT} AND (vt IS NULL OR {_TO} <= vt)"),
+    "atemporal_rows": _decide_sql([("kind = 'atemporal'", "proven", "atemporal_match"), ("kind IN ('unknown', 'observed_snapshot')", "contextual", "effective_unknown"), ("true", "excluded", "effective_outside")]),
+    "changes_between": _decide_sql([("kind <> 'explicit_interval' OR vf IS NULL OR NOT exact", "contextual", "change_clock_unknown"), (f"vf >= {_AT} AND vf < {_TO}", "proven", "change_match"), ("true", "excluded", "change_outside")]),
+    "compare_sides": _OBSERVED + f""", p AS (SELECT * FROM k WHERE late IS NULL AND (kind = 'atemporal' OR (kind = 'explicit_interval' AND exact))),
+b AS (SELECT object_id, string_agg(DISTINCT evidence_class, '|' ORDER BY evidence_class) AS before FROM p WHERE kind = 'atemporal' OR ({_POINT.format(_AT)}) GROUP BY 1), a AS (SELECT object_id, string_agg(DISTINCT evidence_class, '|' ORDER BY evidence_class) AS after FROM p WHERE kind = 'atemporal' OR ({_POINT.format(_TO)}) GROUP BY 1)
 SELECT object_id, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN before = after THEN 'same' ELSE 'changed' END AS change FROM b FULL JOIN a USING (object_id)""",
-    "same_source_current": f"""WITH {_CLAIMS}, v AS (SELECT DISTINCT source_id, scope_key, predicate, version_id, ordinal FROM c WHERE ordinal IS NOT NULL), k AS (SELECT *, max(ordinal) OVER (PARTITION BY source_id, scope_key, predicate) AS top FROM v)
-SELECT source_id, scope_key, predicate, top AS ordinal, count(*) FILTER (WHERE ordinal = top) AS n_versions, count(*) FILTER (WHERE ordinal = top) > 1 AS is_ambiguous, count(*) FILTER (WHERE ordinal < top) AS n_superseded FROM k GROUP BY 1, 2, 3, 4""",
+    "same_source_current": f"""WITH {_CLAIMS}, {_VERSIONS}
+SELECT source_id, scope_key, predicate, adapter, adapter_version, coalesce(top, -1) AS ordinal, count(*) FILTER (WHERE o IS NULL OR o = top) AS n_versions, count(*) FILTER (WHERE o IS NULL OR o = top) > 1 AS is_ambiguous, count(*) FILTER (WHERE o < top) AS n_superseded FROM k GROUP BY 1, 2, 3, 4, 5, 6""",
     "conflict_sets": f"""WITH {_CLAIMS}, r AS (SELECT source_id, scope_key, predicate, object, vf, vt, row_number() OVER () AS i FROM c WHERE vt IS NULL OR vf IS NULL OR vf < vt),
 g AS (SELECT source_id, scope_key, predicate, count(DISTINCT object) AS n_objects, max(vf) AS lo, min(vt) AS hi, count(*) FILTER (WHERE vf IS NULL) AS unknown FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT object) >= 2),
 p AS (SELECT DISTINCT x.source_id, x.scope_key, x.predicate FROM r x JOIN r y ON x.source_id = y.source_id AND x.scope_key = y.scope_key AND x.predicate = y.predicate AND x.object < y.object AND (y.vt IS NULL OR x.vf < y.vt) AND (x.vt IS NULL OR y.vf < x.vt) WHERE x.vf IS NOT NULL AND y.vf IS NOT NULL),
 s AS (SELECT g.*, CASE WHEN unknown = 0 AND (hi IS NULL OR lo < hi) THEN 'unresolved' WHEN unknown > 0 OR p.source_id IS NOT NULL THEN 'possible' END AS status FROM g LEFT JOIN p USING (source_id, scope_key, predicate))
 SELECT source_id, scope_key, predicate, n_objects, status, CASE WHEN status = 'unresolved' THEN lo ELSE 0 END AS from_us, CASE WHEN status = 'unresolved' THEN coalesce(hi, 0) ELSE 0 END AS to_us FROM s WHERE status IS NOT NULL""",
-    "order_relations": f"""WITH {_CLAIMS}
-SELECT CASE WHEN NOT coalesce(x.po.adapter = y.po.adapter AND x.po.version = y.po.version AND x.po.kind = 'monotonic' AND y.po.kind = 'monotonic' AND x.ordinal IS NOT NULL AND y.ordinal IS NOT NULL, false) THEN 'ambiguous' WHEN x.ordinal < y.ordinal THEN 'older' WHEN x.ordinal = y.ordinal THEN 'same' ELSE 'newer' END AS relation, count(*) AS n
-FROM c x JOIN c y ON x.source_id = y.source_id AND x.scope_key = y.scope_key AND x.predicate = y.predicate AND x.vf = y.vf AND x.version_id < y.version_id GROUP BY 1""",
+    "order_relations": f"""WITH {_CLAIMS}, l AS (SELECT version_id, po AS y, lag(version_id) OVER w AS before_id, lag(po) OVER w AS x FROM c WHERE vf IS NOT NULL WINDOW w AS (PARTITION BY source_id, scope_key, predicate, vf ORDER BY version_id))
+SELECT before_id, version_id, CASE WHEN NOT coalesce(x.adapter = y.adapter AND x.version = y.version AND x.kind = 'monotonic' AND y.kind = 'monotonic' AND x.ordinal IS NOT NULL AND y.ordinal IS NOT NULL, false) THEN 'ambiguous' WHEN x.ordinal < y.ordinal THEN 'older' WHEN x.ordinal = y.ordinal THEN 'same' ELSE 'newer' END AS relation FROM l WHERE before_id IS NOT NULL""",
     "replayed": f"WITH {_CLAIMS} SELECT source_id, count(*) AS n FROM c WHERE rf <= {_KNOWN} GROUP BY 1",
-    "superseded_versions": f"WITH {_CLAIMS}, k AS (SELECT version_id, ordinal, max(ordinal) OVER (PARTITION BY source_id, scope_key, predicate) AS top FROM c WHERE ordinal IS NOT NULL) SELECT count(DISTINCT version_id) AS n FROM k WHERE ordinal < top AND version_id NOT IN (SELECT version_id FROM k WHERE ordinal = top)",
+    "superseded_versions": f"WITH {_CLAIMS}, {_VERSIONS} SELECT DISTINCT version_id FROM k WHERE o < top AND version_id NOT IN (SELECT version_id FROM k WHERE o IS NULL OR o = top)",
     "recorded_closures": "SELECT false AS is_open, count(*) AS n FROM observations UNION ALL SELECT true, count(*) FROM observations WHERE recorded_to IS NULL",
     "pending_log": "SELECT ref.partition_key AS partition_key, ref.external_id AS external_id, max(seq) AS seq, arg_max(operation, seq) AS operation FROM changes GROUP BY 1, 2",
     "page_summary": "SELECT page_no, count(*) AS n_changes, min(seq) AS first_seq, max(seq) AS last_seq, count(DISTINCT ref.partition_key) AS n_partitions FROM changes GROUP BY 1",
@@ -354,13 +364,14 @@ SELECT s.rule AS rule, s.n AS n FROM v WHERE s.n > 0""",
     "source_counts": "SELECT id, (SELECT count(*) FROM passages p WHERE p.source_id = s.id) AS n_passages, (SELECT count(*) FROM facts f WHERE f.source_id = s.id) AS n_facts FROM sources s",
     "recall_at_k": _RANKING + "SELECT qid, " + ", ".join(f"round(count(*) FILTER (WHERE rank <= {k}) / count(*)::DOUBLE, 6) AS recall_{k}" for k in (1, 2, 5, 10, 20)) + ", min(rank) AS gold_rank FROM (SELECT DISTINCT qid, item, rank FROM gr) GROUP BY 1",
     "ndcg_mrr": _RANKING + """,
-i AS (SELECT qid, count(*) AS n, coalesce(1.0 / min(rank), 0) AS mrr, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 10), 0) AS dcg, coalesce(max(1.0) FILTER (WHERE rank <= 10), 0) AS any_hit, count(*) FILTER (WHERE rank <= 10) / count(*)::DOUBLE AS evidence_recall FROM (SELECT DISTINCT qid, item, rank FROM gr) GROUP BY 1),
-s AS (SELECT qid, max(CASE WHEN whole THEN 1.0 ELSE 0.0 END) AS ok FROM (SELECT qid, object, bool_and(rank <= 10) AS whole FROM gr GROUP BY 1, 2) GROUP BY 1)
-SELECT qid, round(mrr::DOUBLE, 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1 / log2(k + 1))), 6) AS ndcg, any_hit::DOUBLE AS any_hit, round(evidence_recall, 6) AS evidence_recall, ok::DOUBLE AS all_required_set_success FROM i JOIN s USING (qid)""",
+i AS (SELECT qid, count(*) AS n, coalesce(1.0 / min(rank), 0) AS mrr, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 10), 0) AS dcg, """ + ", ".join(f"max(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END) AS a{k}" for k in (5, 10, 20)) + """ FROM (SELECT DISTINCT qid, item, rank FROM gr) GROUP BY 1),
+g AS (SELECT qid, object, """ + ", ".join(f"count(*) FILTER (WHERE rank <= {k}) / count(*)::DOUBLE AS e{k}" for k in (5, 10, 20)) + """ FROM gr GROUP BY 1, 2),
+s AS (SELECT qid, """ + ", ".join(f"max(e{k}) AS e{k}, max(CASE WHEN e{k} = 1 THEN 1.0 ELSE 0.0 END) AS s{k}" for k in (5, 10, 20)) + """ FROM g GROUP BY 1)
+SELECT qid, round(mrr::DOUBLE, 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1 / log2(k + 1))), 6) AS ndcg, """ + ", ".join(f"a{k}::DOUBLE AS any_hit_{k}, round(e{k}, 6) AS evidence_recall_{k}, s{k}::DOUBLE AS all_required_{k}" for k in (5, 10, 20)) + " FROM i JOIN s USING (qid)",
     "token_f1": _ANSWERS + """, k AS (SELECT qid, a, e, coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(e, lambda x: x = w))))), 0) AS c FROM n)
 SELECT qid, round(max(CASE WHEN c = 0 THEN 0.0 ELSE 2.0 * c / (len(a) + len(e)) END)::DOUBLE, 6) AS f1 FROM k GROUP BY 1""",
     "exact_matches": _ANSWERS + "SELECT em, count(*) AS n FROM (SELECT qid, max(CASE WHEN array_to_string(a, ' ') = array_to_string(e, ' ') THEN 1.0 ELSE 0.0 END)::DOUBLE AS em FROM n GROUP BY 1) GROUP BY 1",
-    "run_summary": _RESULTS + "SELECT count(*) AS n, count(*) FILTER (WHERE verdict = 'correct') AS n_correct, count(*) FILTER (WHERE verdict = 'partial') AS n_partial, count(*) FILTER (WHERE verdict = 'wrong') AS n_wrong, round(avg(lag_days), 4) AS mean_lag_days, coalesce(string_agg(DISTINCT error_code, ',' ORDER BY error_code), '') AS error_codes FROM res",
+    "run_summary": _RESULTS + "SELECT count(*) AS n, count(*) FILTER (WHERE verdict = 'correct') AS n_correct, count(*) FILTER (WHERE verdict = 'partially_correct') AS n_partial, count(*) FILTER (WHERE verdict = 'incorrect') AS n_incorrect, round(avg(CASE WHEN coalesce(floor(abs(lag_days) / 20) <= 5, false) THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT ei), 4) AS gold_in_top, round(avg(lag_days), 4) AS mean_lag_days, coalesce(string_agg(DISTINCT error_code, ',' ORDER BY error_code), '') AS error_codes FROM res",
     "slice_means": _RESULTS + "SELECT slice, round(avg(lag_days), 4) AS mean_lag_days, count(lag_days) AS n_lag_days FROM res GROUP BY 1",
     "compare_runs": _RESULTS + """, a AS (SELECT slice, round(avg(lag_days), 4) AS b FROM res WHERE split = 'dev' GROUP BY 1), o AS (SELECT slice, round(avg(lag_days), 4) AS o FROM res WHERE split = 'holdout' GROUP BY 1)
 SELECT slice, b AS base_lag_days, o AS other_lag_days, round(o - b, 4) AS change_lag_days FROM a FULL JOIN o USING (slice)""",

@@ -116,7 +116,7 @@ def text_budget(spark, d):
 
 def raw_store(spark, d):
     files = _docs(spark, d).select(F.encode("text", "UTF-8").alias("content"))
-    return readers.raw_store(files).select("digest", "n_bytes")
+    return readers.raw_store(files).select("digest", "n_bytes", "n_copies")
 
 
 def binary_sniff(spark, d):
@@ -183,7 +183,7 @@ CASE WHEN regexp_matches(head, '(?i)\bcreate\s+table\b') THEN 'schema'
   WHEN regexp_matches(list_extract(string_split(path, '/'), -1), '(?i)^(readme|changelog|license)') THEN 'notes'
   ELSE 'unclassified' END"""
 _CLASSIFIED = rf"""
-WITH a AS (SELECT source, path, left(text, 4000) AS head, {_STRIP.format('text')} AS body FROM documents),
+WITH a AS (SELECT source, path, text AS head, {_STRIP.format('text')} AS body FROM documents),
 b AS (SELECT *, regexp_extract(body, '^([^\n]*)', 1) AS l1, regexp_extract(body, '^[^\n]*\n([^\n]*)', 1) AS l2,
   list_transform(regexp_extract_all(head, '(?m)^#+\s+(.+)$', 1), lambda h: lower(h)) AS hs FROM a),
 c AS (SELECT *, length(l1) - length(replace(l1, ',', '')) AS c1, length(l2) - length(replace(l2, ',', '')) AS c2 FROM b),
@@ -225,7 +225,7 @@ SELECT CASE WHEN s IN ('txt', 'md', 'markdown', 'rst', 'text') THEN 'prose' WHEN
 SELECT source, CASE WHEN count(DISTINCT CASE WHEN family <> 'unclassified' THEN family END) = 1 THEN max(CASE WHEN family <> 'unclassified' THEN family END) ELSE 'mixed' END AS family,
   count(*) FILTER (WHERE family <> 'unclassified') AS n_classified, count(*) FILTER (WHERE family = 'unclassified') AS n_unclassified FROM k WHERE source IS NOT NULL GROUP BY 1""",
     "text_budget": f"SELECT source, CASE WHEN coalesce(sum(length(text)), 0) <= {MAX_TEXT_CHARS} THEN count(*) ELSE 0 END AS n FROM documents WHERE source IS NOT NULL GROUP BY 1",
-    "raw_store": "SELECT DISTINCT sha256(text) AS digest, strlen(text) AS n_bytes FROM documents",
+    "raw_store": "SELECT sha256(text) AS digest, strlen(text) AS n_bytes, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY 1, 2",
     "binary_sniff": "SELECT false AS is_binary, count(*) AS n FROM documents",
     "cached_vectors": "SELECT passage_no AS pos, 64 AS dim FROM passages WHERE text IS NOT NULL",
     "lookup_in_order": "SELECT pos, n_nationkey, n_name FROM (VALUES (0, 7), (1, 3), (2, 99), (3, 12), (4, 3)) a(pos, k) JOIN nation ON n_nationkey = k",

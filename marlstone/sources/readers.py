@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,43 +57,26 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return files.select("path", file_kind(F.col("path")).alias("kind"), language_of(F.col("path")).alias("language"), "content", is_binary(F.col("content")).alias("is_binary"))
 
 
-class _Text(HTMLParser):
-    """Text of a page: scripts and the like dropped, headings marked, blocks apart."""
-
-    DROPPED = {"script", "style", "noscript", "template", "head", "svg"}
-    BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "ul", "ol", "li", "table", "tr", "blockquote", "pre", "br", "hr", "figure", "nav", "aside", "dl", "dt", "dd"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skipping = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.DROPPED:
-            self.skipping += 1
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in self.BLOCKS:
-            self.out.append("\n\n")
-
-    def handle_endtag(self, tag):
-        if tag in self.DROPPED:
-            self.skipping = max(0, self.skipping - 1)
-        elif tag in self.BLOCKS or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"):
-            self.out.append("\n\n")
-
-    def handle_data(self, data):
-        if not self.skipping:
-            self.out.append(data)
+#: Tags whose content is no text, and tags that stand apart from what is around them (fixed values).
+UNREAD = ("script", "style", "noscript", "template", "head", "svg")
+APART = (
+    "p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "blockquote", "pre", "ul", "ol", "li", "table", "thead", "tbody", "tr", "dl", "dt", "dd", "hr", "figure", "figcaption",
+    "form", "fieldset", "address",
+)
+_UNREAD = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({'|'.join(UNREAD)})\b[^>]*>.*?(?:</\1\s*>|\Z)")
+_MARKUP = re.compile(r"(?is)<(/?)([a-z][a-z0-9:-]*)\b[^>]*>|<[!?/][^>]*>")
+#: Bounds of a heading while the page is rewritten; no page holds them, as they are no characters of text.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+#: What a tag leaves behind, at its beginning and at its end.
+_LEAVES = {t: ("\n\n", "\n\n") for t in APART} | {"br": ("\n", "\n\n")} | {f"h{n}": (f"\n\n{'#' * n} {_OPEN}", f"{_CLOSE}\n\n") for n in range(1, 7)}
 
 
 def page_text(html: str) -> str:
-    """Readable text of one page, runs of spaces and blank lines made one."""
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    blocks = [" ".join(b.split()) for b in "".join(parser.out).split("\n\n")]
-    return "\n\n".join(b for b in blocks if b.strip("# "))
+    """Readable text of one page: headings marked and on one line, blocks apart by one blank line, line breaks kept, empty headings dropped."""
+    marked = _MARKUP.sub(lambda m: _LEAVES.get((m[2] or "").lower(), ("", ""))[bool(m[1])], _UNREAD.sub("", html))
+    marked = re.sub(rf"(?s){_OPEN}(.*?)(?:{_CLOSE}|\Z)", lambda m: " ".join(m[1].split()), unescape(marked))
+    lines = (" ".join(re.split(r"[ \t]+", line.strip())) for line in marked.replace(_CLOSE, "").splitlines())
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(line for line in lines if not line or line.strip("#"))).strip()
 
 
 def html_text(pages: DataFrame, html_col: str, out: str = "text") -> DataFrame:
@@ -140,9 +124,11 @@ def within_text_budget(docs: DataFrame, source: str, text: str, limit: int) -> D
 
 
 def raw_store(files: DataFrame, max_bytes: int = 50_000_000) -> DataFrame:
-    """Content-addressed bytes: digest, n_bytes, content; equal contents once; larger ones are left out."""
-    sized = files.where(F.col("content").isNotNull() & (F.length("content") <= max_bytes))
-    return sized.groupBy(F.sha2("content", 256).alias("digest")).agg(F.first(F.length("content")).alias("n_bytes"), F.first("content").alias("content"))
+    """Content-addressed bytes: digest, n_bytes, content and n_copies; equal contents once. Of larger ones only digest and size are kept,
+    with a null content, so that none vanishes."""
+    held = files.where(F.col("content").isNotNull())
+    kept = F.first(F.when(F.length("content") <= max_bytes, F.col("content"))).alias("content")
+    return held.groupBy(F.sha2("content", 256).alias("digest")).agg(F.first(F.length("content")).alias("n_bytes"), kept, F.count(F.lit(1)).alias("n_copies"))
 
 
 def with_cached_vectors(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -180,19 +166,18 @@ def hashed_embedding(dim: int = 64) -> Callable[[DataFrame], DataFrame]:
 def classify_content(path: Column, content: Column) -> Column:
     """Family of an artifact; the first rule that holds decides: DDL, API description, k8s manifest, service catalogue, heading signature,
     rows (ndjson, JSON array, csv), name, else unclassified."""
-    head = F.substring(content, 1, 4000)
     whole = F.regexp_replace(content, r"^\s+|\s+$", "")
     first = F.regexp_extract(whole, r"^([^\n]*)", 1)
     second = F.regexp_extract(whole, r"^[^\n]*\n([^\n]*)", 1)
     commas = F.length(first) - F.length(F.replace(first, F.lit(","), F.lit("")))
     commas2 = F.length(second) - F.length(F.replace(second, F.lit(","), F.lit("")))
-    headings = F.transform(F.regexp_extract_all(head, F.lit(r"(?m)^#+\s+(.+)$"), F.lit(1)), F.lower)
+    headings = F.transform(F.regexp_extract_all(content, F.lit(r"(?m)^#+\s+(.+)$"), F.lit(1)), F.lower)
     signature = F.size(F.array_except(F.array(F.lit("context"), F.lit("decision")), headings)) == 0
     return (
-        F.when(head.rlike(r"(?i)\bcreate\s+table\b"), "schema")
-        .when(head.rlike(r"(?m)^\s*\"?(openapi|swagger)\"?\s*:"), "api")
-        .when(head.rlike(r"(?m)^apiVersion:") & head.rlike(r"(?m)^kind:"), "deployment")
-        .when(head.rlike(r"(?m)^(services|components):"), "catalog")
+        F.when(content.rlike(r"(?i)\bcreate\s+table\b"), "schema")
+        .when(content.rlike(r"(?m)^\s*\"?(openapi|swagger)\"?\s*:"), "api")
+        .when(content.rlike(r"(?m)^apiVersion:") & content.rlike(r"(?m)^kind:"), "deployment")
+        .when(content.rlike(r"(?m)^(services|components):"), "catalog")
         .when(signature, "decision")
         .when(first.rlike(r"^\{.*\}$") & ((second == "") | second.rlike(r"^\{.*\}$")), "rows_ndjson")
         .when(whole.rlike(r"^\[\s*\{"), "rows_json")

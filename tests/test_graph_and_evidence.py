@@ -210,27 +210,54 @@ def test_metrics(spark):
     assert (r.recall_1, r.recall_2, r.recall_20, r.gold_rank) == (0.0, 0.5, 0.5, 2)
     m = evaluation.evidence_metrics(ranked, df(spark, "qid int, alternative int, item string", (1, 0, "b"), (1, 0, "z"), (1, 1, "c"))).first()
     dcg, ideal = 1 / np.log2(3) + 1 / np.log2(4), 1 + 1 / np.log2(3) + 1 / np.log2(4)
-    assert m.mrr == 0.5 and abs(m.ndcg - dcg / ideal) < 1e-9 and m.any_hit == 1.0 and abs(m.evidence_recall - 2 / 3) < 1e-9 and m.all_required_set_success == 1.0
-    res = df(spark, "verdict string, f1 double, error_code string", ("correct", 1.0, None), ("wrong", None, "e2"), ("wrong", 0.0, "e1"))
+    assert m.mrr == 0.5 and abs(m.ndcg - dcg / ideal) < 1e-9 and m.any_hit_5 == 1.0 and m.evidence_recall_5 == 1.0 and m.all_required_5 == 1.0
+    half = evaluation.evidence_metrics(ranked, df(spark, "qid int, alternative int, item string", (1, 0, "b"), (1, 0, "z"), (1, 1, "y"), (1, 1, "x"), (1, 1, "z")), (1, 5)).first()
+    assert (half.evidence_recall_1, half.any_hit_1, half.evidence_recall_5, half.all_required_5) == (0.0, 0.0, 0.5, 0.0)  # of the better alternative
+    res = df(spark, "verdict string, f1 double, error_code string, has_gold boolean, gold_rank int", ("correct", 1.0, None, True, 5), ("incorrect", None, "e2", True, None), ("incorrect", 0.0, "e1", False, 1), ("partially_correct", 0.5, None, True, 6))
     s = evaluation.run_summary(res, ("f1",)).first()
-    assert (s.n, s.n_wrong, s.mean_f1, s.error_codes) == (3, 2, 0.5, "e1,e2")
-    assert [r.v for r in df(spark, "t string", ("It is Correct!",), ("??",)).select(evaluation.verdict_of(F.col("t")).alias("v")).collect()] == ["correct", "error"]
+    assert (s.n, s.n_correct, s.n_partial, s.n_incorrect, s.mean_f1, s.error_codes, s.gold_in_top) == (4, 1, 1, 2, 0.5, "e1,e2", 0.3333)
+    told = df(spark, "t string", ("Partially Correct",), (" correct ",), ("partially-correct",), ("It is Correct!",), ("??",), (None,)).select(evaluation.verdict_of(F.col("t")).alias("v"))
+    assert [r.v for r in told.collect()] == ["partially_correct", "correct", "partially_correct", "incorrect", "incorrect", "incorrect"]
+    symbols = df(spark, "id int, kind string, qualname string, doc string", (1, "function", "m.f", "d" * 80), (2, "function", "m.b", ""), (3, "method", "m.a", ""), (4, "class", "m.C", "d" * 90))
+    edges = df(spark, "a int, b int, kind string, omega double", (1, 2, "INVOKES", 0.9), (1, 3, "INVOKES", 0.9), (1, 4, "INVOKES", 0.4), (4, 2, "INVOKES", 0.9))
+    assert [tuple(r) for r in evaluation.code_questions(symbols, edges).collect()] == [(1, "m.f", 3, ["m.a", "m.b"])]
 
 
 def test_bitemporal(spark):
-    o = df(spark, "id int, from_us bigint, to_us bigint, recorded_us bigint, recorded_to_us bigint, precision string", (1, 0, 10, 0, None, "instant"), (2, 0, None, 0, 5, "instant"), (3, None, None, 0, None, "instant"), (4, 0, 10, 0, None, "day"), (5, 10, 20, 0, None, "instant"))
+    explicit = "explicit_interval"
+    o = df(
+        spark, "id int, from_us bigint, to_us bigint, recorded_us bigint, recorded_to_us bigint, precision string, validity_kind string",
+        (1, 0, 10, 0, None, "instant", explicit), (2, 0, None, 0, 5, "instant", explicit), (3, None, None, 0, None, "instant", "unknown"), (4, 0, 10, 0, None, "day", explicit), (5, 10, 20, 0, None, "instant", explicit),
+        (6, 30, 40, 0, None, "day", explicit), (7, None, None, 0, None, None, "atemporal"), (8, 0, 10, 8, None, "instant", explicit), (9, 0, 10, 0, None, "instant", "observed_snapshot"), (10, 0, 10, None, None, "instant", None),
+    )
     got = dict(rows(bitemporal.decide(o, Selector("as_of", 7, 9)), "id", "reason"))
-    assert got == {1: "holds", 2: "not_known", 3: "validity_unknown", 4: "imprecise", 5: "outside"}
-    assert dict(rows(bitemporal.decide(o, Selector("during", 7, 9, 12)), "id", "decision"))[5] == "proven"
+    assert got == {
+        1: "effective_match", 2: "recorded_closed", 3: "effective_unknown", 4: "effective_imprecise", 5: "effective_outside", 6: "effective_imprecise", 7: "atemporal_match", 8: "recorded_after_cutoff",
+        9: "effective_unknown", 10: "recorded_after_cutoff",
+    }
+    during = dict(rows(bitemporal.decide(o, Selector("during", 7, 9, 12)), "id", "decision"))
+    assert during[5] == "proven" and during[7] == "contextual"
     assert dict(rows(bitemporal.decide(o, Selector("throughout", 7, 2, 10)), "id", "decision"))[1] == "proven"
+    assert dict(rows(bitemporal.decide(o, Selector("current", 7)), "id", "decision"))[5] == "excluded"
+    timeless = dict(rows(bitemporal.decide(o, Selector("atemporal", 7)), "id", "decision"))
+    assert (timeless[1], timeless[3], timeless[7], timeless[9]) == ("excluded", "contextual", "proven", "contextual")
+    change = dict(rows(bitemporal.changes_between(o, "effective", 0, 10, 7), "id", "reason"))
+    assert (change[1], change[5], change[4], change[3]) == ("change_match", "change_outside", "change_clock_unknown", "change_clock_unknown")
+    published = o.withColumn("published_us", F.when(F.col("id") == 1, 5)).withColumn("recorded_is_publication", F.col("id") == 3)
+    change = dict(rows(bitemporal.changes_between(published, "published", 0, 10, 7), "id", "decision"))
+    assert (change[1], change[3], change[4]) == ("proven", "proven", "contextual")
     with pytest.raises(ValueError):
         bitemporal.decide(o, Selector("never", 1))
     assert bitemporal.resolve_selector(None, None, 9).mode == "current"
     c = df(spark, "k string, object string, from_us bigint, to_us bigint", ("a", "x", 0, 10), ("a", "y", 5, 20), ("b", "x", 0, 5), ("b", "y", 5, 9), ("c", "x", 0, 5), ("c", "x", 3, 9), ("c", "y", 20, None), ("c", "z", 25, 26), ("d", "x", None, None), ("d", "y", 0, 1), ("e", "x", 0, 100), ("e", "x", 1, 90), ("e", "y", 2, 3), ("e", "y", 95, 99))
     assert rows(bitemporal.conflict_sets(c, ["k"]), "k", "status") == [("a", "unresolved"), ("c", "possible"), ("d", "possible"), ("e", "possible")]
-    v = df(spark, "version_id int, ordinal bigint, s string", (1, 1, "s"), (2, 2, "s"), (3, 2, "s"), (4, None, "s"))
-    r = bitemporal.current_versions(v, ["s"]).first()
-    assert (r.ordinal, r.n_versions, r.is_ambiguous, r.n_superseded) == (2, 2, True, 1)
+    contract = "adapter string, adapter_version string, kind string"
+    m = ("wiki", "v1", "monotonic")
+    v = df(spark, f"version_id int, ordinal bigint, s string, {contract}", (1, 1, "s", *m), (2, 2, "s", *m), (3, 2, "s", *m), (4, None, "s", "wiki", "v1", "unknown"), (5, 9, "s", "wiki", "v2", "monotonic"), (1, 1, "t", *m), (6, 7, "u", "wiki", "v1", "equality_only"), (2, 2, "s", *m))
+    r = {(x.s, x.adapter_version): (x.ordinal, x.n_versions, x.is_ambiguous, x.n_superseded) for x in bitemporal.current_versions(v, ["s"]).collect()}
+    assert r == {("s", "v1"): (2, 3, True, 1), ("s", "v2"): (9, 1, False, 0), ("t", "v1"): (1, 1, False, 0), ("u", "v1"): (None, 1, False, 0)}
+    assert bitemporal.fully_superseded(*bitemporal.superseded_and_current(v, ["s"])).count() == 0  # the older one is current in another series
+    assert rows(bitemporal.superseded_and_current(v, ["s"])[0], "version_id") == [(1,)]
     closed = bitemporal.closed_and_appended(df(spark, "id string, recorded_to_us bigint", ("a", None), ("b", 3)), df(spark, "id string", ("a",)), df(spark, "id string, recorded_to_us bigint", ("c", None)), 9)
     assert sorted(map(tuple, closed.collect()), key=str) == [("a", 9), ("b", 3), ("c", None)]
     with pytest.raises(Exception):

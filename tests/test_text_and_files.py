@@ -87,6 +87,9 @@ def test_packing_keeps_every_unit_and_size(spark):
         for u in units:
             for piece in C.hard_split(u, size):
                 assert re.sub(r"\s", "", piece) in left
+    # the overlap is taken from the whole chunk, not from its last unit
+    assert C.pack(["One here.", "Two here.", "y" * 54], 75, 20) == ["One here.\n\nTwo here.", "One here. Two here.\n\n" + "y" * 54]
+    assert C.hard_split("aaaa bbbb cccc", 9) == ["aaaa", "bbbb cccc"] and C.hard_split("x" * 12, 5) == ["xxxxx", "xxxxx", "xx"] and C.hard_split("  ", 5) == []
     assert C.pack(["First one. Second one.", "x" * 40], 60, 15) == ["First one. Second one.", "Second one.\n\n" + "x" * 40]
     df = spark.createDataFrame([(1, None), (2, " "), (3, "a. b.\n\nc")], "doc_id bigint, text string")
     assert [(r.doc_id, r.text) for r in C.packed_passages(df).collect()] == [(3, "a. b.\n\nc")]
@@ -106,6 +109,8 @@ def test_windows_titles_and_commits(spark):
 def test_html_zip_and_files(spark, tmp_path):
     page = "<html><head><title>t</title></head><body><h2>Head</h2><p>One  <b>two</b></p><script>x()</script><li>item &amp; more</li></body></html>"
     assert readers.page_text(page) == "## Head\n\nOne two\n\nitem & more"
+    assert readers.page_text("<h1>Two\n lines <i>in</i></h1>a<br>b<!-- <p>no</p> --><thead>c</thead>d &lt;p&gt;<h3> </h3><script>if (a<b) {}</script>e<address>f<!doctype x>") == "# Two lines in\n\na\nb\n\nc\n\nd <p>\n\ne\n\nf"
+    assert readers.page_text("") == "" and readers.page_text("<p>open <b>end") == "open end" and readers.page_text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
     got = readers.html_text(spark.createDataFrame([(page,), (None,)], "h string"), "h").collect()
     assert got[1].text is None
     buffer = io.BytesIO()
@@ -128,7 +133,7 @@ def test_stores_and_budget(spark):
     docs = spark.createDataFrame([("a", "xxx"), ("a", "yyy"), ("b", "z" * 99)], "source string, text string")
     assert [r.source for r in readers.within_text_budget(docs, "source", "text", 10).collect()] == ["a", "a"]
     files = spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"x"),), (None,), (bytearray(b"long"),)], "content binary")
-    assert readers.raw_store(files, max_bytes=2).count() == 1
+    assert readers.raw_store(files, max_bytes=2).where("content is not null").count() == 1 and readers.raw_store(files, max_bytes=2).count() == readers.raw_store(files).count()
     calls = []
 
     def embed(df):
