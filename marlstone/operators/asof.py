@@ -1,16 +1,18 @@
 """Attributes as known at event time: point location in bitemporal rectangles.
 
 A claim is a rectangle: valid time [valid_from, valid_to) by recorded time [recorded_from, ever). Its valid side is cut
-into canonical dyadic blocks of hours. All rectangles of one block span the block's whole valid range, so inside it the plane
+into canonical dyadic blocks. All rectangles of one block span the block's whole valid range, so inside it the plane
 splits along recorded time alone into disjoint regions, each with one current claim: the running best in order of
-recording. A question looks up the one block of each level that holds its valid_at and takes the best of what it finds.
-The hour in which a claim begins or ends is covered partly; there the bounds are compared, or, where many claims of a series
-begin or end in one hour, the same blocks are laid at microseconds.
+recording. A question looks up the one block of each level that holds its valid_at and takes the best of the regions it meets.
+
+For questions the blocks are hours and, in those hours where a claim begins or ends and a question asks, microseconds. The regions themselves
+are laid over the numbered bounds of each series, so that a claim takes few blocks however long it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +26,10 @@ HOUR_SHIFT = 1 << 26
 HOUR_LEVELS = 27
 OPEN_US = ((1 << HOUR_LEVELS) - HOUR_SHIFT) * HOUR_US
 MICRO_LEVELS = 32
-#: Claims of one series that may begin or end in one hour before that hour is cut finer.
-EDGE_LIMIT = 64
+#: Levels of blocks over numbered bounds.
+BOUND_LEVELS = 40
+#: Parts by recorded time that a crowded block is worked in.
+CHUNKS = 256
 _S = ["_s1", "_s2"]
 
 
@@ -62,7 +66,7 @@ def covering(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str,
     return met.where((F.col(lo) <= F.col(at)) & (F.col(hi).isNull() | (F.col(at) < F.col(hi)))).drop("_level", "_block")
 
 
-def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], edge_limit: int = EDGE_LIMIT, hot_rows: int = HOT_ROWS) -> DataFrame:
+def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The claim current for each question: columns ``question`` and ``claim`` (their ids).
 
     ``questions``: keys, ``id`` (unique), ``valid_us``, ``known_us``. ``claims``: keys, ``id``, ``from_us``, ``to_us`` (null: open),
@@ -95,55 +99,76 @@ def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], edg
     ).select(*s, "level", F.expr("shiftright(_h, level)").alias("block"), "_known", "_q")
     best = [_running_best(whole, hour_points, [*s, "level", "block"])]
 
+    # hours that a claim covers partly are cut to microseconds, but only where a question falls into them
+    points = q.withColumn("_h", _hour(F.col("_valid")))
     edge = lambda us: F.when(F.pmod(us, F.lit(HOUR_US)) != 0, _hour(us))
     edges = c.select("*", F.explode(F.array_distinct(F.array(edge(F.col("_lo")), edge(F.col("_hi"))))).alias("_h")).where("_h is not null")
-    crowded = edges.groupBy(*s, "_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > edge_limit).select(*s, "_h", F.lit(True).alias("_crowded"))
-    edges = edges.join(crowded, [*s, "_h"], "left")
-    points = q.withColumn("_h", _hour(F.col("_valid"))).join(crowded, [*s, "_h"], "left")
-    light = edges.where("_crowded is null").select(*s, "_h", "_lo", "_hi", "_rf", "_best")
-    # at most edge_limit claims meet a point here
-    best.append(
-        points.where("_crowded is null").join(light, [*s, "_h"]).where("_lo <= _valid and _valid < _hi and _rf <= _known").select("_q", "_best")
-    )
+    edges = edges.join(points.select(*s, "_h").distinct(), [*s, "_h"], "left_semi")
     start = (F.col("_h") - HOUR_SHIFT) * HOUR_US
-    fine = edges.where("_crowded").select(
+    fine = edges.select(
         *s, "_h", "_rf", "_best",
         F.explode(canonical_blocks(F.greatest(F.col("_lo") - start, F.lit(0)), F.least(F.col("_hi") - start, F.lit(HOUR_US)), MICRO_LEVELS)).alias("b"),
     ).select(*s, "_h", "b.level", "b.block", "_rf", "_best")
-    fine_points = points.where("_crowded").select(
+    fine_points = points.select(
         *s, "_h", "_q", "_known", (F.col("_valid") - start).alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(MICRO_LEVELS))).alias("level")
     ).select(*s, "_h", "level", F.expr("shiftright(_at, level)").alias("block"), "_known", "_q")
-    best.append(_running_best(fine, fine_points, [*s, "_h", "level", "block"]))
-    found = best[0].unionByName(best[1]).unionByName(best[2])
+    found = _running_best(whole, hour_points, [*s, "level", "block"]).unionByName(_running_best(fine, fine_points, [*s, "_h", "level", "block"]))
     return found.groupBy(F.col("_q").alias("question")).agg(F.max("_best").alias("_best")).select("question", F.col("_best.id").alias("claim"))
 
 
-def current_regions(claims: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The disjoint current-version regions themselves: per series and valid block, who is current from when to when.
+@dataclass(frozen=True)
+class Regions:
+    """``regions``: _s1, _s2, level, block, known_from_us, known_to_us (null: ever), claim. Block b of level l is the valid time from the series'
+    bound number b * 2**l to the bound number (b + 1) * 2**l. ``bounds``: _s1, _s2, number, at_us. ``series``: _s1, _s2 and the keys."""
+
+    regions: DataFrame
+    bounds: DataFrame
+    series: DataFrame
+
+    def timed(self) -> DataFrame:
+        """The regions with from_us and to_us, their valid time (to_us null: open)."""
+        size = F.expr("shiftleft(1L, level)")
+        at = lambda name: self.bounds.select(*_S, F.col("number").alias(f"_{name}"), F.when(F.col("at_us") < OPEN_US, F.col("at_us")).alias(f"{name}_us"))
+        placed = self.regions.withColumn("_from", F.col("block") * size).withColumn("_to", (F.col("block") + 1) * size)
+        return placed.join(at("from"), [*_S, "_from"]).join(at("to"), [*_S, "_to"]).drop("_from", "_to")
+
 
-    Columns: keys, ``level``, ``block`` (hours, ``2**level`` long), ``from_us``, ``to_us`` (the block's valid time), ``known_from_us``,
-    ``known_to_us`` (null: ever), ``claim``. Claims as for ``as_of_join``. Hours that a claim covers partly are cut into blocks of
-    microseconds, which have bounds but neither ``level`` nor ``block``.
+def current_regions(claims: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Regions:
+    """The disjoint current-version regions: per series and valid block, which claim is current from when to when in recorded time.
+
+    Claims as for ``as_of_join``, with the same rows left out. Bounds of a series are numbered by counting those of each hour and of the hours
+    before; blocks with more than ``hot_rows`` claims are worked in parts by recorded time, each given the best of the parts before it.
     """
-    c = claims.dropna(subset=[*keys, "id", "from_us", "recorded_us"]).select(
-        *keys, "recorded_us", F.col("from_us").alias("_lo"), F.least(F.coalesce("to_us", F.lit(OPEN_US)), F.lit(OPEN_US)).alias("_hi"),
+    kept = claims.dropna(subset=[*keys, "id", "from_us", "recorded_us"]).select(
+        *_series(keys), *keys, F.col("from_us").alias("_lo"), F.least(F.coalesce("to_us", F.lit(OPEN_US)), F.lit(OPEN_US)).alias("_hi"), F.col("recorded_us").alias("_rf"),
         F.struct(F.col("ordinal").isNotNull().alias("has"), F.col("ordinal").alias("ordinal"), F.col("recorded_us").alias("rf"), F.col("id").alias("id")).alias("_best"),
     ).where("_lo < _hi")
-    whole = c.select("*", F.lit(None).cast("bigint").alias("_h"), F.explode(canonical_blocks(_hour(F.col("_lo") + HOUR_US - 1), _hour(F.col("_hi")), HOUR_LEVELS)).alias("b"))
-    edge = lambda us: F.when(F.pmod(us, F.lit(HOUR_US)) != 0, _hour(us))
-    edges = c.select("*", F.explode(F.array_distinct(F.array(edge(F.col("_lo")), edge(F.col("_hi"))))).alias("_h")).where("_h is not null")
-    start = (F.col("_h") - HOUR_SHIFT) * HOUR_US
-    parts = edges.select("*", F.explode(canonical_blocks(F.greatest(F.col("_lo") - start, F.lit(0)), F.least(F.col("_hi") - start, F.lit(HOUR_US)), MICRO_LEVELS)).alias("b"))
-    cell = [*keys, "_h", "level", "block"]
-    at = whole.unionByName(parts).select(*keys, "_h", "b.level", "b.block", "recorded_us", "_best").groupBy(*cell, "recorded_us").agg(F.max("_best").alias("_best"))
-    order = Window.partitionBy(*cell).orderBy("recorded_us")
-    best = at.withColumn("_now", F.max("_best").over(order)).withColumn("_was", F.lag("_now").over(order)).where("_was is null or not (_was <=> _now)")
-    size = F.expr("shiftleft(1L, level)")
-    first = F.col("block") * size
-    hours = F.col("_h").isNull()
-    from_us = F.when(hours, (first - HOUR_SHIFT) * HOUR_US).otherwise(start + first)
-    return best.select(
-        *keys, F.when(hours, F.col("level")).alias("level"), F.when(hours, first - HOUR_SHIFT).alias("block"),
-        from_us.alias("from_us"), (from_us + size * F.when(hours, F.lit(HOUR_US)).otherwise(F.lit(1))).alias("to_us"),
-        F.col("recorded_us").alias("known_from_us"), F.lead("recorded_us").over(order).alias("known_to_us"), F.col("_now.id").alias("claim"),
+    c = kept.drop(*keys)
+    ends = c.select("*", F.explode(F.array("_lo", "_hi")).alias("_at")).withColumn("_h", _hour(F.col("_at")))
+    inside = Window.partitionBy(*_S, "_h").orderBy("_at")
+    ends = ends.withColumn("_nth", F.dense_rank().over(inside))
+    before = Window.partitionBy(*_S).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.groupBy(*_S, "_h").agg(F.max("_nth").alias("_n")).select(*_S, "_h", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ends = ends.join(offsets, [*_S, "_h"]).withColumn("number", F.col("_before") + F.col("_nth") - 1)
+    spans = ends.groupBy(*_S, "_best", "_rf", "_lo", "_hi").agg(F.min("number").alias("_from"), F.max("number").alias("_to"))
+    blocks = spans.select(*_S, "_rf", "_best", F.explode(canonical_blocks(F.col("_from"), F.col("_to"), BOUND_LEVELS)).alias("b")).select(*_S, "b.level", "b.block", "_rf", "_best")
+    return Regions(_staircase(blocks, [*_S, "level", "block"], hot_rows), ends.select(*_S, "number", F.col("_at").alias("at_us")).distinct(), kept.select(*_S, *keys).distinct())
+
+
+def _staircase(blocks: DataFrame, cell: list[str], hot_rows: int) -> DataFrame:
+    """Where the running best of a cell changes in order of recording: cell, known_from_us, known_to_us, claim."""
+    at = blocks.groupBy(*cell, "_rf").agg(F.max("_best").alias("_best"))
+    hot = at.join(hot_keys(at, cell, hot_rows), cell, "left_semi")
+    cuts = hot.groupBy(*cell).agg(F.percentile_approx("_rf", [i / CHUNKS for i in range(1, CHUNKS)], 10_000).alias("_cuts"))  # at most rows / hot_rows rows
+    at = at.join(cuts, cell, "left").withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col("_rf"))), F.lit(0))).withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts")
+    chunks = Window.partitionBy(*cell).orderBy("_chunk")
+    carried = at.where("_hot").groupBy(*cell, "_chunk").agg(F.max("_best").alias("_best"))
+    carried = carried.select(*cell, "_chunk", F.max("_best").over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    order = Window.partitionBy(*cell, "_chunk").orderBy("_rf")
+    best = at.join(carried, [*cell, "_chunk"], "left").withColumn("_now", F.greatest(F.max("_best").over(order), F.col("_carry")))
+    best = best.withColumn("_was", F.coalesce(F.lag("_now").over(order), F.col("_carry"))).where("_was is null or not (_was <=> _now)")
+    following = best.where("_hot").groupBy(*cell, "_chunk").agg(F.min("_rf").alias("_first"))
+    following = following.select(*cell, "_chunk", F.lead("_first").over(chunks).alias("_next"))
+    return best.join(following, [*cell, "_chunk"], "left").select(
+        *cell, F.col("_rf").alias("known_from_us"), F.coalesce(F.lead("_rf").over(order), F.col("_next")).alias("known_to_us"), F.col("_now.id").alias("claim")
     )

@@ -88,9 +88,9 @@ def best_claim(q, cs):
     return max(((c[7] is not None, c[7] or 0, c[6], c[0]) for c in fit), default=None)
 
 
-@pytest.mark.parametrize("edge_limit,hot_rows", [(64, 200_000), (0, 7), (3, 20)])
-def test_asof_against_brute_force(spark, edge_limit, hot_rows):
-    rng = random.Random(edge_limit + hot_rows)
+@pytest.mark.parametrize("hot_rows", [200_000, 7, 20])
+def test_asof_against_brute_force(spark, hot_rows):
+    rng = random.Random(hot_rows)
     hour = asof.HOUR_US
     stamp = lambda: rng.choice([rng.randrange(0, 40 * hour), rng.randrange(0, 40) * hour, rng.randrange(3 * hour, 3 * hour + 50), -rng.randrange(hour)])
     cs = []
@@ -103,18 +103,45 @@ def test_asof_against_brute_force(spark, edge_limit, hot_rows):
     c = spark.createDataFrame([(*x, "x") for x in cs], schema.format("bigint", "from_us", "to_us") + ", recorded_us bigint, ordinal bigint, _best string")
     q = spark.createDataFrame([(*x, "y") for x in qs], schema.format("string", "valid_us", "known_us") + ", _q string")
     keys = ["source_id", "scope_key", "predicate"]
-    got = {r.question: r.claim for r in asof.as_of_join(q, c, keys, edge_limit, hot_rows).collect()}
+    got = {r.question: r.claim for r in asof.as_of_join(q, c, keys, hot_rows).collect()}
     want = {x[0]: b[3] for x in qs if (b := best_claim(x, cs))}
     assert got == want
     assert asof.as_of_join(q.limit(0), c, keys).count() == asof.as_of_join(q, c.limit(0), keys).count() == 0
 
 
-def test_asof_regions_are_disjoint_and_ordered(spark):
-    h = asof.HOUR_US
-    rows = [(1, "s", 0, 4 * h, 10, 1), (2, "s", 0, None, 20, 2), (3, "s", 0, 4 * h, 30, 1)]
-    c = spark.createDataFrame(rows, "id bigint, k string, from_us bigint, to_us bigint, recorded_us bigint, ordinal bigint")
-    got = asof.current_regions(c, ["k"]).where("level = 2 and block = 0").collect()
-    assert [(r.known_from_us, r.known_to_us, r.claim) for r in got] == [(10, 30, 1), (30, None, 3)] or sorted((r.known_from_us, r.known_to_us, r.claim) for r in got) == [(10, None, 1)]
+@pytest.mark.parametrize("hot_rows", [200_000, 3])
+def test_regions_hold_the_current_claim_everywhere(spark, hot_rows):
+    rng = random.Random(hot_rows)
+    cs = []
+    for i in range(160):
+        a = rng.choice([rng.randrange(50), rng.randrange(3 * asof.HOUR_US)])
+        cs.append((i, rng.choice(["s", "t", None]), "k", "p", rng.choice([a, a, None]), rng.choice([None, a + rng.randrange(1, 60), a + rng.randrange(1, 5 * asof.HOUR_US), a]), rng.randrange(40), rng.choice([None, *range(6)])))
+    cs += cs[:20]
+    c = spark.createDataFrame(cs, "id bigint, source_id string, scope_key string, predicate string, from_us bigint, to_us bigint, recorded_us bigint, ordinal bigint")
+    found = asof.current_regions(c, ["source_id", "scope_key", "predicate"], hot_rows)
+    regions = [r.asDict() for r in found.timed().join(found.series, ["_s1", "_s2"]).collect()]
+    bounds = sorted({x for r in cs for x in r[4:6] if x is not None})
+    for source in "st":
+        for valid in rng.sample(bounds, 40):
+            for known in (-1, 0, 7, 20, 39, 100):
+                want = best_claim(("q", source, "k", "p", valid, known), cs)
+                # the regions around a point are one per level; the best of them holds there, and no block has two
+                met = [r for r in regions if r["source_id"] == source and r["from_us"] <= valid and (r["to_us"] is None or valid < r["to_us"]) and r["known_from_us"] <= known and (r["known_to_us"] is None or known < r["known_to_us"])]
+                assert len({(r["level"], r["block"]) for r in met}) == len(met)
+                by_id = {x[0]: (x[7] is not None, x[7] or 0, x[6], x[0]) for x in cs}
+                assert max((by_id[r["claim"]] for r in met), default=None) == want
+    assert asof.current_regions(c.limit(0), ["source_id", "scope_key", "predicate"]).regions.count() == 0
+
+
+def test_covering_pairs_against_brute_force(spark):
+    rng = random.Random(8)
+    hour = asof.HOUR_US
+    stamp = lambda: rng.choice([rng.randrange(-hour, 9 * hour), rng.randrange(9) * hour])
+    spans = [(i, rng.choice(["a", "b", None]), x, rng.choice([None, x + rng.randrange(-2, 4 * hour), x + rng.randrange(1, 50)])) for i in range(120) for x in [stamp()]] + [(500, "a", None, 5)]
+    points = [(i, rng.choice(["a", "b", None]), rng.choice([stamp(), spans[i][2], None])) for i in range(100)]
+    p, s = spark.createDataFrame(points, "pid int, k string, at bigint"), spark.createDataFrame(spans, "sid int, k string, lo bigint, hi bigint")
+    got = sorted((r.pid, r.sid) for r in asof.covering(p, s, ["k"], "at", "lo", "hi").collect())
+    assert got == sorted((i, j) for i, k, at in points for j, kk, lo, hi in spans if k == kk and k and at is not None and lo is not None and lo <= at and (hi is None or at < hi))
 
 
 def replay(rows):
