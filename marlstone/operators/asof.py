@@ -12,7 +12,6 @@ are laid over the numbered bounds of each series, so that a claim takes few bloc
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +27,6 @@ OPEN_US = ((1 << HOUR_LEVELS) - HOUR_SHIFT) * HOUR_US
 MICRO_LEVELS = 32
 #: Levels of blocks over numbered bounds.
 BOUND_LEVELS = 40
-#: Parts by recorded time that a crowded block is worked in.
-CHUNKS = 256
 _S = ["_s1", "_s2"]
 
 
@@ -116,59 +113,38 @@ def as_of_join(questions: DataFrame, claims: DataFrame, keys: Sequence[str], hot
     return found.groupBy(F.col("_q").alias("question")).agg(F.max("_best").alias("_best")).select("question", F.col("_best.id").alias("claim"))
 
 
-@dataclass(frozen=True)
-class Regions:
-    """``regions``: _s1, _s2, level, block, known_from_us, known_to_us (null: ever), claim. Block b of level l is the valid time from the series'
-    bound number b * 2**l to the bound number (b + 1) * 2**l. ``bounds``: _s1, _s2, number, at_us. ``series``: _s1, _s2 and the keys."""
+def current_regions(claims: DataFrame, keys: Sequence[str], known_us: int | None = None) -> DataFrame:
+    """The disjoint regions of valid time and the claim current in each as known at ``known_us`` (by default, by all that is recorded): keys,
+    ``from_us``, ``to_us`` (null: open), ``claim``. Neighbouring regions of one series differ in their claim or have a gap between them.
 
-    regions: DataFrame
-    bounds: DataFrame
-    series: DataFrame
-
-    def timed(self) -> DataFrame:
-        """The regions with from_us and to_us, their valid time (to_us null: open)."""
-        size = F.expr("shiftleft(1L, level)")
-        at = lambda name: self.bounds.select(*_S, F.col("number").alias(f"_{name}"), F.when(F.col("at_us") < OPEN_US, F.col("at_us")).alias(f"{name}_us"))
-        placed = self.regions.withColumn("_from", F.col("block") * size).withColumn("_to", (F.col("block") + 1) * size)
-        return placed.join(at("from"), [*_S, "_from"]).join(at("to"), [*_S, "_to"]).drop("_from", "_to")
-
-
-def current_regions(claims: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Regions:
-    """The disjoint current-version regions: per series and valid block, which claim is current from when to when in recorded time.
-
-    Claims as for ``as_of_join``, with the same rows left out. Bounds of a series are numbered by counting those of each hour and of the hours
-    before; blocks with more than ``hot_rows`` claims are worked in parts by recorded time, each given the best of the parts before it.
+    Claims as for ``as_of_join``, with the same rows left out. Bounds of a series are numbered by counting those of each hour and of the
+    hours before; claims are cut into blocks of numbers, each block keeps its best claim, and every bound looks up the blocks around it. No
+    step sorts or gathers a series: what is per block combines before the shuffle, and neighbours are met by number.
     """
-    kept = claims.dropna(subset=[*keys, "id", "from_us", "recorded_us"]).select(
-        *_series(keys), *keys, F.col("from_us").alias("_lo"), F.least(F.coalesce("to_us", F.lit(OPEN_US)), F.lit(OPEN_US)).alias("_hi"), F.col("recorded_us").alias("_rf"),
+    held = claims.dropna(subset=[*keys, "id", "from_us", "recorded_us"])
+    if known_us is not None:
+        held = held.where(F.col("recorded_us") <= known_us)
+    held = held.select(
+        *_series(keys), *keys, F.col("from_us").alias("_lo"), F.least(F.coalesce("to_us", F.lit(OPEN_US)), F.lit(OPEN_US)).alias("_hi"),
         F.struct(F.col("ordinal").isNotNull().alias("has"), F.col("ordinal").alias("ordinal"), F.col("recorded_us").alias("rf"), F.col("id").alias("id")).alias("_best"),
     ).where("_lo < _hi")
-    c = kept.drop(*keys)
-    ends = c.select("*", F.explode(F.array("_lo", "_hi")).alias("_at")).withColumn("_h", _hour(F.col("_at")))
-    inside = Window.partitionBy(*_S, "_h").orderBy("_at")
-    ends = ends.withColumn("_nth", F.dense_rank().over(inside))
+    ends = held.drop(*keys).select("*", F.explode(F.array("_lo", "_hi")).alias("_at")).withColumn("_h", _hour(F.col("_at")))
+    ends = ends.withColumn("_nth", F.dense_rank().over(Window.partitionBy(*_S, "_h").orderBy("_at")))
     before = Window.partitionBy(*_S).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.groupBy(*_S, "_h").agg(F.max("_nth").alias("_n")).select(*_S, "_h", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ends = ends.join(offsets, [*_S, "_h"]).withColumn("number", F.col("_before") + F.col("_nth") - 1)
-    spans = ends.groupBy(*_S, "_best", "_rf", "_lo", "_hi").agg(F.min("number").alias("_from"), F.max("number").alias("_to"))
-    blocks = spans.select(*_S, "_rf", "_best", F.explode(canonical_blocks(F.col("_from"), F.col("_to"), BOUND_LEVELS)).alias("b")).select(*_S, "b.level", "b.block", "_rf", "_best")
-    return Regions(_staircase(blocks, [*_S, "level", "block"], hot_rows), ends.select(*_S, "number", F.col("_at").alias("at_us")).distinct(), kept.select(*_S, *keys).distinct())
-
-
-def _staircase(blocks: DataFrame, cell: list[str], hot_rows: int) -> DataFrame:
-    """Where the running best of a cell changes in order of recording: cell, known_from_us, known_to_us, claim."""
-    at = blocks.groupBy(*cell, "_rf").agg(F.max("_best").alias("_best"))
-    hot = at.join(hot_keys(at, cell, hot_rows), cell, "left_semi")
-    cuts = hot.groupBy(*cell).agg(F.percentile_approx("_rf", [i / CHUNKS for i in range(1, CHUNKS)], 10_000).alias("_cuts"))  # at most rows / hot_rows rows
-    at = at.join(cuts, cell, "left").withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col("_rf"))), F.lit(0))).withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts")
-    chunks = Window.partitionBy(*cell).orderBy("_chunk")
-    carried = at.where("_hot").groupBy(*cell, "_chunk").agg(F.max("_best").alias("_best"))
-    carried = carried.select(*cell, "_chunk", F.max("_best").over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    order = Window.partitionBy(*cell, "_chunk").orderBy("_rf")
-    best = at.join(carried, [*cell, "_chunk"], "left").withColumn("_now", F.greatest(F.max("_best").over(order), F.col("_carry")))
-    best = best.withColumn("_was", F.coalesce(F.lag("_now").over(order), F.col("_carry"))).where("_was is null or not (_was <=> _now)")
-    following = best.where("_hot").groupBy(*cell, "_chunk").agg(F.min("_rf").alias("_first"))
-    following = following.select(*cell, "_chunk", F.lead("_first").over(chunks).alias("_next"))
-    return best.join(following, [*cell, "_chunk"], "left").select(
-        *cell, F.col("_rf").alias("known_from_us"), F.coalesce(F.lead("_rf").over(order), F.col("_next")).alias("known_to_us"), F.col("_now.id").alias("claim")
-    )
+    ends = ends.join(offsets, [*_S, "_h"]).withColumn("_number", F.col("_before") + F.col("_nth") - 1)
+    spans = ends.groupBy(*_S, "_best", "_lo", "_hi").agg(F.min("_number").alias("_from"), F.max("_number").alias("_to"))
+    blocks = spans.select(*_S, "_best", F.explode(canonical_blocks(F.col("_from"), F.col("_to"), BOUND_LEVELS)).alias("b"))
+    best = blocks.groupBy(*_S, F.col("b.level").alias("_level"), F.col("b.block").alias("_block")).agg(F.max("_best").alias("_best"))
+    levels = best.groupBy(*_S).agg(F.collect_set("_level").alias("_levels"))  # at most BOUND_LEVELS + 1 a series
+    bounds = ends.select(*_S, "_number", "_at").distinct()
+    asked = bounds.join(levels, _S).select(*_S, "_number", F.explode("_levels").alias("_level")).withColumn("_block", F.expr("shiftright(_number, _level)"))
+    now = asked.join(best, [*_S, "_level", "_block"]).groupBy(*_S, "_number").agg(F.max("_best").alias("_best")).select(*_S, "_number", F.col("_best.id").alias("_claim"))
+    was = now.select(*_S, (F.col("_number") + 1).alias("_number"), F.col("_claim").alias("_was"))
+    turns = bounds.join(now, [*_S, "_number"], "left").join(was, [*_S, "_number"], "left").where("not (_claim <=> _was)")
+    marks = F.array(F.struct(F.col("_was").alias("claim"), F.lit(1).alias("starts")), F.struct(F.col("_claim").alias("claim"), F.lit(2).alias("starts")))
+    marks = turns.select(*_S, "_at", F.explode(marks).alias("m")).select(*_S, "_at", "m.claim", "m.starts").where("claim is not null")
+    pair = Window.partitionBy(*_S, "claim").orderBy("_at", "starts")
+    regions = marks.withColumn("to_us", F.lead("_at").over(pair)).where("starts = 2")
+    named = regions.join(held.select(*_S, *keys).distinct(), _S)
+    return named.select(*keys, F.col("_at").alias("from_us"), F.when(F.col("to_us") < OPEN_US, F.col("to_us")).alias("to_us"), "claim")

@@ -60,12 +60,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_regions(spark: SparkSession, d: str) -> DataFrame:
-    """What the current-version regions say per source and predicate: claims that are ever current, and those that still are by all that is known."""
-    found = asof.current_regions(_claims(spark, d), _SERIES)
-    per_claim = found.regions.groupBy("_s1", "_s2", "claim").agg(F.bool_or(F.col("known_to_us").isNull()).alias("stays"))
-    per_series = per_claim.groupBy("_s1", "_s2").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("stays").alias("n_current"))
-    named = per_series.join(found.series, ["_s1", "_s2"])
-    return named.groupBy("source_id", "predicate").agg(F.sum("n_claims").alias("n_claims"), F.sum("n_current").alias("n_current"))
+    """The current-version regions by all that is recorded: when each claim is the current one of its series."""
+    regions = asof.current_regions(_claims(spark, d), _SERIES)
+    return regions.select(*_SERIES, "from_us", F.coalesce("to_us", F.lit(-1)).alias("to_us"), F.col("claim").alias("event_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,13 +146,14 @@ WHERE q.query_mode = 'as_of'
 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY c.provider_order.ordinal DESC NULLS LAST, c.recorded_from DESC, c.event_id DESC) = 1""",
     "p4_regions": """
 WITH c AS (
-  SELECT source_id, scope_key, claim.predicate AS predicate, event_id, epoch_us(valid_from) AS lo, coalesce(epoch_us(valid_to), 9000000000000000000) AS hi, epoch_us(recorded_from) AS rf,
-    {'has': provider_order.ordinal IS NOT NULL, 'o': coalesce(provider_order.ordinal, 0), 'rf': epoch_us(recorded_from), 'id': event_id} AS best
+  SELECT source_id, scope_key, claim.predicate AS predicate, event_id, epoch_us(valid_from) AS lo, coalesce(epoch_us(valid_to), 9000000000000000000) AS hi, epoch_us(recorded_from) AS rf, provider_order.ordinal AS o
   FROM temporal_events WHERE claim IS NOT NULL AND valid_from IS NOT NULL AND recorded_from IS NOT NULL AND source_id IS NOT NULL AND scope_key IS NOT NULL AND claim.predicate IS NOT NULL
 ), b AS (SELECT DISTINCT source_id, scope_key, predicate, unnest([lo, hi]) AS pt FROM c WHERE lo < hi),
-met AS (SELECT c.*, pt FROM c JOIN b USING (source_id, scope_key, predicate) WHERE lo <= pt AND pt < hi),
-ever AS (SELECT *, best = max(best) OVER (PARTITION BY source_id, scope_key, predicate, pt ORDER BY rf RANGE UNBOUNDED PRECEDING) AS was, best = max(best) OVER (PARTITION BY source_id, scope_key, predicate, pt) AS stays FROM met)
-SELECT source_id, predicate, count(DISTINCT event_id) FILTER (WHERE was) AS n_claims, count(DISTINCT event_id) FILTER (WHERE stays) AS n_current FROM ever GROUP BY 1, 2""",
+slabs AS (SELECT source_id, scope_key, predicate, pt, event_id FROM b LEFT JOIN c USING (source_id, scope_key, predicate) WHERE lo <= pt AND pt < hi
+  QUALIFY row_number() OVER (PARTITION BY source_id, scope_key, predicate, pt ORDER BY o DESC NULLS LAST, rf DESC, event_id DESC) = 1),
+line AS (SELECT b.*, event_id, lag(event_id) OVER w AS was, lead(pt) OVER w AS upto FROM b LEFT JOIN slabs USING (source_id, scope_key, predicate, pt) WINDOW w AS (PARTITION BY source_id, scope_key, predicate ORDER BY pt)),
+runs AS (SELECT *, sum(CASE WHEN event_id IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, scope_key, predicate ORDER BY pt ROWS UNBOUNDED PRECEDING) AS n FROM line)
+SELECT source_id, scope_key, predicate, min(pt) AS from_us, CASE WHEN max(upto) = 9000000000000000000 THEN -1 ELSE max(upto) END AS to_us, event_id FROM runs WHERE event_id IS NOT NULL GROUP BY source_id, scope_key, predicate, n, event_id""",
     "p6_found": _RUNS + "SELECT partition_key, external_id, provider_revision, policy_id FROM ends WHERE is_alive",
     "p6_outcomes": _RUNS + "SELECT partition_key, is_alive, count(*) AS n FROM ends GROUP BY 1, 2",
     "p7_found": """

@@ -109,28 +109,25 @@ def test_asof_against_brute_force(spark, hot_rows):
     assert asof.as_of_join(q.limit(0), c, keys).count() == asof.as_of_join(q, c.limit(0), keys).count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [200_000, 3])
-def test_regions_hold_the_current_claim_everywhere(spark, hot_rows):
-    rng = random.Random(hot_rows)
+@pytest.mark.parametrize("known", [None, 20, -1])
+def test_regions_hold_the_current_claim_everywhere(spark, known):
+    rng = random.Random(6)
     cs = []
     for i in range(160):
         a = rng.choice([rng.randrange(50), rng.randrange(3 * asof.HOUR_US)])
-        cs.append((i, rng.choice(["s", "t", None]), "k", "p", rng.choice([a, a, None]), rng.choice([None, a + rng.randrange(1, 60), a + rng.randrange(1, 5 * asof.HOUR_US), a]), rng.randrange(40), rng.choice([None, *range(6)])))
+        cs.append((i, rng.choice(["s", "t", None]), "k", "p", rng.choice([a, a, None]), rng.choice([None, a + rng.randrange(1, 60), a + rng.randrange(1, 5 * asof.HOUR_US), a]) if i % 9 else a + 7, rng.randrange(40), rng.choice([None, *range(6)])))
     cs += cs[:20]
     c = spark.createDataFrame(cs, "id bigint, source_id string, scope_key string, predicate string, from_us bigint, to_us bigint, recorded_us bigint, ordinal bigint")
-    found = asof.current_regions(c, ["source_id", "scope_key", "predicate"], hot_rows)
-    regions = [r.asDict() for r in found.timed().join(found.series, ["_s1", "_s2"]).collect()]
+    keys = ["source_id", "scope_key", "predicate"]
+    regions = asof.current_regions(c, keys, known).collect()
     bounds = sorted({x for r in cs for x in r[4:6] if x is not None})
     for source in "st":
-        for valid in rng.sample(bounds, 40):
-            for known in (-1, 0, 7, 20, 39, 100):
-                want = best_claim(("q", source, "k", "p", valid, known), cs)
-                # the regions around a point are one per level; the best of them holds there, and no block has two
-                met = [r for r in regions if r["source_id"] == source and r["from_us"] <= valid and (r["to_us"] is None or valid < r["to_us"]) and r["known_from_us"] <= known and (r["known_to_us"] is None or known < r["known_to_us"])]
-                assert len({(r["level"], r["block"]) for r in met}) == len(met)
-                by_id = {x[0]: (x[7] is not None, x[7] or 0, x[6], x[0]) for x in cs}
-                assert max((by_id[r["claim"]] for r in met), default=None) == want
-    assert asof.current_regions(c.limit(0), ["source_id", "scope_key", "predicate"]).regions.count() == 0
+        own = sorted((r.from_us, r.to_us or 2**62, r.claim) for r in regions if r.source_id == source)
+        assert all(b[0] > a[1] or (b[0] == a[1] and b[2] != a[2]) for a, b in zip(own, own[1:]))  # disjoint, and none continues the one before
+        for valid in [x + d for x in bounds for d in (-1, 0, 1)]:
+            want = best_claim(("q", source, "k", "p", valid, 99 if known is None else known), cs)
+            assert [c for a, b, c in own if a <= valid < b] == ([want[3]] if want else [])
+    assert asof.current_regions(c.limit(0), keys).count() == 0
 
 
 def test_covering_pairs_against_brute_force(spark):
