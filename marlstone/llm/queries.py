@@ -64,8 +64,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
-    model = subjects.fit_subjects(table(spark, d, "labelled_texts"), table(spark, d, "subject_areas"), table(spark, d, "eval_items"))
-    return subjects.subject_areas(table(spark, d, "documents"), model)
+    held_out = table(spark, d, "eval_items")
+    model = subjects.fit_subjects(table(spark, d, "labelled_texts"), table(spark, d, "subject_areas"), held_out)
+    return subjects.subject_areas(table(spark, d, "documents"), model, held_out)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

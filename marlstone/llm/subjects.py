@@ -1,14 +1,15 @@
 """Subject areas of documents by a calibrated classifier chain over term, source and structure features.
 
-A term model tells for each sentence which area it deals with, if any. A chain of logistic models, one per area, then reads
-the document: how much of it each area takes, its structure, its source where the examples have sources, and
-the areas decided before, so that areas that go together are learnt. Scores are calibrated on held-out examples
+A term model tells for each sentence which area it deals with, if any, and how strongly its terms speak for each area. A chain of
+logistic models, one per area, then reads the document: how much of it the area takes, what its terms say for the area, its
+structure, its source where the examples have sources, and the areas decided before, so that areas that go together are learnt. Scores are calibrated on held-out examples
 and the best combination of labels is found by beam search.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -42,6 +43,8 @@ class SubjectSpec:
     quoted_words: int = 8
     #: Characters of documents whose arrays are held at once.
     piece_chars: int = 1 << 19
+    #: Characters of texts to ignore up to which their runs of words are sent to the tasks.
+    sent_chars: int = 16_000_000
     seed: int = 11
 
 
@@ -56,6 +59,10 @@ class TermModel:
 
     def probabilities(self, words: Words) -> np.ndarray:
         """Per segment, the probability of each area and, last, of none; a segment like no example deals with none."""
+        return self.evidence(words)[0]
+
+    def evidence(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities and, per segment and area, the weight of its terms for the area against none."""
         n = len(words.real)
         hashes, owner, single = term_hashes(words, self.function_words)
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
@@ -70,11 +77,12 @@ class TermModel:
             scores[owner[first]] = np.add.reduceat(self.weights[at], first, axis=0)
             norm[owner[first]] = np.add.reduceat(self.idf[at] ** 2, first)
         scores = scores / np.maximum(np.sqrt(norm + strange), 1e-6)[:, None] + self.bias
+        told = scores[:, :-1] - scores[:, -1:]
         scores -= scores.max(1, keepdims=True)
         p = np.exp(scores)
         p /= p.sum(1, keepdims=True)
-        p[foreign] = np.eye(1, p.shape[1], p.shape[1] - 1)
-        return p
+        p[foreign], told[foreign] = np.eye(1, p.shape[1], p.shape[1] - 1), told.min(initial=0.0)
+        return p, told
 
 
 def _adam(gradient, shapes: Sequence[tuple[int, ...]], steps: int, rate: float) -> list[np.ndarray]:
@@ -123,16 +131,18 @@ def _fit_terms(words: Words, targets: np.ndarray, function_words: np.ndarray, sp
     return TermModel(function_words, terms if len(terms) else np.array([NO_HASH]), w * idf[:, None], idf, b, float(np.log(1 + len(rows))) if len(rows) else 1.0)
 
 
-STRUCTURES = ("object", "markup", "heading", "code", "table")
+#: Forms of lines; a document's structure is the part of its lines that have each form.
+_FORMS = {
+    "object": re.compile(r"^[ \t]*[\[\]{}\"]", re.M), "markup": re.compile(r"^[ \t]*</?\w", re.M), "heading": re.compile(r"^#+ ", re.M),
+    "code": re.compile(r"^(?:import|from|def|class|return|if|for|\"\"\"|@)\b|^(?: {4}|\t)\S", re.M), "table": re.compile(r"^[ \t]*(?:--|CREATE|SELECT|INSERT|ALTER|\|)", re.M), "item": re.compile(r"^[ \t]*[-*+] ", re.M),
+}
+STRUCTURES = tuple(_FORMS)
 _SOURCE_BUCKETS = 8
 
 
 def _structure(text: str) -> list[float]:
-    head = text[:400].lstrip()
-    return [
-        float(head.startswith(("{", "["))), float(head.startswith("<")), float(head.startswith("#")),
-        float(head.startswith(('"""', "import ", "def ", "from ", "class "))), float("CREATE TABLE" in head or head.startswith("--")),
-    ]
+    lines = text.count("\n") + 1
+    return [sum(1 for _ in form.finditer(text)) / lines for form in _FORMS.values()]
 
 
 def _source_features(source: str | None) -> np.ndarray:
@@ -155,32 +165,36 @@ def mixed(p: np.ndarray, owner: np.ndarray, n: int, rounds: int = 6, calm: float
     return q
 
 
-def _document_features(p: np.ndarray, owner: np.ndarray, n: int, areas: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per document: for each area its share of sentences, its mean probability; and general ones (size, none, spread)."""
+def _document_features(p: np.ndarray, told: np.ndarray, owner: np.ndarray, n: int, areas: int, spec: SubjectSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Per document: for each area its share of sentences, its mean probability, what its terms say for it; and general ones (size, none, spread)."""
     p = mixed(p, owner, n)
     count = np.bincount(owner, minlength=n).astype(np.float32)
     of = np.maximum(count, 1)[:, None]
     hard = np.zeros((n, areas + 1), np.float32)
-    np.add.at(hard, (owner, np.where(p.max(1) < SubjectSpec.least_probability, areas, p.argmax(1))), 1.0)
+    np.add.at(hard, (owner, np.where(p.max(1) < spec.least_probability, areas, p.argmax(1))), 1.0)
     soft = np.stack([np.bincount(owner, weights=p[:, j], minlength=n) for j in range(areas + 1)], 1).astype(np.float32)
     hard, soft = hard / of, soft / of
+    terms = np.stack([np.bincount(owner, weights=np.maximum(told[:, j], 0), minlength=n) for j in range(areas)], 1).astype(np.float32) / of
     general = np.stack([np.log1p(count), (count == 0).astype(np.float32), hard[:, areas], soft[:, areas], 1 / (1 + count)], 1)
-    return np.stack([hard[:, :areas], soft[:, :areas]], 2), general
+    return np.stack([hard[:, :areas], soft[:, :areas], terms], 2), general
 
 
 @dataclass
 class Chain:
-    """Logistic link per area over its own shares, the greatest other share, general features and the areas before it."""
+    """Logistic link per area over its own shares and terms, the greatest other share, general features and the areas before it."""
 
     weights: list[np.ndarray] = field(default_factory=list)
     scale: list[tuple[float, float]] = field(default_factory=list)
 
-    @staticmethod
-    def inputs(j: int, shares: np.ndarray, general: np.ndarray, before: np.ndarray) -> np.ndarray:
+    #: Places where a link may bend over its own shares; which of them count is learnt.
+    KNOTS = np.linspace(0.04, 0.96, 24, dtype=np.float32)
+
+    @classmethod
+    def inputs(cls, j: int, shares: np.ndarray, general: np.ndarray, before: np.ndarray) -> np.ndarray:
         other = np.delete(shares[:, :, 0], j, 1).max(1, keepdims=True) if shares.shape[1] > 1 else np.zeros((len(shares), 1))
         own = shares[:, j, :]
-        near = np.clip((own - 0.25) * 20, -3, 3)  # around the share that counts
-        return np.concatenate([own * 4, near, other, general, before, np.ones((len(shares), 1))], 1).astype(np.float32)
+        bent = [np.clip((own[:, part, None] - cls.KNOTS) * 25, 0, 2) for part in (0, 1)]
+        return np.concatenate([own, *bent, other, general, before, np.ones((len(shares), 1))], 1).astype(np.float32)
 
     def fit(self, shares: np.ndarray, general: np.ndarray, labels: np.ndarray, held_out: np.ndarray) -> Chain:
         for j in range(labels.shape[1]):
@@ -234,20 +248,22 @@ class SubjectModel:
             parts.append(np.stack([_source_features(s) for s in sources]) if len(texts) else np.zeros((0, _SOURCE_BUCKETS), np.float32))
         return np.concatenate(parts, 1)
 
-    def label(self, texts: Sequence[str], sources: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def label(self, texts: Sequence[str], sources: Sequence[str | None], ignored: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``ignored``: sorted hashes to use instead of the model's own."""
         words = read_words(texts)
         real = words.real.copy()
-        if len(self.ignored) and len(words.hashes):
+        ignored = self.ignored if ignored is None else ignored
+        if len(ignored) and len(words.hashes):
             grams = kgram_hashes(words.hashes, words.owner, self.spec.quoted_words)
-            at = np.minimum(np.searchsorted(self.ignored, grams), len(self.ignored) - 1)
-            hits = np.flatnonzero((self.ignored[at] == grams) & (grams != NO_HASH))
+            at = np.minimum(np.searchsorted(ignored, grams), len(ignored) - 1)
+            hits = np.flatnonzero((ignored[at] == grams) & (grams != NO_HASH))
             quoted = np.zeros(len(words.hashes) + self.spec.quoted_words, bool)
             for s in range(self.spec.quoted_words):
                 quoted[hits + s] = True
             part = np.bincount(words.sentence, weights=quoted[: len(words.hashes)], minlength=len(real))
             real &= part * 2 < np.bincount(words.sentence, minlength=len(real))
-        p = self.terms.probabilities(words)[real]
-        shares, general = _document_features(p, words.sentence_owner[real], len(texts), len(self.areas))
+        p, told = self.terms.evidence(words)
+        shares, general = _document_features(p[real], told[real], words.sentence_owner[real], len(texts), len(self.areas), self.spec)
         return self.chain.decode(shares, self._general(general, texts, sources), self.spec.beam)
 
 
@@ -298,34 +314,47 @@ def train(examples: Sequence[tuple[str, Sequence[str], str | None]], areas: Sequ
     # what the model says of sentences of texts it has not seen
     rng = np.random.default_rng(spec.seed)
     fold = rng.integers(0, spec.folds, len(texts))[words.sentence_owner] if len(texts) else np.empty(0, int)
-    unseen = np.zeros((n, len(areas) + 1), np.float32)
+    unseen, told = np.zeros((n, len(areas) + 1), np.float32), np.zeros((n, len(areas)), np.float32)
     for f in range(spec.folds):
-        if (fold == f).any():
-            unseen[fold == f] = _fit_terms(words, np.where((fold == f)[:, None], 0, targets), function, spec).probabilities(words)[fold == f]
+        mine = fold == f
+        if mine.any():
+            p, t = _fit_terms(words, np.where(mine[:, None], 0, targets), function, spec).evidence(words)
+            unseen[mine], told[mine] = p[mine], t[mine]
     with_source = any(s for _, _, s in examples)
-    chain = _fit_chain(unseen, targets, words, texts, [s for _, _, s in examples], areas, spec, with_source, rng)
+    chain = _fit_chain(unseen, told, targets, words, texts, [s for _, _, s in examples], areas, spec, with_source, rng)
     quoted = word_hashes(list(ignored))
     grams = np.unique(kgram_hashes(*quoted, spec.quoted_words))
     return SubjectModel(areas, model, chain, spec, with_source, grams[grams != NO_HASH])
 
 
-def _fit_chain(p: np.ndarray, targets: np.ndarray, words: Words, texts, sources, areas, spec: SubjectSpec, with_source: bool, rng) -> Chain:
-    """Documents composed of example sentences in known parts are the chain's examples, beside the examples themselves."""
+def _label_sets(targets: np.ndarray, owner: np.ndarray, n: int, areas: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the examples show of areas that go together: how many areas a text has (none and one more than any has keep a small chance),
+    how frequent each is, how often each pair meets."""
+    has = np.zeros((n, areas), bool)
+    row, area = np.nonzero(targets[:, :areas])
+    has[owner[row], area] = True
+    sizes = np.append(np.bincount(has.sum(1), minlength=2), 0) + max(n, 1) * 0.04
+    return sizes / sizes.sum(), has.sum(0).astype(float), has.T.astype(float) @ has.astype(float)
+
+
+def _fit_chain(p: np.ndarray, told: np.ndarray, targets: np.ndarray, words: Words, texts, sources, areas, spec: SubjectSpec, with_source: bool, rng) -> Chain:
+    """Documents composed of example sentences in known parts are the chain's examples, beside the examples themselves.
+
+    How many areas a composed document deals with and which go together is drawn as the examples have it (pairs never seen keep a small
+    chance); its structure and source are those of the texts its sentences come from.
+    """
     real = np.flatnonzero(words.real & (targets.sum(1) > 0))
     of_area = [real[targets[real, j] == 1] for j in range(len(areas) + 1)]
-    filled = [j for j in range(len(areas)) if len(of_area[j])]
-    together = Counter()
-    for t in range(len(texts)):
-        own = np.unique(targets[real[words.sentence_owner[real] == t]].argmax(1)) if len(real) else []
-        together[tuple(int(a) for a in own if a < len(areas))] += 1
-    pairs = [c for c in together if len(c) == 2]
-    picks, owner, labels, kept = [], [], [], []
-    for i in range(spec.composed if filled else 0):
+    filled = np.array([j for j in range(len(areas)) if len(of_area[j])], int)
+    sizes, often, together = _label_sets(targets[real], words.sentence_owner[real], len(texts), len(areas))
+    picks, owner, labels, texts_of = [], [], [], []
+    for _ in range(spec.composed if len(filled) else 0):
         size = int(rng.integers(3, 36))
-        kinds = rng.choice(4, p=[0.05, 0.62, 0.29, 0.04])
-        main = list(rng.choice(filled, min(int(kinds), len(filled)), replace=False))
-        if kinds == 2 and pairs and rng.random() < 0.5:
-            main = list(pairs[int(rng.integers(len(pairs)))])
+        main: list[int] = []
+        for _ in range(min(int(rng.choice(len(sizes), p=sizes)), len(filled))):
+            chance = (together[main].sum(0) if main else often)[filled] + 0.5
+            chance[np.isin(filled, main)] = 0
+            main.append(int(rng.choice(filled, p=chance / chance.sum())))
         none = rng.uniform(0, 0.35) if len(of_area[-1]) else 0.0
         stray = rng.uniform(0, 0.15)
         weight = np.zeros(len(areas) + 1)
@@ -341,65 +370,90 @@ def _fit_chain(p: np.ndarray, targets: np.ndarray, words: Words, texts, sources,
         picks.append(np.array([of_area[a][int(rng.integers(len(of_area[a])))] for a in drawn]))
         owner.append(np.full(size, len(labels)))
         labels.append(np.bincount(drawn, minlength=len(areas) + 1)[: len(areas)] / size >= spec.least_share)
-        kept.append(-1)
+        texts_of.append(words.sentence_owner[picks[-1]])
     for t in range(len(texts)):  # the examples as they are
         mine = real[words.sentence_owner[real] == t]
         picks.append(mine)
         owner.append(np.full(len(mine), len(labels)))
         share = targets[mine, : len(areas)].sum(0) / max(len(mine), 1)
         labels.append(share >= spec.least_share)
-        kept.append(t)
+        texts_of.append(np.array([t]))
     n = len(labels)
     if not n:
         picks, owner = [np.empty(0, int)], [np.empty(0, int)]
-    shares, general = _document_features(p[np.concatenate(picks)], np.concatenate(owner).astype(int), n, len(areas))
-    structure = np.zeros((n, len(STRUCTURES)), np.float32)
-    source = np.zeros((n, _SOURCE_BUCKETS), np.float32)
-    for i, t in enumerate(kept):
-        if t >= 0:
-            structure[i] = _structure(texts[t])
-            source[i] = _source_features(sources[t])
-        else:
-            structure[i, int(rng.integers(len(STRUCTURES)))] = float(rng.random() < 0.6)  # any form may hold any area
-    general = np.concatenate([general, structure, source] if with_source else [general, structure], 1)
+    at = np.concatenate(picks).astype(int)
+    shares, general = _document_features(p[at], told[at], np.concatenate(owner).astype(int), n, len(areas), spec)
+    forms = np.array([_structure(t) for t in texts], np.float32).reshape(len(texts), len(STRUCTURES))
+    own = np.stack([_source_features(s) for s in sources]) if len(texts) else np.zeros((0, _SOURCE_BUCKETS), np.float32)
+    mean = lambda values: np.array([values[t].mean(0) for t in texts_of], np.float32).reshape(n, values.shape[1])
+    general = np.concatenate([general, mean(forms), mean(own)] if with_source else [general, mean(forms)], 1)
     y = np.array(labels, np.float32).reshape(n, len(areas))
     held = rng.random(n) < 0.25
     if not n:
-        shares, general, y, held = np.zeros((2, len(areas), 2)), np.zeros((2, general.shape[1])), np.zeros((2, len(areas))), np.array([True, False])
+        shares, general, y, held = np.zeros((2, len(areas), 3)), np.zeros((2, general.shape[1])), np.zeros((2, len(areas))), np.array([True, False])
     return Chain().fit(shares, general, y, held)
 
 
 def fit_subjects(labelled: DataFrame, areas: DataFrame, ignored: DataFrame | None = None, spec: SubjectSpec = SubjectSpec()) -> SubjectModel:
     """The model from ``labelled`` (text_id, item_text, areas and, if there is one, source), at most ``spec.max_examples`` rows of it.
 
-    ``areas`` (area) names the labels; a label outside it is ignored. ``ignored`` (item_text) holds texts whose quotations in documents
-    do not count. All three are small reference tables: the first is bounded by the parameter, the others are
-    checked against it too.
+    ``areas`` (area) names the labels; a label outside it is ignored, and one that no example has cannot be learnt. ``ignored`` (item_text) holds texts whose
+    quotations in documents do not count; beyond ``spec.sent_chars`` characters they stay with Spark: pass them to ``subject_areas`` then.
     """
     source = F.col("source") if "source" in labelled.columns else F.lit(None).cast("string")
     rows = labelled.where("item_text is not null").select("text_id", "item_text", "areas", source.alias("source"))
     taken = rows.orderBy(F.xxhash64("text_id"), "text_id").limit(spec.max_examples).collect()
-    names = [r[0] for r in areas.where("area is not null").select("area").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 areas")
-    quotes: list[str] = []
-    if ignored is not None:
-        held = ignored.where("item_text is not null").select("item_text")
-        size = held.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
-        if size > 16_000_000:
-            raise ValueError("more than 16 million characters of texts to ignore")
-        quotes = sorted(r[0] for r in held.collect())
+    used = sorted({a for r in taken for a in r["areas"] or [] if a is not None})  # bounded by the examples
+    names = [r[0] for r in areas.where(F.col("area").isin(used)).select("area").distinct().collect()]
+    quotes = sorted(r[0] for r in _quotable(ignored).collect()) if ignored is not None and not _is_large(ignored, spec) else []
     examples = sorted(((r["text_id"], r["item_text"], r["areas"] or [], r["source"]) for r in taken), key=lambda e: (e[0] is None, e[0], e[1]))
-    return train([e[1:] for e in examples], names, spec, quotes)
+    told = [e[1:] for e in examples]
+    key = hashlib.sha256(repr((told, sorted(names), spec, quotes)).encode()).hexdigest()
+    if key not in _fitted:
+        _fitted.clear()  # one model is kept
+        _fitted[key] = train(told, names, spec, quotes)
+    return _fitted[key]
+
+
+_fitted: dict[str, SubjectModel] = {}
+
+
+def _quotable(ignored: DataFrame) -> DataFrame:
+    return ignored.where("item_text is not null").select("item_text")
 
 
-def subject_areas(documents: DataFrame, model: SubjectModel) -> DataFrame:
+def _is_large(ignored: DataFrame, spec: SubjectSpec) -> bool:
+    return _quotable(ignored).agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] > spec.sent_chars
+
+
+def _runs_of(texts: DataFrame, spec: SubjectSpec) -> DataFrame:
+    """The distinct runs of ``spec.quoted_words`` words of each text (id, text), as hashes: id, run."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, text in zip(pdf["id"], pdf["text"]):
+                grams = np.unique(kgram_hashes(*word_hashes([text]), spec.quoted_words))
+                grams = grams[grams != NO_HASH]
+                if len(grams):
+                    yield pd.DataFrame({"id": key, "run": grams.view(np.int64)})
+
+    return texts.mapInPandas(run, "id bigint, run bigint")
+
+
+def subject_areas(documents: DataFrame, model: SubjectModel, ignored: DataFrame | None = None) -> DataFrame:
     """doc_id, areas (sorted array, empty for none), confidence (calibrated probability of the combination) and n_chars, for each row.
 
     Null and empty texts have no areas. Rows without id are left out; a repeated row gives its row again. Whole texts are
-    read; only a text longer than ``spec.piece_chars`` takes more memory than others. Other columns are ignored.
+    read; only a text longer than ``spec.piece_chars`` takes more memory than others. Other columns are ignored. ``ignored`` (item_text) as for
+    ``fit_subjects``: a set too large to be sent along is met by a join of runs of words, with the same result.
     """
-    has_source = "source" in documents.columns
+    source = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text", source.alias("source"))
+    joined = ignored is not None and _is_large(ignored, model.spec)
+    if joined:
+        quoted = _runs_of(_quotable(ignored).select(F.lit(0).cast("bigint").alias("id"), F.col("item_text").alias("text")), model.spec).select("run").distinct()
+        texts = rows.where("text is not null").select(F.col("doc_id").alias("id"), "text")
+        met = _runs_of(texts, model.spec).join(quoted, "run", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("run").alias("runs"))  # a document's own quotations
+        rows = rows.join(met, "doc_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -407,12 +461,14 @@ def subject_areas(documents: DataFrame, model: SubjectModel) -> DataFrame:
             piece = np.cumsum(sizes) // model.spec.piece_chars
             for at in np.split(np.arange(len(pdf)), np.flatnonzero(piece[1:] != piece[:-1]) + 1) if len(pdf) else []:
                 texts = [t or "" for t in pdf["text"].iloc[at]]
-                y, p = model.label(texts, [s or None for s in pdf["source"].iloc[at]])
+                runs = None
+                if joined:
+                    held = [np.asarray(r, np.int64) for r in pdf["runs"].iloc[at] if r is not None]
+                    runs = np.unique(np.concatenate(held).view(np.uint64)) if held else np.empty(0, np.uint64)
+                y, p = model.label(texts, [s or None for s in pdf["source"].iloc[at]], runs)
                 names = [[model.areas[j] for j in np.flatnonzero(row)] for row in y]
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at].to_numpy(), "areas": names, "confidence": p, "n_chars": sizes[at]})
 
-    source = F.col("source").cast("string") if has_source else F.lit(None).cast("string")
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text", source.alias("source"))
     return rows.mapInPandas(run, "doc_id bigint, areas array<string>, confidence double, n_chars bigint")
 
 

@@ -233,6 +233,22 @@ def test_subjects_on_awkward_rows(spark, labelled):
     quoted, _ = model.label([labelled[1][0]], [None])
     assert not quoted.any()
     assert subjects.composition(subjects.subject_areas(df, model)).where("area is null").first().n_docs == 4
+    # a set of quoted texts too large to be sent along gives the same
+    ignored = spark.createDataFrame([(labelled[0][0],), (labelled[1][0],), (None,)], "item_text string")
+    sent = subjects.train(labelled, areas, subjects.SubjectSpec(composed=800, steps=120), ignored=[labelled[0][0], labelled[1][0]])
+    kept = subjects.train(labelled, areas, subjects.SubjectSpec(composed=800, steps=120, sent_chars=10))
+    docs = spark.createDataFrame([(i, labelled[i][0], None) for i in range(6)], "doc_id bigint, text string, source string")
+    show = lambda rows: sorted((r.doc_id, tuple(r.areas)) for r in rows.collect())
+    assert show(subjects.subject_areas(docs, kept, ignored)) == show(subjects.subject_areas(docs, sent)) and show(subjects.subject_areas(docs, kept, ignored))[0] == (0, ())
+
+
+def test_links_learn_from_structure_source_and_fields(labelled):
+    areas = sorted({a for _, own, _ in labelled for a in own})
+    told = [(t, a, "src-" + a[0]) for t, a, _ in labelled]
+    model = subjects.train(told, areas, subjects.SubjectSpec(composed=800, steps=120))
+    assert model.with_source and all(np.isfinite(w).all() for w in model.chain.weights)
+    shape = dict(zip(subjects.STRUCTURES, subjects._structure("# T\n" + "{\n" * 3)))
+    assert shape["heading"] == 0.2 and shape["object"] == 0.6 and shape["code"] == 0.0
 
 
 def test_sentences_are_told_from_code_and_headings():
