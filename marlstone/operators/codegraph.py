@@ -60,11 +60,26 @@ def _walk(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, calls
 
 
+def _small(text: str) -> bool:
+    return len(text) * 4 <= MAX_BYTES or len(text.encode("utf-8", "surrogatepass")) <= MAX_BYTES
+
+
+def unread_files(files: DataFrame) -> DataFrame:
+    """Python files (path, text) that give no symbols, with why: empty, too_large (by bytes) or unparsable. Their text windows are made all the same."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, "empty" if not t else "too_large" if not _small(t) else "unparsable") for p, t in zip(pdf["path"], pdf["text"]) if not t or not _small(t) or not _walk(p, t)[0]]
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "reason"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, reason string")
+
+
 def python_symbols(files: DataFrame) -> DataFrame:
     """Symbols of Python files (path, text): modules, classes, methods, functions. Files that do not parse or are too large give none."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [s for p, t in zip(pdf["path"], pdf["text"]) if t and len(t) <= MAX_BYTES for s in _walk(p, t)[0]]
+            rows = [s for p, t in zip(pdf["path"], pdf["text"]) if t and _small(t) for s in _walk(p, t)[0]]
             if rows:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])
 
@@ -75,7 +90,7 @@ def python_calls(files: DataFrame) -> DataFrame:
     """Calls in Python files: caller is the enclosing symbol's name, '' at module level."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [c for p, t in zip(pdf["path"], pdf["text"]) if t and len(t) <= MAX_BYTES for c in _walk(p, t)[1]]
+            rows = [c for p, t in zip(pdf["path"], pdf["text"]) if t and _small(t) for c in _walk(p, t)[1]]
             if rows:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")])
 
@@ -157,15 +172,26 @@ def ddl_tables(files: DataFrame) -> DataFrame:
     return parts.withColumn("line", before + F.length(lead) - F.length(F.replace(lead, F.lit("\n"), F.lit(""))) + 1).where(name != "").select("path", name.alias("table_name"), "line", columns.alias("columns"))
 
 
+#: What statements of a database literal begin with, those that change something, and graph query clauses (fixed values).
+SQL_HEADS = (
+    r"SELECT\s", r"INSERT\s+(INTO|OR)\s", r"UPDATE\s+\S+\s+SET\s", r"DELETE\s+FROM\s", r"CREATE\s+(OR\s+REPLACE\s+)?(TEMP\s+|TEMPORARY\s+)?(TABLE|VIEW|INDEX|MATERIALIZED\s+VIEW)\s",
+    r"DROP\s+(TABLE|VIEW|INDEX)\s", r"ALTER\s+TABLE\s", r"TRUNCATE\s+(TABLE\s+)?\S", r"REPLACE\s+INTO\s", r"MERGE\s+INTO\s", r"WITH\s+\w+\s+AS\s*\(",
+)
+SQL_WRITES = ("INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER", "TRUNCATE", "REPLACE", "MERGE")
+GRAPH_CLAUSES = (r"OPTIONAL\s+MATCH", r"DETACH\s+DELETE", "MATCH", "MERGE", "CREATE", "UNWIND", "RETURN", "SET", "REMOVE", "DELETE")
+GRAPH_WRITES = ("CREATE", "MERGE", "SET", "DELETE", "REMOVE")
+LITERAL_PATTERNS = {
+    "named": r"[(\[]\s*\w*\s*:\s*[A-Za-z_]\w*", "clause": rf"\b({'|'.join(GRAPH_CLAUSES)})\b", "graph_write": rf"\b({'|'.join(GRAPH_WRITES)})\b",
+    "sql": rf"(?i)^\s*({'|'.join(SQL_HEADS)})", "sql_write": rf"(?i)^\s*({'|'.join(SQL_WRITES)})\b", "sentence": r"[.!?]\s*$",
+}
+
+
 def literal_access(literal: Column) -> Column:
-    """What a text literal does: cypher_write, cypher_read, sql_write, sql_read, or null. Graph queries are told first, by a clause and a pattern."""
-    cypher = literal.rlike(r"(?i)\b(match|merge|create|unwind)\b") & literal.rlike(r"\(\s*\w*\s*:?\s*\w*[^)]*\)\s*(-\[|$|\s|-)") & literal.rlike(r"\(\w*:\w+|-\[|\]->|<-\[")
-    sentence = literal.rlike(r"[.!?]\s*$")
-    read, write = literal.rlike(r"(?is)^\s*(select|with)\b.*\bfrom\b"), literal.rlike(r"(?is)^\s*(insert\s+into|update|delete\s+from)\b")
-    return (
-        F.when(cypher & literal.rlike(r"(?i)\b(create|merge|set|delete|remove)\b"), "cypher_write").when(cypher, "cypher_read")
-        .when(write & ~sentence, "sql_write").when(read & ~sentence, "sql_read")
-    )
+    """What a text literal does: cypher_write, cypher_read, sql_write, sql_read, or null. Graph queries are told first, by a clause in capitals and a
+    named node or relation; a literal that ends like a sentence is no SQL."""
+    has = {name: literal.rlike(pattern) for name, pattern in LITERAL_PATTERNS.items()}
+    graph, sql = has["named"] & has["clause"], has["sql"] & ~has["sentence"]
+    return F.when(graph & has["graph_write"], "cypher_write").when(graph, "cypher_read").when(sql & has["sql_write"], "sql_write").when(sql, "sql_read")
 
 
 def tested_by(symbols: DataFrame, calls: DataFrame) -> DataFrame:

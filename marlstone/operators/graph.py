@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.skew import HOT_ROWS, hot_keys
 from marlstone.session import checkpointed
 
 DAMPING = 0.5
@@ -26,7 +27,7 @@ def reset_vector(seeds: DataFrame) -> DataFrame:
     return summed.select("id", (F.col("value") / F.lit(total or 1.0)).alias("p"))
 
 
-def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 24, whole: bool = False) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 24, whole: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Personalised PageRank by power iteration: id, score.
 
     ``edges`` are directed and weighted (``mirrored``), ``reset`` is a distribution (id, p). A vertex without edges returns to the
@@ -35,13 +36,25 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = D
     then rounds go on until no vertex is newly reached.
 
     Only vertices of the reset vector can be dangling and hold weight, so the dangling weight follows from one number and the
-    rounds need no sum over the table. A round is one join on the source and one combined sum.
+    rounds need no sum over the table. A round is one join on the source and one combined sum. The edges of a vertex with more than
+    ``hot_rows`` of them are laid out in several parts, which its rank is sent to.
     """
     edges = edges.select("src", "dst", "weight")
     strength = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
     # the edges are laid out by source once; a round then moves ranks only
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    walk = checkpointed(edges.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")).repartition(parts, "src"))
+    hubs = checkpointed(hot_keys(edges, ["src"], hot_rows))  # at most edges / hot_rows vertices
+    hub_less = hubs.isEmpty()
+    lane = F.lit(0) if hub_less else F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_salts")).cast("int"), F.lit(0))
+    shares = (edges if hub_less else edges.join(F.broadcast(hubs), "src", "left")).withColumn("_lane", lane).join(strength, "src")
+    walk = checkpointed(shares.select("src", "_lane", "dst", (F.col("weight") / F.col("_all")).alias("share")).repartition(parts, "src", "_lane"))
+
+    def in_lanes(rank: DataFrame) -> DataFrame:
+        if hub_less:
+            return rank.withColumn("_lane", F.lit(0))
+        salted = rank.join(F.broadcast(hubs.withColumnRenamed("src", "id")), "id", "left")
+        return salted.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+
     reset = reset.select("id", "p")
     total, lost = reset.join(walk.select(F.col("src").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").agg(
         F.coalesce(F.sum("p"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("p"))), F.lit(0.0))
@@ -52,7 +65,7 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = D
     r, reached = 0, None
     while r < rounds or whole:
         base = (1 - damping) + damping * dangling
-        moved = walk.join(rank, walk["src"] == rank["id"]).select(F.col("dst").alias("id"), (F.col("share") * F.col("score") * damping).alias("score"))
+        moved = walk.join(in_lanes(rank).withColumnRenamed("id", "src"), ["src", "_lane"]).select(F.col("dst").alias("id"), (F.col("share") * F.col("score") * damping).alias("score"))
         rank = moved.unionByName(reset.select("id", (F.col("p") * base).alias("score"))).groupBy("id").agg(F.sum("score").alias("score"))
         dangling = base * lost
         r += 1

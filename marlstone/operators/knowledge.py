@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,35 +92,42 @@ def code_specificity(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind").isin("INVOKES", "READS", "WRITES")).groupBy(F.col("b").alias("id")).agg((F.count(F.lit(1)) + 1).alias("specificity"))
 
 
-def synonym_pairs(keys: DataFrame, min_score: float = SYNONYM_SCORE, per_key: int = SYNONYM_TOP, blocks: int = 16) -> DataFrame:
+def synonym_pairs(keys: DataFrame, min_score: float = SYNONYM_SCORE, per_key: int = SYNONYM_TOP, block_rows: int = 4096) -> DataFrame:
     """Pairs of keys (id, name, embedding) whose cosine reaches ``min_score``, exactly; each key keeps its ``per_key`` best, ties by id.
 
-    The product is taken block against block in numpy: a key goes to one block as a row and to every block as a query.
-    Short phrases are no keys. For collections too large for an exact product use an index over the vectors.
+    Keys fall into blocks of about ``block_rows``; a task takes the product of two blocks, each pair of blocks once. So a task holds two blocks
+    however many keys there are, and work spreads over all pairs of blocks. Short phrases are no keys. Exact products grow
+    with the square of the keys: for very large collections use an index over the vectors.
     """
     import numpy as np
     import pandas as pd
 
     usable = keys.where(is_meaningful_phrase("name") & F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("v"))
     usable = usable.where(dot(F.col("v"), F.col("v")) > 0)
-    held = usable.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("own", F.lit(True))
-    asked = usable.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("own", F.lit(False))
+    blocks = max(1, -(-usable.count() // block_rows))
+    placed = usable.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    tiled = placed.withColumn("other", other).select("id", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, queries = pdf[pdf["own"]].sort_values("id"), pdf[~pdf["own"]]
-        empty = pd.DataFrame({"id": [], "other": [], "score": []}).astype({"id": object, "other": object, "score": float})
-        if not len(rows) or not len(queries):
-            return empty
-        out, r, names = [], np.stack(rows["v"].to_numpy()), rows["id"].to_numpy()
-        for at in range(0, len(queries), 1000):
-            some = queries.iloc[at : at + 1000]
-            q, ids = np.stack(some["v"].to_numpy()), some["id"].to_numpy()
-            i, j = np.nonzero(q @ r.T >= min_score - 1e-12)
-            out.append(pd.DataFrame({"id": ids[i], "other": names[j], "score": (q[i] * r[j]).sum(1)}))
-        found = pd.concat([empty, *out])
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        rows, queries = (pdf[pdf["block"] == b].sort_values("id") for b in (lo, hi))
+        out = [pd.DataFrame({"id": [], "other": [], "score": []}).astype({"id": object, "other": object, "score": float})]
+        if len(rows) and len(queries):
+            r, names = np.stack(rows["v"].to_numpy()), rows["id"].to_numpy()
+            for at in range(0, len(queries), 1000):
+                some = queries.iloc[at : at + 1000]
+                q, ids = np.stack(some["v"].to_numpy()), some["id"].to_numpy()
+                i, j = np.nonzero(q @ r.T >= min_score - 1e-12)
+                score = (q[i] * r[j]).sum(1)
+                out.append(pd.DataFrame({"id": ids[i], "other": names[j], "score": score}))
+                if lo != hi:
+                    out.append(pd.DataFrame({"id": names[j], "other": ids[i], "score": score}))
+        found = pd.concat(out)
         return found[found["id"] != found["other"]]
 
-    found = held.unionByName(asked).groupBy("block").applyInPandas(product, "id string, other string, score double")
+    cells = max(1, blocks * (blocks + 1) // 2)
+    found = tiled.repartition(cells, "lo", "hi").groupBy("lo", "hi").applyInPandas(product, "id string, other string, score double")
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_key)
     return top.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("score").alias("score"))
@@ -135,12 +144,12 @@ def extraction_gate(text: Column, least: int = 80) -> Column:
 
 
 def name_index(names: DataFrame) -> DataFrame:
-    """Inverted index of identifiers (id, name): token and its distinct ids, sorted."""
-    return names.select("id", F.explode(F.array_distinct(split_identifier("name"))).alias("token")).groupBy("token").agg(F.count_distinct("id").alias("n_ids"))
+    """Inverted index of identifiers (id, name): a row for each token and id that has it. Rows, not lists, as a token may be in any number of names."""
+    return names.select(F.explode(F.array_distinct(split_identifier("name"))).alias("token"), "id").distinct()
 
 
-def ngrams(passages: DataFrame, longest: int) -> DataFrame:
-    """The distinct runs of 2 to ``longest`` cleaned words of each passage (passage_id, text): passage_id, gram.
+def ngrams(passages: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """The distinct runs of cleaned words of each passage (passage_id, text), of each of the ``lengths``: passage_id, gram.
 
     A passage is one row, so its runs are made in place, in time linear in the text; nothing is shuffled."""
     import pandas as pd
@@ -150,7 +159,7 @@ def ngrams(passages: DataFrame, longest: int) -> DataFrame:
             ids, grams = [], []
             for key, text in zip(pdf["passage_id"], pdf["words"]):
                 w = text.split(" ")
-                own = {" ".join(w[i : i + n]) for n in range(2, longest + 1) for i in range(len(w) - n + 1)}
+                own = {" ".join(w[i : i + n]) for n in lengths for i in range(len(w) - n + 1)}
                 ids += [key] * len(own)
                 grams += sorted(own)
             if ids:
@@ -161,14 +170,15 @@ def ngrams(passages: DataFrame, longest: int) -> DataFrame:
     return words.mapInPandas(run, f"passage_id {kind}, gram string")
 
 
-def references(passages: DataFrame, names: DataFrame, per_passage: int = REFERENCES, longest: int = 4) -> DataFrame:
-    """Names (id, name) that passages (passage_id, text) refer to: by their tokens in a row (two or more), or by the exact spelling.
+def references(passages: DataFrame, names: DataFrame, per_passage: int = REFERENCES) -> DataFrame:
+    """Names (id, name) that passages (passage_id, text) refer to: by their tokens in a row (two or more, however many), or by the exact spelling.
 
-    The better of the two counts per name; the best ``per_passage`` of a passage stay, ties by id.
+    The better of the two counts per name; the best ``per_passage`` of a passage stay, ties by id. Only the different numbers of tokens
+    that names have come to the driver; runs of other lengths are not made.
     """
-    grams = ngrams(passages, longest)
-    keys = names.select("id", F.array_join(split_identifier("name"), " ").alias("gram"), F.size(split_identifier("name")).alias("n")).where(f"n between 2 and {longest}").drop("n")
-    by_gram = grams.join(keys, "gram").select("passage_id", "id", F.lit(PHRASE_OMEGA).alias("omega"))
+    keys = names.select("id", F.array_join(split_identifier("name"), " ").alias("gram"), F.size(split_identifier("name")).alias("n")).where("n >= 2")
+    lengths = sorted(r[0] for r in keys.select("n").distinct().collect())
+    by_gram = ngrams(passages, lengths).join(keys.drop("n"), "gram").select("passage_id", "id", F.lit(PHRASE_OMEGA).alias("omega"))
     words = passages.select("passage_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*"), F.lit(0)))).alias("word"))
     by_name = words.join(names.select("id", F.col("name").alias("word")), "word").select("passage_id", "id", F.lit(EXACT_OMEGA).alias("omega"))
     best = by_gram.unionByName(by_name).groupBy("passage_id", "id").agg(F.max("omega").alias("omega"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.skew import running_sum
+
 
 def lookup_in_order(table: DataFrame, key: str, ids: Sequence) -> DataFrame:
     """Rows of the asked ids with ``pos``, their place in the list; unknown ids give nothing, repeated ones their row again."""
@@ -79,10 +81,11 @@ def tiered_interleave(df: DataFrame, group: str, omega: str, direction: str, nam
     return out.withColumn("position", F.row_number().over(place))
 
 
-def prefix_cut(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str, budget: int) -> DataFrame:
-    """The longest prefix of lines that fits the budget (one character between lines); all after the first that overflows go."""
-    running = F.sum(F.length(text) + 1).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return df.withColumn("running", running).where(F.col("running") <= budget)
+def prefix_cut(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], text: str, budget: int) -> DataFrame:
+    """The longest prefix of lines that fits the budget (one character between lines); all after the first that overflows go. ``bucket``: a
+    coarse value that does not fall along the order, by which long groups are summed in parts."""
+    running = running_sum(df, by, bucket, order, F.length(text) + 1, "running")
+    return running.withColumn("running", F.col("running") - 1).where(F.col("running") <= budget)
 
 
 def greedy_fill(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, budget: int, most: int) -> DataFrame:
@@ -144,9 +147,3 @@ def missing_members(required: DataFrame, present: DataFrame, group: str, member:
 def merged_bundles(rows: DataFrame, key: str, content: str) -> DataFrame:
     """Rows of several bundles by key with ``in_conflict`` where one key comes with different contents; the least content is shown."""
     return rows.groupBy(key).agg(F.min(content).alias(content), (F.count_distinct(content) > 1).alias("in_conflict"), F.count(F.lit(1)).alias("n_bundles"))
-
-
-def table_checksum(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count and order-free checksum of a table; sums combine, so nothing is gathered."""
-    h = F.xxhash64(*cols)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("checksum"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("checksum_sum"))

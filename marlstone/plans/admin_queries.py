@@ -119,7 +119,12 @@ def boosted_passages(spark, d):
 
 
 def literal_access_counts(spark, d):
-    return table(spark, d, "documents").groupBy(F.coalesce(codegraph.literal_access(F.col("text")), F.lit("none")).alias("access")).agg(F.count(F.lit(1)).alias("n"))
+    """What the text literals of Python files and the statements of SQL files do to data."""
+    docs = table(spark, d, "documents").select("path", "text")
+    literals = docs.where("path like '%.py'").select(F.explode(F.regexp_extract_all("text", F.lit(r'"([^"\n]*)"'), F.lit(1))).alias("literal"))
+    statements = docs.where("path like '%.sql'").select(F.explode(F.split("text", ";")).alias("literal"))
+    every = literals.unionAll(statements).where("trim(literal) <> ''")
+    return every.groupBy(F.coalesce(codegraph.literal_access(F.col("literal")), F.lit("none")).alias("access")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def extraction_gate(spark, d):
@@ -197,10 +202,10 @@ SELECT a, b, kind, max(omega)::DOUBLE AS omega, max(CASE WHEN r = 1 THEN provena
 SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, count(*) AS n FROM t JOIN h x ON subject_id = x.id JOIN h y ON object_id = y.id WHERE source_id IS NOT NULL AND x.grp <> y.grp GROUP BY 1, 2""",
     "kind_numbers": "SELECT kind AS community, min(name) AS label, row_number() OVER (ORDER BY min(name)) - 1 AS number FROM sources GROUP BY 1",
     "boosted_passages": "SELECT p.id, chars * CASE WHEN kind = (SELECT kind FROM sources ORDER BY id LIMIT 1) AND EXISTS (SELECT 1 FROM passages q WHERE q.source_id = (SELECT min(id) FROM sources)) THEN 1.5 ELSE 1.0 END::DOUBLE AS score FROM passages p LEFT JOIN sources s ON s.id = p.source_id",
-    "literal_access_counts": r"""
-WITH k AS (SELECT regexp_matches(text, '(?i)\b(match|merge|create|unwind)\b') AND regexp_matches(text, '\(\s*\w*\s*:?\s*\w*[^)]*\)\s*(-\[|$|\s|-)') AND regexp_matches(text, '\(\w*:\w+|-\[|\]->|<-\[') AS cy, regexp_matches(text, '[.!?]\s*$') AS st,
-  regexp_matches(text, '(?is)^\s*(select|with)\b.*\bfrom\b') AS rd, regexp_matches(text, '(?is)^\s*(insert\s+into|update|delete\s+from)\b') AS wr, regexp_matches(text, '(?i)\b(create|merge|set|delete|remove)\b') AS cw FROM documents)
-SELECT CASE WHEN cy AND cw THEN 'cypher_write' WHEN cy THEN 'cypher_read' WHEN wr AND NOT st THEN 'sql_write' WHEN rd AND NOT st THEN 'sql_read' ELSE 'none' END AS access, count(*) AS n FROM k GROUP BY 1""",
+    "literal_access_counts": rf"""
+WITH l AS (SELECT unnest(regexp_extract_all(text, '"([^"\n]*)"', 1)) AS t FROM documents WHERE path LIKE '%.py' UNION ALL SELECT unnest(string_split(text, ';')) FROM documents WHERE path LIKE '%.sql'),
+k AS (SELECT {", ".join(f"regexp_matches(t, '{p}') AS {name}" for name, p in codegraph.LITERAL_PATTERNS.items())} FROM l WHERE trim(t, ' ') <> '')
+SELECT CASE WHEN named AND clause AND graph_write THEN 'cypher_write' WHEN named AND clause THEN 'cypher_read' WHEN sql AND NOT sentence AND sql_write THEN 'sql_write' WHEN sql AND NOT sentence THEN 'sql_read' ELSE 'none' END AS access, count(*) AS n FROM k GROUP BY 1""",
     "extraction_gate": "SELECT CASE WHEN text IS NULL THEN 'none' WHEN length(trim(text)) < 80 THEN 'empty' ELSE 'text' END AS gate, count(*) AS n FROM passages GROUP BY 1",
     "passage_citations": "SELECT p.id AS passage_id, md5(coalesce(string_agg(DISTINCT f.id, ',' ORDER BY f.id), '')) AS digest, count(DISTINCT f.id) AS n FROM passages p LEFT JOIN facts f ON f.passage_id = p.id GROUP BY 1",
     "demoted_first": """WITH s AS (SELECT sources.id, status, count(*) AS n FROM sources JOIN passages ON source_id = sources.id GROUP BY 1, 2), b AS (SELECT id, n, CASE status WHEN 'failed' THEN 2 WHEN 'ready' THEN 0 ELSE 1 END AS bucket FROM s)

@@ -211,7 +211,7 @@ def tiered_paths(spark, d):
 
 def budget_cut(spark, d):
     p = table(spark, d, "passages").where("text is not null").select("source_id", "ordinal", "passage_no", "text")
-    return relations.prefix_cut(p, ["source_id"], ["ordinal", "passage_no"], "text", 2000).select("source_id", "passage_no", "running")
+    return relations.prefix_cut(p, ["source_id"], F.floor(F.col("ordinal") / 1000), ["ordinal", "passage_no"], "text", 2000).select("source_id", "passage_no", "running")
 
 
 def greedy_budget(spark, d):
@@ -376,15 +376,15 @@ SELECT DISTINCT 'entity-' || md5(name) AS id, name FROM e WHERE late AND name NO
 SELECT id, hops, (SELECT count(*) FROM v2 WHERE hops > 0) > 200 AS truncated FROM v2 WHERE hops > 0 ORDER BY hops, id LIMIT 200""",
     "shortest_path": f"WITH {_TRIPLES}, {_bfs_sql('SELECT subject_id AS src, object_id AS dst FROM t UNION SELECT object_id, subject_id FROM t', 'SELECT min(subject_id) AS id FROM t', 6)} SELECT hops AS n_hops FROM v6 WHERE id = (SELECT max(object_id) FROM t)",
     "display_subset": f"WITH {_EDGES} SELECT src AS id, count(*) AS degree FROM walk GROUP BY 1 ORDER BY degree DESC, id LIMIT 40",
-    "name_index": f"SELECT token, count(DISTINCT doc_id) AS n_ids FROM (SELECT doc_id, unnest({SPLIT.format('path')}) AS token FROM documents) GROUP BY 1",
+    "name_index": f"SELECT DISTINCT unnest({SPLIT.format('path')}) AS token, doc_id AS id FROM documents",
     "ambiguous_tokens": f"""WITH k AS (SELECT DISTINCT doc_id AS id, unnest(string_split({CLEAN.format('title')}, ' ')) AS token FROM documents WHERE title IS NOT NULL),
 c AS (SELECT *, count(*) OVER (PARTITION BY token) AS n, row_number() OVER (PARTITION BY token ORDER BY id) AS r FROM k)
 SELECT token, id, (1.0 / n)::DOUBLE AS share FROM c WHERE n <= 10 AND r <= 8""",
     "ngram_refs": f"""WITH ent AS (SELECT min(doc_id) AS id, regexp_replace(title, ' \\S+$', '') AS name FROM documents WHERE title IS NOT NULL GROUP BY 2),
 w AS (SELECT doc_id AS passage_id, text, string_split({CLEAN.format('text')}, ' ') AS ws FROM documents WHERE text IS NOT NULL),
-g AS (SELECT DISTINCT passage_id, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT passage_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(n))),
 names AS (SELECT id, name, array_to_string({SPLIT.format('name')}, ' ') AS gram, len({SPLIT.format('name')}) AS n FROM ent),
-by_gram AS (SELECT passage_id, id, 0.60 AS omega FROM g JOIN names USING (gram) WHERE n BETWEEN 2 AND 4),
+g AS (SELECT DISTINCT passage_id, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT passage_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM names WHERE n >= 2) v)),
+by_gram AS (SELECT passage_id, id, 0.60 AS omega FROM g JOIN names USING (gram) WHERE n >= 2),
 by_name AS (SELECT passage_id, ent.id, 0.85 AS omega FROM (SELECT DISTINCT passage_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+(?:\\.[\\p{{L}}\\p{{N}}_]+)*')) AS word FROM w) x JOIN ent ON word = name),
 best AS (SELECT passage_id, id, max(omega)::DOUBLE AS omega FROM (SELECT * FROM by_gram UNION ALL SELECT * FROM by_name) GROUP BY 1, 2)
 SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY omega DESC, id) <= 20""",

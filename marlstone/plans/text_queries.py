@@ -78,7 +78,7 @@ def mapped_chunks(spark, d):
 
 
 def passage_ordinals(spark, d):
-    return chunking.with_ordinals(table(spark, d, "passages").select("passage_no", "source_id", "created_at"), "source_id", "created_at", "passage_no").select("passage_no", "source_id", "ordinal")
+    return chunking.with_ordinals(table(spark, d, "passages").select("passage_no", "source_id", "created_at"), "source_id", F.to_date("created_at"), "created_at", "passage_no").select("passage_no", "source_id", "ordinal")
 
 
 def nonblank_passages(spark, d):

@@ -41,6 +41,8 @@ def test_pagerank_against_linear_solve(spark):
     want = np.linalg.solve(np.eye(9) - 0.5 * move.T, 0.5 * p)
     reset = graph.reset_vector(df(spark, "id string, value double", ("v0", 1.0), ("v2", 2.0), ("v7", 3.0), ("v3", -4.0), ("v4", float("nan")), ("v5", None)))
     got = {r.id: r.score for r in graph.personalized_pagerank(graph.mirrored(df(spark, "a string, b string, weight double", *edges)), reset, rounds=30).collect()}
+    hubs = {r.id: r.score for r in graph.personalized_pagerank(graph.mirrored(df(spark, "a string, b string, weight double", *edges)), reset, rounds=30, hot_rows=1).collect()}
+    assert hubs.keys() == got.keys() and all(abs(hubs[k] - got[k]) < 1e-12 for k in got)  # vertices laid out in parts
     assert np.allclose([got.get(n, 0.0) for n in names], want, atol=1e-8)
     with pytest.raises(ValueError):
         graph.personalized_pagerank(graph.mirrored(df(spark, "a string, b string, weight double", *edges)), graph.reset_vector(df(spark, "id string, value double", ("v0", -1.0))))
@@ -79,7 +81,7 @@ def test_communities_and_edits(spark):
 
 def test_budgets_and_orders(spark):
     lines = df(spark, "g string, pos int, text string", ("a", 0, "xxxx"), ("a", 1, "yyyyyy"), ("a", 2, "z"))
-    assert rows(relations.prefix_cut(lines, ["g"], ["pos"], "text", 6), "pos") == [(0,)]
+    assert rows(relations.prefix_cut(lines, ["g"], F.floor(F.col("pos") / 2), ["pos"], "text", 6), "pos") == [(0,)]
     sized = lines.withColumn("size", F.length("text"))
     assert rows(relations.greedy_fill(sized, ["g"], ["pos"], "size", 6, 9), "pos") == [(0,), (2,)]
     assert relations.greedy_fill(sized.limit(0), ["g"], ["pos"], "size", 6, 9).count() == 0
@@ -106,8 +108,10 @@ def test_code_edges_refs_and_ranges(spark):
     assert rows(retrieval.overlapping_symbols(df(spark, "path string, first int, last int", ("f", 4, 4)), s), "id") == [("A.m",)]
     assert rows(knowledge.path_suffix_matches(df(spark, "l string", ("src/a/b.py",), ("xb.py",)), df(spark, "r string", ("a/b.py",), ("b.py",)), "l", "r"), "l", "r") == [("src/a/b.py", "a/b.py"), ("src/a/b.py", "b.py")]
     assert rows(knowledge.endpoint_violations(df(spark, "predicate string, subject_kind string, object_kind string", ("P", "a", "b"), ("P", "b", "a")), df(spark, "predicate string, subject_kind string, object_kind string", ("P", "a", "b"))), "subject_kind") == [("b",)]
-    refs = knowledge.references(df(spark, "passage_id string, text string", ("p", "The parse tree calls parseTree and x."), ("q", "")), df(spark, "id string, name string", ("1", "parseTree"), ("2", "x"), ("3", "other_name")))
+    refs = knowledge.references(df(spark, "passage_id string, text string", ("p", "The parse tree calls parseTree and x."), ("q", "")), df(spark, "id string, name string", ("1", "parseTree"), ("2", "x"), ("3", "other_name"), ("4", "the_parse_tree_calls_parse_tree_and_x")))
     assert rows(refs, "passage_id", "id", "omega") == [("p", "1", 0.85), ("p", "2", 0.85)]
+    long = knowledge.references(df(spark, "passage_id string, text string", ("p", "One two three four five six.")), df(spark, "id string, name string", ("1", "one_two_three_four_five_six"), ("2", "two_three")))
+    assert rows(long, "id", "omega") == [("1", 0.6), ("2", 0.6)]
 
 
 PY = '''"""Doc."""
@@ -298,7 +302,7 @@ def test_synonyms_are_exact(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(60, 8)).astype(np.float32)
     keys = df(spark, "id string, name string, embedding array<float>", *[(f"k{i:02d}", "phrase" if i else "ab", x.tolist()) for i, x in enumerate(v)])
-    got = rows(knowledge.synonym_pairs(keys, 0.5, 3, blocks=4), "a", "b")
+    got = rows(knowledge.synonym_pairs(keys, 0.5, 3, block_rows=16), "a", "b")
     u = v[1:] / np.linalg.norm(v[1:], axis=1, keepdims=True)
     s = u @ u.T
     want = set()
