@@ -28,54 +28,66 @@ def reset_vector(seeds: DataFrame) -> DataFrame:
 
 
 def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, rounds: int = 24, whole: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Personalised PageRank by power iteration: id, score.
+    """Personalised PageRank: id, score.
 
     ``edges`` are directed and weighted (``mirrored``), ``reset`` is a distribution (id, p). A vertex without edges returns to the
-    reset vector. Vertices that the walk cannot reach have no row, their score is 0. What is left out after the last
-    round is at most ``damping ** rounds``. A vertex further than that from the reset vector has no row either, but with ``whole``:
-    then rounds go on until no vertex is newly reached.
-
-    Only vertices of the reset vector can be dangling and hold weight, so the dangling weight follows from one number and the
-    rounds need no sum over the table. A round is one join on the source and one combined sum. The edges of a vertex with more than
-    ``hot_rows`` of them are laid out in several parts, which its rank is sent to.
+    reset vector. Vertices that the walk cannot reach have no row, their score is 0; nor has a vertex further than ``rounds`` from the reset
+    vector, but with ``whole``: then rounds go on until no vertex is newly reached.
+
+    Only vertices of the reset vector can be dangling and hold weight, so what returns from them is one number, known
+    beforehand. The rounds are Chebyshev's: each mixes the walk's step with the table before last, which on edges of the same weight both ways
+    leaves about ``(damping / (1 + sqrt(1 - damping ** 2))) ** rounds``, at a damping of one half 0.27 a round instead of 0.5. On
+    other edges they come to the same scores, but more slowly. A round is one join on the source and one combined sum. The edges of a
+    vertex with more than ``hot_rows`` of them are laid out in several parts, which its rank is sent to.
     """
-    edges = edges.select("src", "dst", "weight")
+    edges = checkpointed(edges.select("src", "dst", "weight"))  # derived once, read by the counts and the layout
     strength = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
     # the edges are laid out by source once; a round then moves ranks only
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hubs = checkpointed(hot_keys(edges, ["src"], hot_rows))  # at most edges / hot_rows vertices
     hub_less = hubs.isEmpty()
-    lane = F.lit(0) if hub_less else F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_salts")).cast("int"), F.lit(0))
-    shares = (edges if hub_less else edges.join(F.broadcast(hubs), "src", "left")).withColumn("_lane", lane).join(strength, "src")
-    walk = checkpointed(shares.select("src", "_lane", "dst", (F.col("weight") / F.col("_all")).alias("share")).repartition(parts, "src", "_lane"))
+    keys = ["src"] if hub_less else ["src", "_lane"]  # without hubs the ranks keep the partitioning of their sum
+    shares = edges.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share"))
+    # a vertex's edge to itself, without share, hands on what it held: so a round reads the ranks once
+    reset = reset.select("id", "p")
+    every = strength.select("src").unionByName(reset.select(F.col("id").alias("src"))).distinct()
+    shares = shares.unionByName(every.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("share")))
+    if not hub_less:
+        lane = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_salts")).cast("int"), F.lit(0))
+        shares = shares.join(F.broadcast(hubs), "src", "left").withColumn("_lane", lane).drop("_salts")
+    walk = checkpointed(shares.repartition(parts, *keys))
 
     def in_lanes(rank: DataFrame) -> DataFrame:
+        rank = rank.withColumnRenamed("id", "src")
         if hub_less:
-            return rank.withColumn("_lane", F.lit(0))
-        salted = rank.join(F.broadcast(hubs.withColumnRenamed("src", "id")), "id", "left")
-        return salted.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+            return rank
+        salts = F.coalesce(F.col("_salts"), F.lit(1))
+        return rank.join(F.broadcast(hubs), "src", "left").withColumn("_lane", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
 
-    reset = reset.select("id", "p")
-    total, lost = reset.join(walk.select(F.col("src").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").agg(
+    total, lost = reset.join(walk.where("share is not null").select(F.col("src").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").agg(
         F.coalesce(F.sum("p"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("p"))), F.lit(0.0))
     ).first()
     if not total:
         raise ValueError("the reset vector sums to nothing")
-    rank, dangling = reset.select("id", F.col("p").alias("score")), lost
-    r, reached = 0, None
+    base = (1 - damping) / (1 - damping * lost)
+    rank = reset.select("id", (F.col("p") * base).alias("score"), F.lit(0.0).alias("before"))
+    omega, r, reached = 2.0, 0, None
     while r < rounds or whole:
-        base = (1 - damping) + damping * dangling
-        moved = walk.join(in_lanes(rank).withColumnRenamed("id", "src"), ["src", "_lane"]).select(F.col("dst").alias("id"), (F.col("share") * F.col("score") * damping).alias("score"))
-        rank = moved.unionByName(reset.select("id", (F.col("p") * base).alias("score"))).groupBy("id").agg(F.sum("score").alias("score"))
-        dangling = base * lost
+        omega = 1.0 / (1.0 - damping**2 * omega / 4.0)
+        own = F.col("share").isNull()
+        moved = walk.join(in_lanes(rank), keys).select(
+            F.col("dst").alias("id"), F.when(own, F.col("before") * (1.0 - omega)).otherwise(F.col("share") * F.col("score") * (omega * damping)).alias("score"), F.when(own, F.col("score")).otherwise(0.0).alias("before")
+        )
+        parts_of = moved.unionByName(reset.select("id", (F.col("p") * (omega * base)).alias("score"), F.lit(0.0).alias("before")))
+        rank = parts_of.groupBy("id").agg(F.sum("score").alias("score"), F.sum("before").alias("before"))
         r += 1
         if r % CUT == 0:
             rank = checkpointed(rank)
-            if whole and r >= rounds:
-                before, reached = reached, rank.count()
-                if before == reached:
+            if whole and r + CUT >= rounds:
+                last, reached = reached, rank.count()
+                if last == reached and r >= rounds:
                     break
-    return rank
+    return rank.select("id", "score")
 
 
 def neighbours(edges: DataFrame, ids: list) -> DataFrame:

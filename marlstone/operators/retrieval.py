@@ -21,8 +21,8 @@ class RetrievalSettings:
     seed_entities: int = 5
     passage_weight: float = 0.05
     damping: float = 0.5
-    #: Scores are ranked by 12 digits, and half of what is left goes with each round.
-    rounds: int = 42
+    #: Scores are ranked by 12 digits, and three quarters of what is left go with each round.
+    rounds: int = 24
     passages: int = 200
     symbol_seeds: int = 20
     community_boost: float = 0.0

@@ -122,7 +122,7 @@ def literal_access_counts(spark, d):
     """What the text literals of Python files and the statements of SQL files do to data."""
     docs = table(spark, d, "documents").select("path", "text")
     literals = docs.where("path like '%.py'").select(F.explode(F.regexp_extract_all("text", F.lit(r'"([^"\n]*)"'), F.lit(1))).alias("literal"))
-    statements = docs.where("path like '%.sql'").select(F.explode(F.split("text", ";")).alias("literal"))
+    statements = docs.where("path like '%.sql'").select(F.explode(F.split(F.regexp_replace("text", r"(?m)^\s*--.*$", ""), ";")).alias("literal"))
     every = literals.unionAll(statements).where("trim(literal) <> ''")
     return every.groupBy(F.coalesce(codegraph.literal_access(F.col("literal")), F.lit("none")).alias("access")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -203,7 +203,7 @@ SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, count(*) AS n FROM
     "kind_numbers": "SELECT kind AS community, min(name) AS label, row_number() OVER (ORDER BY min(name)) - 1 AS number FROM sources GROUP BY 1",
     "boosted_passages": "SELECT p.id, chars * CASE WHEN kind = (SELECT kind FROM sources ORDER BY id LIMIT 1) AND EXISTS (SELECT 1 FROM passages q WHERE q.source_id = (SELECT min(id) FROM sources)) THEN 1.5 ELSE 1.0 END::DOUBLE AS score FROM passages p LEFT JOIN sources s ON s.id = p.source_id",
     "literal_access_counts": rf"""
-WITH l AS (SELECT unnest(regexp_extract_all(text, '"([^"\n]*)"', 1)) AS t FROM documents WHERE path LIKE '%.py' UNION ALL SELECT unnest(string_split(text, ';')) FROM documents WHERE path LIKE '%.sql'),
+WITH l AS (SELECT unnest(regexp_extract_all(text, '"([^"\n]*)"', 1)) AS t FROM documents WHERE path LIKE '%.py' UNION ALL SELECT unnest(string_split(regexp_replace(text, '(?m)^\s*--.*$', '', 'g'), ';')) FROM documents WHERE path LIKE '%.sql'),
 k AS (SELECT {", ".join(f"regexp_matches(t, '{p}') AS {name}" for name, p in codegraph.LITERAL_PATTERNS.items())} FROM l WHERE trim(t, ' ') <> '')
 SELECT CASE WHEN named AND clause AND graph_write THEN 'cypher_write' WHEN named AND clause THEN 'cypher_read' WHEN sql AND NOT sentence AND sql_write THEN 'sql_write' WHEN sql AND NOT sentence THEN 'sql_read' ELSE 'none' END AS access, count(*) AS n FROM k GROUP BY 1""",
     "extraction_gate": "SELECT CASE WHEN text IS NULL THEN 'none' WHEN length(trim(text)) < 80 THEN 'empty' ELSE 'text' END AS gate, count(*) AS n FROM passages GROUP BY 1",

@@ -11,10 +11,10 @@ from marlstone.operators import access, codegraph, graph, knowledge, relations,
 from marlstone.plans.text_queries import CLEAN, SPLIT, TOLD
 from marlstone.session import table
 
-#: Rounds that the SQL unrolls: as many as the query may take until no vertex is newly reached.
+#: Rounds of plain power iteration that the SQL unrolls.
 SQL_ROUNDS = 60
-#: Rounds of the query at least: what is left then, 0.5 ** 36, is far below the nine digits shown.
-WALK_ROUNDS = 36
+#: Rounds of the query at least: what is left then, 0.27 ** 20, is far below the nine digits shown.
+WALK_ROUNDS = 20
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +368,7 @@ SELECT DISTINCT 'entity-' || md5(name) AS id, name FROM e WHERE late AND name NO
     "edge_merge": f"WITH {_EDGES} SELECT a, b, weight::DOUBLE AS weight, kinds FROM merged",
     "edge_edits": f"WITH {_EDGES} SELECT a, b, (CASE WHEN weight >= 2 THEN weight / 2 ELSE weight END)::DOUBLE AS weight FROM merged WHERE weight < 4",
     "ppr_rank": _ppr_sql(),
-    "graph_search": _search_sql(retrieval.RetrievalSettings().rounds),
+    "graph_search": _search_sql(SQL_ROUNDS),
     "community_sizes": _labels_sql(4),
     "bfs_hops": f"WITH {_EDGES}, {_bfs_sql('SELECT DISTINCT subject_id AS src, object_id AS dst FROM t', 'SELECT id FROM seeds', 3)} SELECT id, hops FROM v3",
     "neighborhood": f"WITH {_EDGES}, {_bfs_sql('SELECT src, dst FROM walk', 'SELECT id FROM seeds', 1)} SELECT id, hops, (SELECT max(weight) FROM walk JOIN v1 s ON src = s.id AND s.hops = v.hops - 1 WHERE dst = v.id)::DOUBLE AS weight FROM v1 v ORDER BY hops, weight DESC NULLS LAST, id LIMIT 100",
