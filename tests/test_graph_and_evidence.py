@@ -151,7 +151,12 @@ def test_code_extraction(spark):
     assert rows(ddl, "table_name", "line", "columns") == [("a.b", 2, ["id", "price"]), ("c", 7, ["x"])]
 
 
-@pytest.mark.parametrize("literal,kind", [("SELECT a FROM t", "sql_read"), ("insert into t values (1)", "sql_write"), ("Select one from the list.", None), ("MATCH (n:User)-[:OWNS]->(m) RETURN n", "cypher_read"), ("MATCH (n:User)-[:OWNS]->(m) SET n.x = 1", "cypher_write"), ("hello", None)])
+def test_unread_files_are_listed(spark):
+    files = df(spark, "path string, text string", ("a.py", "x = 1"), ("b.py", "def ("), ("c.py", ""), ("d.py", None), ("e.py", "é" * (codegraph.MAX_BYTES // 2 + 1)))
+    assert rows(codegraph.unread_files(files), "path", "reason") == [("b.py", "unparsable"), ("c.py", "empty"), ("d.py", "empty"), ("e.py", "too_large")]
+
+
+@pytest.mark.parametrize("literal,kind", [("SELECT a FROM t", "sql_read"), ("insert into t values (1)", "sql_write"), ("Select one from the list.", None), ("MATCH (n:User)-[:OWNS]->(m) RETURN n", "cypher_read"), ("MATCH (n:User)-[:OWNS]->(m) SET n.x = 1", "cypher_write"), ("hello", None), ("drop table x", "sql_write"), ("match (n:User) return n", None), ("WITH a AS (SELECT 1) SELECT * FROM a", "sql_read"), ("Merge (x)", None)])
 def test_literals(spark, literal, kind):
     assert df(spark, "t string", (literal,)).select(codegraph.literal_access(F.col("t")).alias("k")).first().k == kind
 
