@@ -24,8 +24,8 @@ def displayed_sources(spark, d):
 
 
 def code_words(spark, d):
-    """Parts of document paths that look like code, and how often they stand there."""
-    words = table(spark, d, "documents").where("path is not null").select(F.explode(F.split("path", "[/.]")).alias("word"))
+    """Words of documents that look like code, and how often they stand there."""
+    words = table(spark, d, "documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("word"))
     return words.where(retrieval.looks_like_code(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,7 +103,7 @@ _CLEAN = r"trim(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '
 ORACLE = {
     "node_labels": "WITH i AS (SELECT subject_id AS id FROM facts UNION ALL SELECT id FROM facts) SELECT CASE WHEN id LIKE 'entity-%' THEN 'Entity' ELSE 'Fact' END AS label, count(*) AS n FROM i WHERE id LIKE 'entity-%' OR id LIKE 'fact-%' GROUP BY 1",
     "displayed_sources": "SELECT id, CASE WHEN kind = 'commit' THEN left(name, 7) WHEN kind IN ('table', 'column', 'collection') THEN kind || ' ' || name WHEN coalesce(status, '') = '' THEN name ELSE status || '.' || name END AS shown FROM sources",
-    "code_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(path, '[/.]')) AS word FROM documents WHERE path IS NOT NULL) WHERE {_CODE_WORD} GROUP BY 1",
+    "code_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\w+')) AS word FROM documents WHERE text IS NOT NULL) WHERE {_CODE_WORD} GROUP BY 1",
     "code_lines": f"SELECT doc_id, count(*) FILTER (WHERE {_CODE_LINE}) AS n_code, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "cleaned_triples": f"""WITH {TOLD}, c AS (SELECT fact_row, {_CLEAN.format('subject')} AS s, {_CLEAN.format('predicate')} AS p, {_CLEAN.format('object')} AS o FROM told WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL)
 SELECT fact_row, 1 AS n_valid, CASE WHEN s <> '' AND o <> '' THEN s || '|' || p || '|' || o END AS triple FROM c""",

@@ -53,7 +53,9 @@ def test_walk_goes_on_until_scores_stand(spark, monkeypatch):
 
 def test_search_rounds_reach_the_ranked_digits():
     settings = retrieval.RetrievalSettings()
-    assert settings.damping**settings.rounds < 0.5e-12
+    # what Chebyshev's rounds leave; the walk itself is measured against a linear solve in the graph tests
+    left = settings.damping / (1 + (1 - settings.damping**2) ** 0.5)
+    assert 2 * left**settings.rounds < 0.5e-12
 
 
 def test_greedy_budget_takes_all_passages(spark, tmp_path):
@@ -91,10 +93,10 @@ def test_regions_hold_claims_shorter_than_an_hour(spark):
         rows.append((i, "s", lo, rng.choice([lo + rng.randrange(1, h // 2), lo + rng.randrange(h, 3 * h), None, lo]), rng.randrange(50), rng.choice([None, 1, 2])))
     rows += [(90, "s", 0, 1, 60, 9), (91, "s", 5 * h - 1, 5 * h, 61, 9)]
     claims = spark.createDataFrame(rows, "id bigint, k string, from_us bigint, to_us bigint, recorded_us bigint, ordinal bigint")
-    regions = asof.current_regions(claims, ["k"]).collect()
+    regions = {k: asof.current_regions(claims, ["k"], k).collect() for k in (10, 70)}
     rank = {r[0]: (r[5] is not None, r[5] or 0, r[4], r[0]) for r in rows}
     points = [(v, k) for v in [0, 1, 5 * h - 1, 5 * h, *(r[2] for r in rows), *(rng.randrange(-2 * h, 6 * h) for _ in range(300))] for k in (10, 70)]
     for v, k in points:
         want = max((r[0] for r in rows if r[2] <= v and (r[3] is None or v < r[3]) and r[4] <= k), key=rank.get, default=None)
-        met = [r.claim for r in regions if r.from_us <= v < r.to_us and r.known_from_us <= k and (r.known_to_us is None or k < r.known_to_us)]
-        assert max(met, key=rank.get, default=None) == want
+        met = [r.claim for r in regions[k] if r.from_us <= v and (r.to_us is None or v < r.to_us)]
+        assert met == ([] if want is None else [want])  # one region around a point, or none
