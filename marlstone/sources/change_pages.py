@@ -91,15 +91,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ChangePages)
 
 
-class Connector:
-    """What a provider has to offer; ``pull`` pages through it until its cursor stays."""
-
-    def probe(self) -> dict: raise NotImplementedError
-    def list_changes(self, cursor: str | None) -> tuple[list[dict], str | None]: raise NotImplementedError
-    def fetch(self, ref: dict) -> bytes: raise NotImplementedError
-    def fetch_policy(self, policy_id: str) -> dict: raise NotImplementedError
-
-
 class ProviderError(Exception):
     """``kind``: throttled, transient, not_found, denied, invalid or permanent."""
 
