@@ -4,65 +4,134 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "seq bigint, page_no bigint, partition_key string, external_id string, provider_revision string, operation string, policy_id string, ordinal bigint"
+_ARROW = {name: {"bigint": "int64"}.get(kind, kind) for name, kind in map(str.split, SCHEMA.split(", "))}
 _STORED = ["seq", "page_no", "ref", "operation", "policy_id", "provider_order"]
-
-
-def _last_page(path: str) -> int:
-    """Number of the last page there is; -1 for none. Only the page column is read."""
+#: Before the first page; a row without a page number is taken in from here, ahead of all numbered pages.
+_START = -(1 << 63)
+#: Bytes of the columns read that a task takes: a share of all of them within these bounds, in whole row groups.
+_LEAST, _MOST, _SHARES = 1 << 20, 1 << 25, 64
+
+
+class _Group(NamedTuple):
+    """A row group: its least and greatest page, None where its footer doesn't tell them, and the bytes of the columns read."""
+
+    fragment: object
+    pages: tuple[int, int] | None
+    size: int
+
+    def meets(self, low: int, high: int) -> bool:
+        return self.pages is None or self.pages[0] < high and low <= self.pages[1]
+
+
+def _groups(dataset) -> list[_Group]:
+    """The row groups of a dataset in the files' order. Only footers are read."""
+    found = []
+    for fragment in dataset.get_fragments():
+        for n in range(fragment.metadata.num_row_groups):
+            group, pages, size = fragment.metadata.row_group(n), None, 0
+            for column in map(group.column, range(group.num_columns)):
+                if column.path_in_schema.split(".")[0] in _STORED:
+                    size += column.total_compressed_size
+                s = column.statistics if column.path_in_schema == "page_no" else None
+                if s is not None and s.has_null_count and s.null_count == group.num_rows:
+                    pages = _START, _START
+                elif s is not None and s.has_null_count and s.has_min_max:
+                    pages = _START if s.null_count else s.min, s.max
+            if group.num_rows:
+                found.append(_Group(fragment.subset(row_group_ids=[n]), pages, size))
+    return found
+
+
+def _end(path: str) -> int:
+    """The offset after all pages there are. The page column is read only where footers don't bound it."""
     import pyarrow.compute as pc
     import pyarrow.dataset as ds
 
-    last = pc.max(ds.dataset(path).to_table(columns=["page_no"])["page_no"]).as_py()
-    return -1 if last is None else last
-
-
-def _rows(path: str, low: int, high: int) -> Iterator[tuple]:
-    """Changes of the pages low..high - 1 in order."""
+    end = _START
+    for group in _groups(ds.dataset(path)):
+        last = group.pages[1] if group.pages else pc.max(group.fragment.to_table(columns=["page_no"])["page_no"]).as_py()
+        end = max(end, _START + 1 if last is None else last + 1)
+    return end
+
+
+def _shares(groups: list[_Group], per_task: int | None) -> list[list[_Group]]:
+    """Row groups by task, by their bytes; with ``per_task`` also one task for so many pages, row groups staying whole."""
+    most = min(max(sum(g.size for g in groups) // _SHARES, _LEAST), _MOST)
+    shares: list[list[_Group]] = []
+    used = held = 0
+    for group in groups:
+        pages = group.pages[1] - group.pages[0] + 1 if group.pages else 0
+        if not shares or used + group.size > most or per_task and held + pages > per_task:
+            shares.append([])
+            used = held = 0
+        shares[-1].append(group)
+        used, held = used + group.size, held + pages
+    return shares
+
+
+def _partitions(path: str, per_task: int | None, low: int | None = None, high: int | None = None) -> list[InputPartition]:
+    """Tasks over the row groups that hold pages low..high - 1, or over all of them."""
     import pyarrow.dataset as ds
 
-    table = ds.dataset(path).to_table(columns=_STORED, filter=(ds.field("page_no") >= low) & (ds.field("page_no") < high))
-    for r in table.sort_by("seq").to_pylist():
-        yield (r["seq"], r["page_no"], r["ref"]["partition_key"], r["ref"]["external_id"], r["ref"]["provider_revision"], r["operation"], r["policy_id"], r["provider_order"]["ordinal"])
+    dataset = ds.dataset(path)
+    shares = _shares([g for g in _groups(dataset) if low is None or g.meets(low, high)], per_task)
+    return [InputPartition((low, high, dataset.schema, [g.fragment for g in share])) for share in shares or [[]]]
 
 
-def _ranges(low: int, high: int, per_task: int) -> list[InputPartition]:
-    return [InputPartition((a, min(a + per_task, high))) for a in range(low, high, per_task)] or [InputPartition((low, low))]
+def _batches(low: int | None, high: int | None, schema, fragments: list) -> Iterator:
+    """Changes of the pages low..high - 1, or all, as record batches."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.dataset as ds
+
+    page, wanted = ds.field("page_no"), None
+    if low == _START:
+        wanted = (page < high) | page.is_null()
+    elif low is not None:
+        wanted = (page >= low) & (page < high)
+    for fragment in fragments:
+        for b in fragment.to_batches(schema=schema, columns=_STORED, filter=wanted, batch_size=1 << 14, batch_readahead=2, use_threads=False):
+            ref = [pc.struct_field(b["ref"], name) for name in ("partition_key", "external_id", "provider_revision")]
+            columns = [b["seq"], b["page_no"], *ref, b["operation"], b["policy_id"], pc.struct_field(b["provider_order"], "ordinal")]
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, _ARROW.values(), strict=True)], names=list(_ARROW))
 
 
 class _Pages(DataSourceReader):
-    def __init__(self, path: str, per_task: int):
+    def __init__(self, path: str, per_task: int | None):
         self.path, self.per_task = path, per_task
 
     def partitions(self):
-        return _ranges(0, _last_page(self.path) + 1, self.per_task)
+        return _partitions(self.path, self.per_task)
 
-    def read(self, partition) -> Iterator[tuple]:
-        return _rows(self.path, *partition.value)
+    def read(self, partition) -> Iterator:
+        return _batches(*partition.value)
 
 
 class _Stream(DataSourceStreamReader):
-    """The offset is the number of pages taken in; tasks read their own ranges of pages."""
+    """The offset is the number before which all pages are taken in; tasks read the row groups that hold theirs."""
 
-    def __init__(self, path: str, per_task: int):
+    def __init__(self, path: str, per_task: int | None):
         self.path, self.per_task = path, per_task
 
     def initialOffset(self) -> dict:
-        return {"page": 0}
+        return {"page": _START}
 
     def latestOffset(self) -> dict:
-        return {"page": _last_page(self.path) + 1}
+        return {"page": _end(self.path)}
 
     def partitions(self, start: dict, end: dict):
-        return _ranges(start["page"], end["page"], self.per_task)
+        return _partitions(self.path, self.per_task, start["page"], end["page"])
 
-    def read(self, partition) -> Iterator[tuple]:
-        return _rows(self.path, *partition.value)
+    def read(self, partition) -> Iterator:
+        return _batches(*partition.value)
 
     def commit(self, end: dict) -> None:
         """Nothing to release: pages stay with the provider."""
@@ -78,11 +147,15 @@ class ChangePages(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def _per_task(self) -> int | None:
+        pages = self.options.get("pages_per_task")
+        return pages and int(pages)
+
     def reader(self, schema) -> DataSourceReader:
-        return _Pages(self.options["path"], int(self.options.get("pages_per_task", 64)))
+        return _Pages(self.options["path"], self._per_task())
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Stream(self.options["path"], int(self.options.get("pages_per_task", 64)))
+        return _Stream(self.options["path"], self._per_task())
 
 
 def register(spark: SparkSession) -> None:

@@ -64,3 +64,24 @@ def test_paged_source_streams_every_page_once(spark, tmp_path):
         feed.start(spark.readStream.format("change_pages").option("path", path).option("pages_per_task", 2).load(), log, marks).awaitTermination()
     got = spark.read.parquet(log)
     assert got.count() == whole.count() == got.select("seq").distinct().count()
+
+
+CHANGES = "seq bigint, page_no bigint, ref struct<partition_key:string,artifact_kind:string,external_id:string,provider_revision:string>, operation string, policy_id string, provider_order struct<adapter:string,kind:string,ordinal:bigint>"
+
+
+def change(seq, page, external_id, operation="upsert"):
+    return seq, page, ("w", "doc", external_id, "r1"), operation, "p", ("a", "k", seq)
+
+
+def test_paged_feed_takes_tasks_by_row_groups(spark, tmp_path):
+    from marlstone.plans import evidence_queries
+    from marlstone.sources import change_pages
+
+    rows = [change(1, 1, "a"), change(2, 1_000_000, "b"), change(3, None, "c"), change(4, -3, "d", "delete"), (5, 7, None, "upsert", None, None)]
+    spark.createDataFrame(rows, CHANGES).coalesce(1).write.parquet(f"{tmp_path}/changes.parquet")
+    change_pages.register(spark)
+    pages = spark.read.format("change_pages").option("path", f"{tmp_path}/changes.parquet").load()
+    assert pages.rdd.getNumPartitions() == 1
+    assert sorted(tuple(r) for r in pages.collect())[2:4] == [(3, None, "w", "c", "r1", "upsert", "p", 3), (4, -3, "w", "d", "r1", "delete", "p", 4)]
+    got = evidence_queries.paged_feed(spark, str(tmp_path)).collect()
+    assert {(r.partition_key, r.operation): r.n for r in got} == {("w", "upsert"): 3, ("w", "delete"): 1, (None, "upsert"): 1}
