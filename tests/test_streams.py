@@ -85,3 +85,25 @@ def test_paged_feed_takes_tasks_by_row_groups(spark, tmp_path):
     assert sorted(tuple(r) for r in pages.collect())[2:4] == [(3, None, "w", "c", "r1", "upsert", "p", 3), (4, -3, "w", "d", "r1", "delete", "p", 4)]
     got = evidence_queries.paged_feed(spark, str(tmp_path)).collect()
     assert {(r.partition_key, r.operation): r.n for r in got} == {("w", "upsert"): 3, ("w", "delete"): 1, (None, "upsert"): 1}
+
+
+def test_stream_state_takes_rows_of_any_page(spark, tmp_path):
+    from marlstone.plans import evidence_queries
+
+    first = [change(1, 2, "a"), change(2, 1_000_000, "b"), change(3, None, "c"), change(4, -3, "d")]
+    spark.createDataFrame(first, CHANGES).coalesce(1).write.parquet(f"{tmp_path}/changes.parquet")
+    got = evidence_queries.stream_final_state(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("w", name, "r1", "p") for name in "abcd"]
+    spark.createDataFrame([], CHANGES).write.parquet(f"{tmp_path}/none/changes.parquet")
+    assert evidence_queries.stream_final_state(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_paged_source_goes_on_after_pages_without_number(spark, tmp_path):
+    from marlstone.sources import change_pages
+
+    change_pages.register(spark)
+    path, log, marks = str(tmp_path / "pages"), str(tmp_path / "log"), str(tmp_path / "marks")
+    for rows in ([change(1, None, "a")], [change(2, 5, "b"), change(3, -3, "c")], [change(4, 9, "a", "delete")]):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(path)
+        feed.start(spark.readStream.format("change_pages").option("path", path).load(), log, marks).awaitTermination()
+    assert sorted((r.seq, r.batch) for r in spark.read.parquet(log).collect()) == [(1, 0), (2, 1), (3, 1), (4, 2)]
