@@ -17,12 +17,15 @@ _STORED = ["seq", "page_no", "ref", "operation", "policy_id", "provider_order"]
 _START = -(1 << 63)
 #: Bytes of the columns read that a task takes: a share of all of them within these bounds, in whole row groups.
 _LEAST, _MOST, _SHARES = 1 << 20, 1 << 25, 64
+#: A row group of more rows is dealt to up to _CUTS tasks, each reading it up to the end of its own rows.
+_CUT_ROWS, _CUTS = 1 << 18, 4
 
 
 class _Group(NamedTuple):
-    """A row group: its least and greatest page, None where its footer doesn't tell them, and the bytes of the columns read."""
+    """Rows of a row group: its least and greatest page, None where its footer doesn't tell them, and the bytes of the columns read."""
 
     fragment: object
+    rows: tuple[int, int]
     pages: tuple[int, int] | None
     size: int
 
@@ -45,7 +48,7 @@ def _groups(dataset) -> list[_Group]:
                 elif s is not None and s.has_null_count and s.has_min_max:
                     pages = _START if s.null_count else s.min, s.max
             if group.num_rows:
-                found.append(_Group(fragment.subset(row_group_ids=[n]), pages, size))
+                found.append(_Group(fragment.subset(row_group_ids=[n]), (0, group.num_rows), pages, size))
     return found
 
 
@@ -61,6 +64,13 @@ def _end(path: str) -> int:
     return end
 
 
+def _cut(group: _Group) -> list[_Group]:
+    """A large row group in parts of about as many rows each."""
+    high = group.rows[1]
+    n = min(max(high // _CUT_ROWS, 1), _CUTS)
+    return [group._replace(rows=(high * i // n, high * (i + 1) // n), size=group.size if n == 1 else _MOST) for i in range(n)]
+
+
 def _shares(groups: list[_Group], per_task: int | None) -> list[list[_Group]]:
     """Row groups by task, by their bytes; with ``per_task`` also one task for so many pages, row groups staying whole."""
     most = min(max(sum(g.size for g in groups) // _SHARES, _LEAST), _MOST)
@@ -81,27 +91,30 @@ def _partitions(path: str, per_task: int | None, low: int | None = None, high: i
     import pyarrow.dataset as ds
 
     dataset = ds.dataset(path)
-    shares = _shares([g for g in _groups(dataset) if low is None or g.meets(low, high)], per_task)
-    return [InputPartition((low, high, dataset.schema, [g.fragment for g in share])) for share in shares or [[]]]
+    shares = _shares([part for g in _groups(dataset) if low is None or g.meets(low, high) for part in _cut(g)], per_task)
+    return [InputPartition((low, high, dataset.schema, [(g.fragment, *g.rows) for g in share])) for share in shares or [[]]]
 
 
-def _batches(low: int | None, high: int | None, schema, fragments: list) -> Iterator:
-    """Changes of the pages low..high - 1, or all, as record batches."""
+def _batches(low: int | None, high: int | None, schema, parts: list[tuple]) -> Iterator:
+    """Changes of the pages low..high - 1, or all, as record batches. ``parts``: row group, first row, row after the last."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    import pyarrow.dataset as ds
 
-    page, wanted = ds.field("page_no"), None
-    if low == _START:
-        wanted = (page < high) | page.is_null()
-    elif low is not None:
-        wanted = (page >= low) & (page < high)
-    for fragment in fragments:
-        for b in fragment.to_batches(schema=schema, columns=_STORED, filter=wanted, batch_size=1 << 14, batch_readahead=2, use_threads=False):
-            ref = [pc.struct_field(b["ref"], name) for name in ("partition_key", "external_id", "provider_revision")]
-            columns = [b["seq"], b["page_no"], *ref, b["operation"], b["policy_id"], pc.struct_field(b["provider_order"], "ordinal")]
+    for fragment, begin, end in parts:
+        at = 0
+        for whole in fragment.to_batches(schema=schema, columns=_STORED, batch_size=1 << 14, batch_readahead=2, use_threads=False):
+            b = whole.slice(max(begin - at, 0), max(min(end - at, whole.num_rows) - max(begin - at, 0), 0))
+            at += whole.num_rows
+            if low is not None:
+                page = b["page_no"]
+                wanted = pc.and_(pc.greater_equal(page, low), pc.less(page, high))
+                b = b.filter(pc.fill_null(wanted, low == _START))
             if b.num_rows:
+                ref = [pc.struct_field(b["ref"], name) for name in ("partition_key", "external_id", "provider_revision")]
+                columns = [b["seq"], b["page_no"], *ref, b["operation"], b["policy_id"], pc.struct_field(b["provider_order"], "ordinal")]
                 yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, _ARROW.values(), strict=True)], names=list(_ARROW))
+            if at >= end:
+                break
 
 
 class _Pages(DataSourceReader):

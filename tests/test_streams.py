@@ -107,3 +107,17 @@ def test_paged_source_goes_on_after_pages_without_number(spark, tmp_path):
         spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(path)
         feed.start(spark.readStream.format("change_pages").option("path", path).load(), log, marks).awaitTermination()
     assert sorted((r.seq, r.batch) for r in spark.read.parquet(log).collect()) == [(1, 0), (2, 1), (3, 1), (4, 2)]
+
+
+def test_large_row_group_is_dealt_to_tasks(monkeypatch):
+    from marlstone.sources import change_pages
+
+    path = "/root/testdata/sf0.01/changes.parquet"
+    read = lambda low, high: [[r for b in change_pages._batches(*p.value) for r in b.to_pylist()] for p in change_pages._partitions(path, None, low, high)]
+    for low, high in ((None, None), (change_pages._START, 30), (7, 31)):
+        monkeypatch.setattr(change_pages, "_CUT_ROWS", 1 << 18)
+        (whole,) = read(low, high)
+        monkeypatch.setattr(change_pages, "_CUT_ROWS", 700)
+        parts = read(low, high)
+        assert len(parts) == 3 and whole and sum(parts, []) == whole
+        assert {r["page_no"] for r in whole} == set(range(max(low or 1, 1), high or 51))
