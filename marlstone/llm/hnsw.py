@@ -13,6 +13,12 @@ import numpy as np
 
 #: Entries handed down from a layer to the next, and the beam of layers that only lead the way.
 _ENTRIES, _NARROW = 4, 4
+#: Queries that walk abreast; their marks of rows met take four bytes a row of the layer each.
+_ABREAST = 512
+#: Products taken at once.
+_AT_ONCE = 1024
+#: The key of no row, that of a similarity of -2.0 and looked at; the bits of a row.
+_NONE, _LOW = np.int64(0x40000000FFFFFFFF), 0x7FFFFFFF
 
 
 @dataclass
@@ -31,63 +37,96 @@ class Graph:
     wide: int
 
 
+def _keys(sims: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A number for each similarity and row: the more similar, the smaller, then the smaller row. Even; odd where looked at."""
+    bits = np.ascontiguousarray(sims, np.float32).view(np.int32)
+    bits = ~(bits ^ ((bits >> 31) & _LOW))  # the order of floats below zero is turned
+    return (bits.astype(np.int64) << 32) | (rows.astype(np.int64) << 1)
+
+
+def _sims(keys: np.ndarray) -> np.ndarray:
+    bits = ~(keys >> 32).astype(np.int32)
+    return (bits ^ ((bits >> 31) & _LOW)).view(np.float32)
+
+
+def _products(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of rows i and j, few at a time so that the rows copied stay in the processor's cache."""
+    out = np.empty(len(i), np.float32)
+    a, b = np.empty((_AT_ONCE, left.shape[1]), np.float32), np.empty((_AT_ONCE, left.shape[1]), np.float32)
+    for at in range(0, len(i), _AT_ONCE):
+        end = min(at + _AT_ONCE, len(i))
+        x, y = a[: end - at], b[: end - at]
+        left.take(i[at:end], axis=0, out=x, mode="clip")
+        right.take(j[at:end], axis=0, out=y, mode="clip")
+        np.einsum("ij,ij->i", x, y, out=out[at:end])
+    return out
+
+
 def _beam(layer: Layer, queries: np.ndarray, entries: np.ndarray, ef: int, expand: int, patient: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Rows and similarities of the best ``ef`` met from the entries on, best first; -1 and -2.0 where there are fewer.
 
     The best ``expand`` rows not looked at yet are replaced by their links, until the best ``ef`` have all been looked at or, without
     patience, a round changes nothing among them.
     """
-    n, width, b = len(layer.members), layer.links.shape[1], len(queries)
-    m = min(entries.shape[1], ef)
-    beam, sims = np.full((b, ef), -1, np.int64), np.full((b, ef), -2.0, np.float32)
-    beam[:, :m] = entries[:, :m]
-    sims[:, :m] = np.where(beam[:, :m] >= 0, np.einsum("bed,bd->be", layer.vectors[beam[:, :m]], queries), -2.0)
-    seen = np.zeros((b, n + 1), bool)  # the last column stands for missing links
-    seen[np.arange(b)[:, None], beam] = True
-    seen[:, n] = True
-    done = beam < 0
-    live = np.arange(b)
-    expand = min(expand, ef)
-    while len(live):
-        open_sims = np.where(done[live], -9.0, sims[live])
-        pick = np.argpartition(-open_sims, expand - 1, axis=1)[:, :expand] if expand < ef else np.tile(np.arange(ef), (len(live), 1))
-        usable = np.take_along_axis(open_sims, pick, 1) > -5.0
-        moving = usable.any(1)
-        live, pick, usable = live[moving], pick[moving], usable[moving]
+    best = np.full((len(queries), ef), _NONE)
+    for at in range(0, len(queries), _ABREAST):
+        end = at + _ABREAST
+        _walk(layer, queries[at:end], entries[at:end, :ef], ef, min(expand, ef), patient, best[at:end])
+    return np.where(best == _NONE, -1, (best >> 1) & _LOW), _sims(best)
+
+
+def _walk(layer: Layer, q: np.ndarray, entries: np.ndarray, ef: int, expand: int, patient: bool, best: np.ndarray) -> None:
+    """Fills ``best``, a sorted beam of keys to each query."""
+    n, width, b = len(layer.members), layer.links.shape[1], len(q)
+    # rows met, by query and row; place 0 stands for missing links
+    seen = np.zeros(b * (n + 1), np.min_scalar_type(expand * width))
+    base = np.arange(1, b * (n + 1), n + 1)
+    seen[base - 1] = 1
+    seen[(base[:, None] + entries).ravel()] = 1
+    sims = np.einsum("bed,bd->be", layer.vectors[entries], q)
+    first = np.where(entries >= 0, _keys(sims, np.maximum(entries, 0)), _NONE)
+    first.sort(axis=1)
+    best[:, : first.shape[1]] = first
+    marks = np.tile(np.arange(1, expand * width + 1, dtype=seen.dtype), b)
+    beam, live = best.copy(), np.arange(b)
+    while True:
+        waiting = np.where(beam & 1, _NONE, beam)
+        if expand < ef:
+            waiting.partition(expand - 1, axis=1)
+        waiting = waiting[:, :expand]
+        moving = waiting.min(1) != _NONE
+        if not moving.all():
+            best[live[~moving]] = beam[~moving]
+            beam, live, base, q, waiting = beam[moving], live[moving], base[moving], q[moving], waiting[moving]
         if not len(live):
-            break
-        done[live[:, None], pick] = True
-        step = layer.links[np.where(usable, beam[live[:, None], pick], 0)].reshape(len(live), expand * width).astype(np.int64)
-        step[np.repeat(~usable, width, axis=1)] = -1
-        fresh = ~seen[live[:, None], step]
-        r, c = np.nonzero(fresh)
-        found = step[r, c]
-        # a row met twice in one round counts once: the cell names which of its places stands
-        cell = r * np.int64(n + 1) + found
-        _, first = np.unique(cell, return_index=True)
-        r, found = r[first], found[first]
-        seen[live[r], found] = True
-        score = np.einsum("ij,ij->i", layer.vectors[found], queries[live[r]])
-        worst = sims[live].min(1)
-        better = score > worst[r]
-        r, found, score = r[better], found[better], score[better]
+            return
+        beam |= beam <= waiting.max(1)[:, None]
+        step = layer.links.take((waiting >> 1) & _LOW, axis=0, mode="clip")
+        step[waiting == _NONE] = -1
+        step = step.reshape(len(live), expand * width)
+        cell = (step + base[:, None]).ravel()
+        at = np.flatnonzero(seen.take(cell) == 0)
+        # a row met twice in one round counts once: the mark names which of its links stands
+        cell, mark = cell.take(at), marks.take(at)
+        seen[cell] = mark
+        at = at.compress(seen.take(cell) == mark)
+        r, found = at // (expand * width), step.ravel().take(at)
+        score = _products(layer.vectors, found, q, r)
+        better = np.flatnonzero(score > _sims(beam[:, -1]).take(r))
+        r = r.take(better)
         count = np.bincount(r, minlength=len(live))
-        if not len(r):
-            live = live if patient else live[:0]
-            continue
-        place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
-        most = int(count.max())
-        new_ids, new_sims = np.full((len(live), most), -1, np.int64), np.full((len(live), most), -2.0, np.float32)
-        new_ids[r, place], new_sims[r, place] = found, score
-        all_sims = np.concatenate([sims[live], new_sims], 1)
-        keep = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-        sims[live] = np.take_along_axis(all_sims, keep, 1)
-        beam[live] = np.take_along_axis(np.concatenate([beam[live], new_ids], 1), keep, 1)
-        done[live] = np.take_along_axis(np.concatenate([done[live], new_ids < 0], 1), keep, 1)
+        if len(r):
+            most = int(count.max())
+            place = np.arange(ef, ef + len(r)) - np.repeat(np.cumsum(count) - count, count)
+            grown = np.full((len(live), ef + most), _NONE)
+            grown[:, :ef] = beam
+            grown.ravel()[r * (ef + most) + place] = _keys(score.take(better), found.take(better))
+            grown.sort(axis=1)
+            beam = grown[:, :ef].copy()
         if not patient:
-            live = live[count > 0]
-    best = np.argsort(-sims, axis=1, kind="stable")
-    return np.take_along_axis(beam, best, 1), np.take_along_axis(sims, best, 1)
+            same = count == 0
+            best[live[same]] = beam[same]
+            beam, live, base, q = beam[~same], live[~same], base[~same], q[~same]
 
 
 def _diverse(layer: Layer, found: np.ndarray, sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
